@@ -1,2 +1,48 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of the text operators, by problem."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from farelode.llm.pieces import split_oversized
+from farelode.llm.sentences import sentence_units
+from farelode.tables import table
+
+FROM_WEB = "metadata.source_url IS NOT NULL"
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of all clause texts and of the chunks that come from files."""
+    clauses = table(spark, folder, "policy_clauses").select(F.lit("policy_clauses").alias("table_name"), "row_no", F.col("clause_text").alias("text"))
+    chunks = table(spark, folder, "chunks").where(f"NOT ({FROM_WEB})").select(F.lit("chunks").alias("table_name"), "row_no", "text")
+    return sentence_units(clauses.unionAll(chunks), "text", keep=("table_name", "row_no")).drop("unit_no")
+
+
+def p3_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence units, with their number in the text, of all documents and of web chunks (each line by itself)."""
+    documents = table(spark, folder, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_no"), "text", F.lit(False).alias("web"))
+    chunks = table(spark, folder, "chunks").where(FROM_WEB).select(F.lit("chunks").alias("table_name"), "row_no", "text", F.lit(True).alias("web"))
+    return sentence_units(documents.unionAll(chunks), "text", "web", keep=("table_name", "row_no"))
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all chunks with more than 150 tokens, 30 of which are repeated from the piece before."""
+    return split_oversized(table(spark, folder, "chunks"), "text", F.expr(FROM_WEB), keep=("row_no",), limit=150, overlap=30)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks that had to be cut, and whether a single unit was too large; each has exactly one first piece."""
+    return p5_pieces(spark, folder).where("piece_no = 0").select("row_no", "cut_kind")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_units": p3_units,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+}
+
+ORACLES: dict[str, str] = {}
