@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farelode.llm.boilerplate import classify_lines, main_content
 from farelode.llm.pieces import split_oversized
 from farelode.llm.sentences import sentence_units
 from farelode.tables import table
@@ -38,11 +39,30 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces(spark, folder).where("piece_no = 0").select("row_no", "cut_kind")
 
 
+def p6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines of all web chunks with their class."""
+    web = table(spark, folder, "chunks").where(FROM_WEB)
+    return classify_lines(web, "text", "metadata.source_url", keep=("row_no",))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of web chunks that are not policy text."""
+    return p6_lines(spark, folder).where("is_boilerplate").select("row_no", "line_no")
+
+
+def p6_content(spark: SparkSession, folder: str) -> DataFrame:
+    """The policy text of each web chunk."""
+    return main_content(p6_lines(spark, folder), ("row_no",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_units": p3_units,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_lines": p6_lines,
+    "p6_content": p6_content,
 }
 
 ORACLES: dict[str, str] = {}
