@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -275,22 +276,38 @@ FEATURES = (
 )
 _WORD = re.compile(r"[฀-๿]{1,5}|[぀-ヿ一-鿿]{1,2}|[^\W_]+(?:[-'’.][^\W_]+)*")
 _SEPARATOR = re.compile(r"\s*[|·｜>»/]\s+|\s+[|·｜>»/]\s*|｜")
-_SPACED = re.compile(r"(?<!\w)(?:%s)(?!\w)")
 _END = re.compile(r"[.!?؟।。！？…][\"”“»」』)]*\s*$")
 _INNER = re.compile(r"[.!?؟।。！？][\"”“»」』)]*(?:\s|$|(?<=[。！？])|(?<=[。！？]”)|(?<=[。！？]」))")
 _LIST = re.compile(r"^\s*(?:[•‣▪*–-]\s|\(?(?:\d{1,2}|[a-z])[.)]\s)")
 _AMOUNT = re.compile(r"\d\s?%|[A-Z]{3}\s?\d|\d\s(?:EUR|USD|GBP)\b|[$€£]\s?\d")
 
 
-def _phrases(table: str) -> re.Pattern:
-    """One pattern for a word table, longest phrases first; scripts without spaces match anywhere."""
-    words = sorted({w for line in table.split("\n") for w in line.split("|") if w}, key=lambda w: (-len(w), w))
-    free = [re.escape(w) for w in words if re.search(r"[฀-๿぀-ヿ一-鿿]|\W$", w) or w[0] == "©"]
-    spaced = [re.escape(w) for w in words if re.escape(w) not in free]
-    return re.compile("|".join([rf"(?<!\w)(?:{'|'.join(spaced)})(?!\w)", *free]))
+def _phrases(table: str) -> ahocorasick.Automaton:
+    """An automaton over a word table; its values tell the phrase and whether it must stand as whole words."""
+    automaton = ahocorasick.Automaton()
+    for w in {w for line in table.split("\n") for w in line.split("|") if w}:
+        whole = not re.search(r"[฀-๿぀-ヿ一-鿿©]|\W$", w)
+        automaton.add_word(w, (w, whole))
+    automaton.make_automaton()
+    return automaton
 
 
-ANCHOR_PATTERN, CUE_PATTERN, POLICY_PATTERN = _phrases(ANCHORS), _phrases(CUES), _phrases(POLICY)
+def _matches(automaton: ahocorasick.Automaton, low: str) -> Iterator[str]:
+    """The phrases in a text, longest first and without overlap; scripts without spaces match anywhere."""
+    for end, (phrase, whole) in automaton.iter_long(low):
+        if whole:
+            before = end - len(phrase)
+            if before >= 0 and (low[before].isalnum() or low[before] == "_") or end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_"):
+                continue
+        yield phrase
+
+
+ANCHOR_WORDS, CUE_WORDS, POLICY_WORDS = _phrases(ANCHORS), _phrases(CUES), _phrases(POLICY)
+
+
+@lru_cache(maxsize=2_000)
+def _letters(phrase: str) -> int:
+    return len("".join(_WORD.findall(phrase)))
 
 
 def _plain(word: str) -> str:
@@ -298,6 +315,11 @@ def _plain(word: str) -> str:
     return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
+def _ascii(word: str) -> str:
+    """Without letters that have accents, as some addresses spell names."""
+    return word if word.isascii() else word.encode("ascii", "ignore").decode()
+
+
 @lru_cache(maxsize=100_000)
 def _own(line: str, site: frozenset[str]) -> tuple:
     """The features that need no neighbours."""
@@ -313,11 +335,11 @@ def _own(line: str, site: frozenset[str]) -> tuple:
     if len(parts) > 1 and all(len(p.split()) <= 4 for p in parts):
         linked = chars
     else:
-        linked = sum(len("".join(_WORD.findall(m[0]))) for m in ANCHOR_PATTERN.finditer(low))
-    cues = [len("".join(_WORD.findall(m[0]))) or 3 for m in CUE_PATTERN.finditer(low)]
-    policy = sum(1 for _ in POLICY_PATTERN.finditer(low))
+        linked = sum(map(_letters, _matches(ANCHOR_WORDS, low)))
+    cues = [_letters(m) or 3 for m in _matches(CUE_WORDS, low)]
+    policy = sum(1 for _ in _matches(POLICY_WORDS, low))
     ends = bool(_END.search(low))
-    named = sum(1 for w in lettered if _plain(w) in site) / len(lettered)
+    named = sum(1 for w in lettered if _plain(w) in site or _ascii(w) in site) / len(lettered)
     return (n, min(1.0, linked / chars), min(1.0, sum(cues) / chars), min(3, len(cues)), min(4, policy), ends, item, bool(_AMOUNT.search(line)), len(parts) - 1, named, ":" in low or "：" in low, len(_INNER.findall(low)))
 
 
@@ -409,7 +431,7 @@ def arranged_pages(variants: int, seed: int = 7) -> list[tuple[frozenset[str], l
         policy = [line for line, y in zip(lines, labels) if not y]
         other = [line for line, y in zip(lines, labels) if y]
         for _ in range(variants):
-            menu = [str(m) for m in draw.permutation([x for x in other if ANCHOR_PATTERN.fullmatch(x.lower())])]
+            menu = [str(m) for m in draw.permutation([x for x in other if x.lower() in ANCHOR_WORDS])]
             rest = [str(x) for x in draw.permutation([x for x in other if x not in menu])]
             cut = int(draw.integers(0, len(policy)))
             body = [(line, 0) for line in [*policy[cut:], *policy[:cut]]]
@@ -443,7 +465,7 @@ def label_lines(text: str | None, site: frozenset[str], nodes: list[tuple]) -> l
 
 def classify_lines(df: DataFrame, text: str | Column, url: str | Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per non-blank line: the ``keep`` columns, ``line_no`` (lines split at line feeds, from 0), ``line``,
-    ``boilerplate`` (probability) and ``is_boilerplate`` (at least one half).
+    ``boilerplate`` (probability) and ``is_boilerplate`` (more than one half).
 
     Null, empty and blank texts have no rows; a null address gives no site name. Repeated rows are classified each.
     """
@@ -470,7 +492,7 @@ def classify_lines(df: DataFrame, text: str | Column, url: str | Column, keep: t
             result = batch[list(keep)].iloc[rows].reset_index(drop=True)
             yield result.assign(line_no=pd.Series(numbers, dtype="int32"), line=pd.Series(lines, dtype="object"), boilerplate=scores)
 
-    return source.mapInPandas(classify, schema).withColumn("is_boilerplate", F.col("boilerplate") >= 0.5)
+    return source.mapInPandas(classify, schema).withColumn("is_boilerplate", F.col("boilerplate") > 0.5)
 
 
 def main_content(lines: DataFrame, keep: tuple[str, ...]) -> DataFrame:
