@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelode.llm.boilerplate import classify_lines, main_content
+from farelode.llm.mixing import mix_sources, reached_shares, source_budgets
+from farelode.llm.packing import container_fill, pack
 from farelode.llm.pieces import split_oversized
 from farelode.llm.sentences import sentence_units
 from farelode.tables import table
@@ -55,6 +57,44 @@ def p6_content(spark: SparkSession, folder: str) -> DataFrame:
     return main_content(p6_lines(spark, folder), ("row_no",))
 
 
+# Tokens of the byte-level tokenizer: the bytes of the UTF-8 text and one end token.
+BYTE_TOKENS = "octet_length(text) + 1"
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, and of every piece of a document that is larger than one."""
+    return pack(table(spark, folder, "documents"), "doc_id", F.expr(BYTE_TOKENS), 8192)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that had to be split."""
+    return p7_containers(spark, folder).where("pieces > 1 AND piece_no = 0").select("doc_id")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """The fill of every container."""
+    return container_fill(p7_containers(spark, folder), 8192)
+
+
+def _budgets(spark: SparkSession, folder: str) -> DataFrame:
+    return source_budgets(table(spark, folder, "documents"), "source", F.expr(BYTE_TOKENS), table(spark, folder, "source_targets"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return mix_sources(table(spark, folder, "documents"), "doc_id", "source", F.expr(BYTE_TOKENS), table(spark, folder, "source_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The reached share of every listed source."""
+    return reached_shares(p8_mix(spark, folder), _budgets(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources that the mix could not bring to their share."""
+    return p8_shares(spark, folder).where("NOT can_reach").select("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_units": p3_units,
@@ -63,6 +103,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_lines": p6_lines,
     "p6_content": p6_content,
+    "p7_found": p7_found,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
 
-ORACLES: dict[str, str] = {}
+_BYTES = "(octet_length(encode(text)) + 1)"
+_P8 = f"""
+WITH t AS (SELECT trim(source) AS source, lower(trim(source)) AS k, target_share, max_repeats FROM source_targets),
+     d AS (SELECT lower(trim(source, E' \\t\\n\\r')) AS k, sum({_BYTES}) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
+     b AS (SELECT t.*, coalesce(d.n, 0) AS n FROM t LEFT JOIN d USING (k))
+"""
+
+ORACLES: dict[str, str] = {
+    "p7_found": f"SELECT doc_id FROM documents WHERE {_BYTES} > 8192",
+    "p8_found": _P8 + "SELECT source FROM b WHERE max_repeats * n < target_share * (SELECT sum(n) FROM b)",
+}
