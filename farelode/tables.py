@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of the session, once; they need not have it on their path.
+
+    Spark copies the archive from the driver to every executor, also to those that start later.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_farelode_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="farelode-code-")) / "farelode.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, f"farelode/{p.relative_to(package)}")
+    context.addPyFile(str(archive))
+    context._farelode_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
