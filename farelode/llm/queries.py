@@ -12,6 +12,7 @@ from farelode.llm.mixing import mix_sources, reached_shares, source_budgets
 from farelode.llm.packing import container_fill, pack
 from farelode.llm.pieces import split_oversized
 from farelode.llm.sentences import sentence_units
+from farelode.llm.truncation import find_truncated, truncation_rates
 from farelode.tables import table
 
 FROM_WEB = "metadata.source_url IS NOT NULL"
@@ -95,6 +96,21 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_shares(spark, folder).where("NOT can_reach").select("source")
 
 
+def p9_endings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with what its length and its ending show."""
+    return find_truncated(table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that were cut."""
+    return p9_endings(spark, folder).where("truncated").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return truncation_rates(p9_endings(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_units": p3_units,
@@ -109,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_endings": p9_endings,
+    "p9_rates": p9_rates,
 }
 
 _BYTES = "(octet_length(encode(text)) + 1)"
