@@ -8,16 +8,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelode.llm.boilerplate import classify_lines, main_content
+from farelode.llm.canonical import UNMATCHED, Issuer, NameParser, map_issuers, map_names, name_vocabulary
 from farelode.llm.mixing import mix_sources, reached_shares, source_budgets
 from farelode.llm.packing import container_fill, pack
 from farelode.llm.pieces import split_oversized
 from farelode.llm.sentences import sentence_units
 from farelode.llm.truncation import find_truncated, truncation_rates
-from farelode.tables import table
+from farelode.tables import clean_id, table
 
 FROM_WEB = "metadata.source_url IS NOT NULL"
 
 
+def _issuers(spark: SparkSession, folder: str) -> list[Issuer]:
+    """The reference list of issuers; it is fixed (240 rows)."""
+    rows = table(spark, folder, "issuer_ref").select("kind", "canonical_name", "code", "country").collect()
+    return [Issuer(r["kind"], r["canonical_name"], r["code"], r["country"]) for r in rows if r["kind"] and r["canonical_name"] and r["code"]]
+
+
+def p1_issuers(spark: SparkSession, folder: str) -> DataFrame:
+    """Carriers and suppliers of the manifest that are not verbatim a name or code, with the code they mean."""
+    manifest = table(spark, folder, "pilot_source_manifest")
+    issuers = _issuers(spark, folder)
+    verbatim = spark.createDataFrame([(i.kind, x) for i in issuers for x in (i.name, i.code)], "kind string, verbatim string").distinct()
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("typed")) for k in ("carrier", "supplier")])).alias("v")
+    values = manifest.select("row_no", kinds).select("row_no", "v.kind", "v.typed").where(clean_id(F.col("typed")).isNotNull())
+    typed = values.join(verbatim, (values["kind"] == verbatim["kind"]) & (values["typed"] == verbatim["verbatim"]), "left_anti")
+    return map_issuers(typed, issuers).select(F.lit("pilot_source_manifest").alias("table_name"), "row_no", F.col("kind").alias("field"), "typed", "canonical")
+
+
+def p1_files(spark: SparkSession, folder: str) -> DataFrame:
+    """File names of the map that are not verbatim a file of the manifest, with the file they mean."""
+    entries = table(spark, folder, "pilot_source_manifest").select(F.col("source_filename").alias("entry")).where("entry IS NOT NULL").distinct()
+    rows = table(spark, folder, "canonicalize_map").withColumn("has_new", clean_id(F.col("new_name")).isNotNull())
+    typed = rows.select(
+        F.col("row_no").alias("name_id"),
+        F.when(F.col("has_new"), "new_name").otherwise("old_name").alias("field"),
+        F.when(F.col("has_new"), F.col("new_name")).otherwise(F.col("old_name")).alias("typed"),
+    ).where("typed IS NOT NULL")
+    names = typed.join(entries.withColumnRenamed("entry", "_e"), (F.col("field") == "new_name") & (F.col("typed") == F.col("_e")), "left_anti")
+    names = names.withColumn("with_type", (F.col("field") == "new_name") | F.col("typed").rlike(r"^[a-z_]+_[A-Z]+\d_\d{4}-\d\d-\d\d_"))
+    words = name_vocabulary(entries)
+    parser = NameParser(_issuers(spark, folder), words["doc_type"], words["topic"], words["scope"])
+    return map_names(names, entries, parser).select(F.lit("canonicalize_map").alias("table_name"), F.col("name_id").alias("row_no"), "field", "typed", "canonical")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value to be mapped, with what it means."""
+    return p1_issuers(spark, folder).unionByName(p1_files(spark, folder)).drop("typed")
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that stand for nothing listed, with how often they come."""
+    both = p1_issuers(spark, folder).unionByName(p1_files(spark, folder))
+    return both.where(F.col("canonical") == UNMATCHED).groupBy("table_name", "field", "typed").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences of all clause texts and of the chunks that come from files."""
     clauses = table(spark, folder, "policy_clauses").select(F.lit("policy_clauses").alias("table_name"), "row_no", F.col("clause_text").alias("text"))
@@ -112,6 +157,10 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_issuers": p1_issuers,
+    "p1_files": p1_files,
+    "p1_unmatched": p1_unmatched,
     "p3_found": p3_found,
     "p3_units": p3_units,
     "p5_found": p5_found,

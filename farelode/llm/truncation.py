@@ -271,7 +271,7 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
 
     placed = facts.join(per_source.withColumnRenamed("source", "_s"), F.col("source") == F.col("_s"), "left").drop("_s")
     placed = placed.withColumn("at_limit", F.coalesce(reaches("lengths") | reaches("bare_lengths"), F.lit(False)))
-    statistics = ending_statistics(df, text)
+    statistics = durable(ending_statistics(df, text))  # read three times
     # the ending of a text and of its exact copies is not counted for it
     asked = copies.select("text_hash", F.col("copies").alias("own"), F.when(F.col("end.marked"), F.col("copies")).otherwise(0).alias("own_marked"), F.explode(F.concat(F.array("end.word"), "end.ends_in")).alias("_key")).where("_key IS NOT NULL")
     told = (
