@@ -118,7 +118,7 @@ def html_text(html: str | None) -> str | None:
     return "\n".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: html_text(p) if isinstance(p, str) else None)
 
