@@ -82,11 +82,13 @@ def split_clauses(text: Column) -> Column:
 
     def add(clauses: Column, part: Column) -> Column:
         joined = F.concat(F.slice(clauses, 1, F.size(clauses) - 1), F.array(F.concat_ws(" ", F.element_at(clauses, -1), part)))
-        return F.when((F.size(clauses) > 0) & (F.size(words(part)) <= 2), joined).otherwise(F.array_append(clauses, part))
+        short = F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit(""))) < 2  # a part is squeezed: words are one space apart
+        return F.when((F.size(clauses) > 0) & short, joined).otherwise(F.array_append(clauses, part))
 
-    clauses = F.aggregate(parts, none_of(), add)
-    whole = bare_clause(text)
-    return F.when((F.size(clauses) == 0) & (whole != ""), F.array(whole)).otherwise(clauses)
+    def or_whole(clauses: Column) -> Column:
+        return F.when(F.size(clauses) > 0, clauses).otherwise(F.filter(F.array(bare_clause(text)), lambda w: w != ""))
+
+    return F.aggregate(parts, none_of(), add, or_whole)
 
 
 def token_windows(text: Column, size: int = 150, overlap: int = 30) -> Column:

@@ -32,8 +32,9 @@ def explode_clauses(chunks: DataFrame, text: str = "text") -> DataFrame:
 
     A chunk without clauses keeps one clause, its own text, be it empty or null.
     """
-    clauses = split_clauses(F.col(text))
-    return chunks.select("*", F.posexplode(F.when(F.size(clauses) > 0, clauses).otherwise(F.array(F.col(text)))).alias("clause_index", "clause_text"))
+    split = chunks.withColumn("_clauses", split_clauses(F.col(text)))
+    own = F.when(F.size("_clauses") > 0, F.col("_clauses")).otherwise(F.array(F.col(text)))
+    return split.select(*chunks.columns, F.posexplode(own).alias("clause_index", "clause_text"))
 
 
 def _record(values: dict[str, Column]) -> list[Column]:

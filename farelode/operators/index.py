@@ -1,8 +1,8 @@
 """Hybrid retrieval over chunks: BM25, TF-IDF cosine and a boost by the chunks' clauses.
 
 The index is a set of long tables that are built once and written as Parquet: documents with their clauses, postings,
-term frequencies, gram weights (already divided by their document's norm) and one row of corpus statistics. A search reads
-only the postings and weights of the query's own terms, adds up per document and takes the best with
+term frequencies, gram counts, vector norms and one row of corpus statistics. A search reads
+only the postings and counts of the query's own terms, adds up per document and takes the best with
 TakeOrderedAndProject. Corpus statistics always come from all documents, never from a filtered side.
 
 Tables cut the lineage between tokenizing, counting and scoring; as one statement the plan would be too large to optimize.
@@ -11,6 +11,8 @@ Tables cut the lineage between tokenizing, counting and scoring; as one statemen
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,7 +31,7 @@ CLAUSE_TEXT_FIELDS = ("record_id", "policy_topic", "action", "clause_text", "sou
 FILTER_KEYS = ("document_type", "carrier", "supplier")
 # ---------------------------------------------------------------------------------------------------------------------
 
-TABLES = ("documents", "postings", "terms", "weights", "statistics")
+TABLES = ("documents", "postings", "terms", "statistics", "grams", "norms")
 
 
 def last_by_id(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -81,14 +83,20 @@ def corpus_statistics(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avgdl"))
 
 
-def gram_weights(documents: DataFrame, key: str, text: str, n_docs: Column | int) -> tuple[DataFrame, DataFrame]:
-    """(``key, gram, weight`` with weights divided by the document's norm, ``gram, idf``); raw counts, smoothed idf."""
-    counts = documents.select(key, F.explode(grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    total = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    idf = counts.groupBy("gram").agg((F.log((total + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
-    raw = counts.join(idf, "gram").select(key, "gram", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "gram", (F.col("raw") / F.col("norm")).alias("weight")), idf
+def gram_counts(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, gram, tf`` of words and pairs of neighbouring words."""
+    return documents.select(key, F.explode(grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def smooth_idf(n_docs: Column, df: Column) -> Column:
+    return F.log((n_docs + 1) / (df + 1)) + 1
+
+
+def vector_norms(counts: DataFrame, key: str, n_docs: int) -> DataFrame:
+    """``key, norm``: the length of each document's vector of raw counts times smoothed idf."""
+    idf = counts.groupBy("gram").agg(smooth_idf(F.lit(n_docs), F.count(F.lit(1))).alias("idf"))
+    weight = F.col("tf") * F.col("idf")
+    return counts.join(idf, "gram").groupBy(key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
 @dataclass(frozen=True)
@@ -111,12 +119,13 @@ class HybridIndex:
         docs.withColumn("combined", combined_text(F.col("text"), F.col("clauses"))).drop("_order").write.mode("overwrite").parquet(f"{path}/documents")
         docs = index.table(spark, "documents")
         postings = term_counts(docs, "chunk_id", "combined").join(document_lengths(docs, "chunk_id", "combined"), "chunk_id")
+        # sorted by term, so that a search reads the row groups of its own terms only
         postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         document_frequencies(index.table(spark, "postings")).write.mode("overwrite").parquet(f"{path}/terms")
         corpus_statistics(document_lengths(docs, "chunk_id", "combined")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+        gram_counts(docs, "chunk_id", "combined").repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
         n_docs = index.table(spark, "statistics").first()["n_docs"]
-        weights, idf = gram_weights(docs, "chunk_id", "combined", n_docs)
-        weights.join(idf, "gram").repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/weights")
+        vector_norms(index.table(spark, "grams"), "chunk_id", n_docs).write.mode("overwrite").parquet(f"{path}/norms")
         spark.createDataFrame([(fingerprint or "",)], "fingerprint string").coalesce(1).write.mode("overwrite").json(f"{path}/fingerprint")
         return index
 
@@ -140,8 +149,8 @@ class HybridIndex:
         if filters and any(filters.values()):
             docs = docs.where(matches_filters(filters))
         bm25 = bm25_scores(self.table(spark, "postings"), self.table(spark, "terms"), self.table(spark, "statistics"), spark, query)
-        vector = vector_scores(self.table(spark, "weights"), spark, query)
-        scored = docs.join(bm25, "chunk_id", "left").join(vector, "chunk_id", "left").withColumns({"bm25": F.coalesce("bm25", F.lit(0.0)), "vector": F.coalesce("vector", F.lit(0.0)), "clause_boost": clause_boost(F.col("clauses"), query, spark)})
+        vector = vector_scores(self.table(spark, "grams"), self.table(spark, "norms"), self.table(spark, "statistics"), spark, query)
+        scored = docs.join(bm25, "chunk_id", "left").join(vector, "chunk_id", "left").withColumns({"bm25": F.coalesce("bm25", F.lit(0.0)), "vector": F.coalesce("vector", F.lit(0.0)), "clause_boost": clause_boost(F.col("clauses"), query)})
         hits = scored.where("bm25 > 0 OR vector > 0 OR clause_boost > 0").withColumn("hybrid", WEIGHT_BM25 * F.col("bm25") + WEIGHT_VECTOR * F.col("vector") + F.col("clause_boost"))
         hits = hits.withColumn("hybrid", F.round("hybrid", 9))  # sums in another order must not change the ranking
         if top_k is None:
@@ -153,10 +162,15 @@ class HybridIndex:
         return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hybrid"), F.asc("ord"))))
 
 
-def query_terms(spark: SparkSession, query: str) -> dict[str, int]:
-    """The query's search tokens with their counts; a query is one short text, so this runs on the driver."""
-    rows = spark.createDataFrame([(query,)], "q string").select(F.explode(search_tokens(F.col("q"))).alias("t")).groupBy("t").count().collect()
-    return {r["t"]: r["count"] for r in rows}
+def query_terms(query: str) -> dict[str, int]:
+    """The query's search tokens with their counts; a query is one short text."""
+    return dict(Counter(t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) > 1))
+
+
+def query_grams(query: str) -> dict[str, int]:
+    """The query's words and pairs with their counts."""
+    w = re.findall(r"\w{2,}", query.lower())
+    return dict(Counter([*w, *map(" ".join, zip(w, w[1:]))]))
 
 
 def _literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -165,7 +179,7 @@ def _literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataF
 
 def bm25_scores(postings: DataFrame, terms: DataFrame, statistics: DataFrame, spark: SparkSession, query: str) -> DataFrame:
     """``chunk_id, bm25`` of the chunks that have a term of the query; a term repeated in the query counts as often."""
-    counts = query_terms(spark, query)
+    counts = query_terms(query)
     wanted = list(counts)
     q = _literal_table(spark, list(counts.items()), "term string, qn bigint")
     known = terms.where(F.col("term").isin(wanted)).join(q, "term")
@@ -177,21 +191,24 @@ def bm25_scores(postings: DataFrame, terms: DataFrame, statistics: DataFrame, sp
     return parts.groupBy("chunk_id").agg(F.sum(F.col("qn") * idf * gain).alias("bm25"))
 
 
-def vector_scores(weights: DataFrame, spark: SparkSession, query: str) -> DataFrame:
-    """``chunk_id, vector``: the cosine of the query's and the chunk's gram weights; grams outside the corpus don't count."""
-    rows = spark.createDataFrame([(query,)], "q string").select(F.explode(grams(F.col("q"))).alias("g")).groupBy("g").count().collect()
-    counts = {r["g"]: r["count"] for r in rows}
-    q = _literal_table(spark, list(counts.items()), "gram string, qn bigint")
-    hits = weights.where(F.col("gram").isin(list(counts))).join(F.broadcast(q), "gram")
-    # the query's norm runs over its known grams only; each gram's idf stands beside the weights
-    norm = hits.select("gram", "qn", "idf").distinct().agg(F.sqrt(F.sum((F.col("qn") * F.col("idf")) * (F.col("qn") * F.col("idf")))).alias("qnorm"))
-    sums = hits.groupBy("chunk_id").agg(F.sum(F.col("weight") * F.col("qn") * F.col("idf")).alias("dot"))
-    return sums.crossJoin(F.broadcast(norm)).select("chunk_id", (F.col("dot") / F.col("qnorm")).alias("vector"))
+def vector_scores(counts: DataFrame, norms: DataFrame, statistics: DataFrame, spark: SparkSession, query: str) -> DataFrame:
+    """``chunk_id, vector``: the cosine of the query's and the chunk's gram weights; grams outside the corpus don't count.
+
+    The frequencies of the query's grams follow from the rows read for them. A corpus or query without grams gives no rows.
+    """
+    asked = query_grams(query)
+    q = _literal_table(spark, list(asked.items()), "gram string, qn bigint")
+    hits = counts.where(F.col("gram").isin(list(asked)))
+    weighed = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(q, "gram").crossJoin(statistics).select("gram", "qn", smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    # at most one row per gram of the query
+    norm = weighed.agg(F.sqrt(F.sum((F.col("qn") * F.col("idf")) * (F.col("qn") * F.col("idf")))).alias("qnorm"))
+    sums = hits.join(F.broadcast(weighed), "gram").groupBy("chunk_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qn") * F.col("idf")).alias("dot"))
+    return sums.join(norms, "chunk_id").crossJoin(F.broadcast(norm)).select("chunk_id", (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("vector"))
 
 
-def clause_boost(clauses: Column, query: str, spark: SparkSession) -> Column:
+def clause_boost(clauses: Column, query: str) -> Column:
     """What a chunk's clauses add: shared tokens, and their topic or action standing in the query (as any part of it)."""
-    tokens = sorted(query_terms(spark, query))
+    tokens = sorted(query_terms(query))
     if not tokens:
         return F.lit(0.0)
     q, low = F.lit(tokens), F.lit(query.lower())
@@ -245,4 +262,4 @@ def cached_index(spark: SparkSession, chunks: DataFrame, clauses: DataFrame, pat
     return index if index.is_current(spark, fingerprint) else HybridIndex.build(chunks, clauses, path, fingerprint=fingerprint)
 
 
-__all__ = ["HybridIndex", "attach_clauses", "bm25_scores", "cached_index", "clause_boost", "combined_text", "corpus_statistics", "document_frequencies", "document_lengths", "gram_weights", "gram_words", "input_fingerprint", "last_by_id", "matches_filters", "term_counts", "vector_scores"]
+__all__ = ["HybridIndex", "attach_clauses", "bm25_scores", "cached_index", "clause_boost", "combined_text", "corpus_statistics", "document_frequencies", "document_lengths", "gram_counts", "gram_words", "input_fingerprint", "last_by_id", "matches_filters", "term_counts", "vector_scores"]

@@ -12,18 +12,22 @@ from farelode.functions.text import token_windows
 from farelode.operators import answers, clauses, evaluation, index, labels, vectors
 from farelode.plans import policy_sql
 from farelode.sources import files
-from farelode.tables import durable, scratch_folder, table
+from farelode.tables import durable, scratch_folder, spread, table
 
 QUESTION = "What refund is due before departure, and which fee applies to a no-show or waiver?"
 FILTERS = {"document_type": "Fare_Rule"}
 
 
 def _clauses(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "policy_clauses")
+    return spread(table(spark, folder, "policy_clauses"))
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunks")
+    return spread(table(spark, folder, "chunks"))
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"))
 
 
 def clause_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +77,7 @@ def stub_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Token windows of all documents, 150 tokens with 30 shared."""
-    windows = table(spark, folder, "documents").select("doc_id", F.posexplode(token_windows(F.col("text"))).alias("window_no", "w"))
+    windows = _documents(spark, folder).select("doc_id", F.posexplode(token_windows(F.col("text"))).alias("window_no", "w"))
     return windows.select("doc_id", "window_no", "w.start_token", "w.end_token", F.col("w.text").alias("window_text"))
 
 
@@ -90,12 +94,12 @@ def manifest_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def term_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Per term of all documents its document frequency and its occurrences."""
-    postings = index.term_counts(table(spark, folder, "documents"), "doc_id", "text")
+    postings = index.term_counts(_documents(spark, folder), "doc_id", "text")
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def document_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    return index.document_lengths(table(spark, folder, "documents"), "doc_id", "text")
+    return index.document_lengths(_documents(spark, folder), "doc_id", "text")
 
 
 def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +132,7 @@ def hybrid_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten documents that match one question best by terms alone."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = _documents(spark, folder).select("doc_id", "text")
     lengths = index.document_lengths(docs, "doc_id", "text")
     postings = durable(index.term_counts(docs, "doc_id", "text").join(lengths, "doc_id").withColumnRenamed("doc_id", "chunk_id"))
     scores = index.bm25_scores(postings, index.document_frequencies(postings), index.corpus_statistics(lengths), spark, QUESTION)
