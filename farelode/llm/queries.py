@@ -14,7 +14,7 @@ from farelode.llm.packing import container_fill, pack
 from farelode.llm.pieces import split_oversized
 from farelode.llm.sentences import sentence_units
 from farelode.llm.truncation import find_truncated, truncation_rates
-from farelode.tables import clean_id, table
+from farelode.tables import clean_id, spread, table
 
 FROM_WEB = "metadata.source_url IS NOT NULL"
 
@@ -67,19 +67,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences of all clause texts and of the chunks that come from files."""
     clauses = table(spark, folder, "policy_clauses").select(F.lit("policy_clauses").alias("table_name"), "row_no", F.col("clause_text").alias("text"))
     chunks = table(spark, folder, "chunks").where(f"NOT ({FROM_WEB})").select(F.lit("chunks").alias("table_name"), "row_no", "text")
-    return sentence_units(clauses.unionAll(chunks), "text", keep=("table_name", "row_no")).drop("unit_no")
+    return sentence_units(spread(clauses.unionAll(chunks)), "text", keep=("table_name", "row_no")).drop("unit_no")
 
 
 def p3_units(spark: SparkSession, folder: str) -> DataFrame:
     """Sentence units, with their number in the text, of all documents and of web chunks (each line by itself)."""
     documents = table(spark, folder, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_no"), "text", F.lit(False).alias("web"))
     chunks = table(spark, folder, "chunks").where(FROM_WEB).select(F.lit("chunks").alias("table_name"), "row_no", "text", F.lit(True).alias("web"))
-    return sentence_units(documents.unionAll(chunks), "text", "web", keep=("table_name", "row_no"))
+    return sentence_units(spread(documents.unionAll(chunks)), "text", "web", keep=("table_name", "row_no"))
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of all chunks with more than 150 tokens, 30 of which are repeated from the piece before."""
-    return split_oversized(table(spark, folder, "chunks"), "text", F.expr(FROM_WEB), keep=("row_no",), limit=150, overlap=30)
+    return split_oversized(spread(table(spark, folder, "chunks")), "text", F.expr(FROM_WEB), keep=("row_no",), limit=150, overlap=30)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,7 +89,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_lines(spark: SparkSession, folder: str) -> DataFrame:
     """All lines of all web chunks with their class."""
-    web = table(spark, folder, "chunks").where(FROM_WEB)
+    web = spread(table(spark, folder, "chunks")).where(FROM_WEB)
     return classify_lines(web, "text", "metadata.source_url", keep=("row_no",))
 
 
@@ -143,7 +143,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_endings(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with what its length and its ending show."""
-    return find_truncated(table(spark, folder, "documents"), "doc_id", "text", "source")
+    return find_truncated(spread(table(spark, folder, "documents")), "doc_id", "text", "source")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

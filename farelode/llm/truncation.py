@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelode.llm.sentences import THAI_RUN, sentences, thai_words
+from farelode.llm.sentences import sentences, thai_words
 from farelode.tables import clean_id, durable
 
 REPRESENTATIONS = ("characters", "utf8", "utf16", "entities", "entities_without_quotes", "entities_utf8", "json", "json_utf8", "json_ascii", "crlf", "crlf_utf8")
@@ -57,7 +57,7 @@ def tokens(text: str) -> list[str]:
     out = []
     for m in _TOKEN.finditer(text):
         t = m[0]
-        if THAI_RUN.match(t):
+        if "\u0e00" <= t[0] <= "\u0e7f":
             out.extend(thai_words(t))
         else:
             out.append(t)
@@ -132,12 +132,10 @@ STATS = "key string, ends bigint, marked bigint, goes_on bigint"
 
 
 def ending_statistics(texts: DataFrame, column: str) -> DataFrame:
-    """Per context how many units end there, how many of them with a mark of omission, and how many go on.
-
-    Keys that start with 1 are single words (``goes_on``: their occurrences before the last word of a text).
-    """
+    """Per context how many units end there, how many of them with a mark of omission, and how many go on."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms: dict[str, tuple[str, str]] = {}  # a word's plain form and shape
         for batch in batches:
             on: Counter = Counter()
             end: Counter = Counter()
@@ -151,26 +149,35 @@ def ending_statistics(texts: DataFrame, column: str) -> DataFrame:
                     words = tokens(bare[a:b])
                     if not words:
                         continue
-                    plain = [_plain(w) for w in words]
+                    plain, shapes = [], []
+                    for w in words:
+                        f = forms.get(w)
+                        if f is None:
+                            f = forms[w] = (_plain(w), _shape(w))
+                        plain.append(f[0])
+                        shapes.append(f[1])
                     n, final = len(words) - 1, u == len(units) - 1
-                    on.update(["1\t" + p for p in (plain[:-1] if final else plain)])
                     kind = _kind(words)
-                    on.update([_pair(kind, plain, i) for i in range(n)])
+                    before, keys = "^", []
+                    for i, p in enumerate(plain[:-1]):
+                        keys.append(f"2{kind}\t{before}\t{p}" if p != "." or i < 2 else _pair(kind, plain, i))
+                        before = p
                     if kind == "R":
                         two, four = " ".join(plain[:2]), " ".join(plain[:4])
                         for i in range(min(n, SHORT)):
-                            at = f"{i}\t{_shape(words[i])}"
-                            on[f"3{two if i else plain[0]}\t{at}"] += 1
-                            on[f"4{four if i > 2 else ' '.join(plain[: i + 1])}\t{at}"] += 1
+                            at = f"\t{i}\t{shapes[i]}"
+                            keys.append(f"3{two if i else plain[0]}{at}")
+                            keys.append(f"4{four if i > 2 else ' '.join(plain[: i + 1])}{at}")
+                    on.update(keys)
                     for key in contexts(words, plain, n):
                         end[key] += 1
                         if final and mark:
                             marked[key] += 1
-                    if final:
-                        end["1\t" + plain[-1]] += 1
                 if len(on) > 500_000:
                     yield _rows(on, end, marked)
                     on, end, marked = Counter(), Counter(), Counter()
+                if len(forms) > 200_000:
+                    forms.clear()
             yield _rows(on, end, marked)
 
     return (
@@ -272,19 +279,22 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
     placed = facts.join(per_source.withColumnRenamed("source", "_s"), F.col("source") == F.col("_s"), "left").drop("_s")
     placed = placed.withColumn("at_limit", F.coalesce(reaches("lengths") | reaches("bare_lengths"), F.lit(False)))
     statistics = durable(ending_statistics(df, text))  # read three times
+    # how often a last word stands anywhere follows from the pairs that end in it
+    parts = F.split("key", "\t")
+    pairs = statistics.where(F.col("key").startswith("2")).select("key", parts[0].alias("k"), parts[1].alias("p"), parts[2].alias("w"), "ends", "goes_on")
+    uses = pairs.groupBy(F.concat(F.lit("1\t"), F.col("w")).alias("key")).agg(F.sum("ends").alias("ends"), F.lit(0).cast("bigint").alias("marked"), F.sum("goes_on").alias("goes_on"))
+    statistics_and_uses = statistics.unionByName(uses)
     # the ending of a text and of its exact copies is not counted for it
     asked = copies.select("text_hash", F.col("copies").alias("own"), F.when(F.col("end.marked"), F.col("copies")).otherwise(0).alias("own_marked"), F.explode(F.concat(F.array("end.word"), "end.ends_in")).alias("_key")).where("_key IS NOT NULL")
     told = (
-        asked.join(statistics, F.col("_key") == F.col("key"))
+        asked.join(statistics_and_uses, F.col("_key") == F.col("key"))
         .select(F.col("text_hash").alias("_h"), F.substring("_key", 1, 1).alias("kind"), (F.col("ends") - F.col("own")).alias("ends"), (F.col("marked") - F.col("own_marked")).alias("with_mark"), "goes_on")
         .groupBy("_h")
         .agg(*[F.max(F.when(F.col("kind") == k, F.struct("ends", "with_mark", "goes_on"))).alias(n) for k, n in (("1", "w"), ("2", "p"), ("3", "o"), ("4", "f"))])
     )
     # a last word that begins a longer word which stands elsewhere in the same place, and itself stands there nowhere, is cut
-    parts = F.split("key", "\t")
     begun = (
-        statistics.where(F.col("key").startswith("2"))
-        .select(parts[0].alias("k"), parts[1].alias("p"), parts[2].alias("w"), (F.col("ends") + F.col("goes_on")).alias("n"))
+        pairs.select("k", "p", "w", (F.col("ends") + F.col("goes_on")).alias("n"))
         .where(F.length("w") > 1)
         .select("n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w") - 1, F.lit(24))), lambda n: F.concat_ws("\t", "k", "p", F.substring("w", F.lit(1), n)))).alias("_begun"))
         .groupBy("_begun")
