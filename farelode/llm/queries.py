@@ -28,12 +28,10 @@ def _issuers(spark: SparkSession, folder: str) -> list[Issuer]:
 def p1_issuers(spark: SparkSession, folder: str) -> DataFrame:
     """Carriers and suppliers of the manifest that are not verbatim a name or code, with the code they mean."""
     manifest = table(spark, folder, "pilot_source_manifest")
-    issuers = _issuers(spark, folder)
-    verbatim = spark.createDataFrame([(i.kind, x) for i in issuers for x in (i.name, i.code)], "kind string, verbatim string").distinct()
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("typed")) for k in ("carrier", "supplier")])).alias("v")
     values = manifest.select("row_no", kinds).select("row_no", "v.kind", "v.typed").where(clean_id(F.col("typed")).isNotNull())
-    typed = values.join(verbatim, (values["kind"] == verbatim["kind"]) & (values["typed"] == verbatim["verbatim"]), "left_anti")
-    return map_issuers(typed, issuers).select(F.lit("pilot_source_manifest").alias("table_name"), "row_no", F.col("kind").alias("field"), "typed", "canonical")
+    mapped = map_issuers(values, _issuers(spark, folder)).where("NOT verbatim")
+    return mapped.select(F.lit("pilot_source_manifest").alias("table_name"), "row_no", F.col("kind").alias("field"), "typed", "canonical")
 
 
 def p1_files(spark: SparkSession, folder: str) -> DataFrame:
