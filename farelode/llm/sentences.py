@@ -121,6 +121,7 @@ def thai_words(run: str) -> tuple[str, ...]:
     return tuple(reversed(words))
 
 
+_COUNTED = re.compile(r"\d[\d.,]*\s+[a-zà-ÿ]{4,}\s")
 _AMOUNT = re.compile(r"[A-Z]{3}\s\d|[$€£¥]\s?\d")
 
 
@@ -156,7 +157,14 @@ def _period_ends(text: str, start: int, dot: int, after: int) -> bool:
         return True
     if word in ("min", "max"):  # before an amount; in upper case it is part of a name
         return text[dot - 3].isupper()
-    if word in NEVER_FINAL or (len(word) == 1 and word.isalpha()):
+    if len(word) == 1 and word.isalpha():
+        before = text[start : dot - 1].rstrip()
+        if word == "h" and before[-1:].isdigit():  # hours
+            return not nxt.isdigit()
+        # a class letter behind its noun, not an initial
+        noun = re.search(r"(?:^|\s)([^\W\d_]{4,})$", before)
+        return text[dot - 1].isupper() and noun is not None and noun[1].islower() and not nxt.isdigit()
+    if word in NEVER_FINAL or word.replace("’", "'").rsplit("'", 1)[-1] in NEVER_FINAL:
         return False
     if "." in word and word.replace(".", "").isalpha() and all(len(x) == 1 for x in word.split(".") if x) and word not in MAYBE_FINAL:
         return not (nxt.isdigit() or nxt.isalpha() and not nxt.isupper())
@@ -165,6 +173,8 @@ def _period_ends(text: str, start: int, dot: int, after: int) -> bool:
         following = text[after : after + 6].split(None, 1)
         if _AMOUNT.match(text, after):
             return False
+        if nxt.isdigit():  # a number that a noun follows begins a sentence: 2 pieces
+            return _COUNTED.match(text, after) is not None
         return not (following and following[0].rstrip(".,;") in LEGAL_FORMS) and not (nxt.isdigit() or nxt in "&")
     if word in MONTHS:
         return not nxt.isdigit()
@@ -181,8 +191,15 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿「『【《]")
 
 
 def _joined(text: str, start: int, mark: int, after: int, end: int) -> bool:
-    """Whether a sentence of another script begins without a space behind the terminator at ``mark``."""
+    """Whether a sentence begins without a space behind the terminator at ``mark``: in another script, or the space was lost."""
     nxt = text[after]
+    if nxt.isupper() and _LATIN_START.match(text, after):  # the space was lost
+        i = mark
+        while i > start and not text[i - 1].isspace():
+            i -= 1
+        token = text[i:mark]
+        if (_LATIN_WORD.search(token) or token[-1:] in ")%" or token[-1:].isdigit() and text[mark] == ".") and not _ADDRESS.match(token):
+            return token.lower() not in NEVER_FINAL
     if _CJK.match(nxt) or nxt in "“（":
         return _CJK.search(text, after, min(end, after + 8)) is not None
     if not nxt.isupper() or not (text[mark - 1].islower() or text[mark - 1].isdigit() or text[mark - 1] in ")%"):
@@ -191,6 +208,9 @@ def _joined(text: str, start: int, mark: int, after: int, end: int) -> bool:
     return _CJK.search(text, after, sentence.start() if sentence else end) is not None
 
 
+_LATIN_START = re.compile(r"[A-ZÀ-Þ](?:[a-zß-ÿ'’]|\s)|[A-Z][A-Z][a-z]")
+_LATIN_WORD = re.compile(r"[a-zß-ÿ]{3,}[\"”»)]*$")
+_ADDRESS = re.compile(r"(?i)[(\"“]*(?:https?:|www\.|\S+@)")
 _WIDE_END = re.compile(r"[。！？｡\n]|[.!?]\s")
 # Scripts without letter case in which a full stop only abbreviates
 _DANDA = re.compile(r"[ऀ-෿]")
@@ -274,16 +294,14 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
                 if not nxt.isupper() or text[m.start() - 1 : m.start()].isspace():
                     continue
             else:
+                if devanagari is None:
+                    devanagari = _DANDA.search(text, start, end) is not None
+                if devanagari and _DANDA.match(text[m.start() - 1]):
+                    continue  # there a period only abbreviates
                 if _CASELESS.match(nxt):
-                    if devanagari is None:
-                        devanagari = _DANDA.search(text, start, end) is not None
-                    if devanagari:
-                        continue
                     word = _abbreviation(text, begin, m.start())
-                    if len(word) == 1:
+                    if len(word) == 1 and word.isalpha() or word in NEVER_FINAL:
                         continue
-                elif devanagari is None and _DANDA.search(text, start, end):
-                    continue
                 elif not _period_ends(text, begin, m.start(), after):
                     continue
         elif first == "…":
@@ -348,6 +366,7 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+_LABEL = re.compile(r"^\S{0,12}\s?(?:\d{1,3}(?:\.\d+)*|[A-Z])\.$")  # Section 3.
 _END_MARK = ".!?؟۔।॥。！？｡…\"”“»」』)）"
 
 
@@ -375,10 +394,9 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         # a heading, or running text whose last sentence has no end
         units: list[tuple[int, int]] = []
         _paragraph(text, start, end, units)
-        last = units[-1]
-        if len(units) > 1 and end - start <= 60 and len(units) <= 2 and units[0][1] - units[0][0] <= 14:
+        if len(units) == 2 and end - start <= 60 and _LABEL.search(text[units[0][0] : units[0][1]]):
             units = [(start, end)]
-        out.extend(units if last else [])
+        out.extend(units)
         return
     if THAI.search(text, start, end):
         _thai_paragraph(text, start, end, out)

@@ -240,7 +240,7 @@ def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor:
     """Per source its limits: ``source, representation`` (its number), ``stored`` (the length), ``texts`` (that have it).
 
     A length is a limit if at least ``least`` different texts and a ``share`` of the source's reach it (in bytes, up to three
-    less) and more than ``factor`` times as many as the mean of the ``near`` lengths below it lets expect, plus one half. Of the representations of a source only those count
+    less) and more than ``factor`` times as many as the mean of the ``near`` lengths on its denser side lets expect, plus one half. Of the representations of a source only those count
     that explain nearly as many texts as the best. The windows run over distinct lengths, whose number the longest text
     bounds, not over texts.
     """
@@ -250,9 +250,10 @@ def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor:
     w = Window.partitionBy("source", "representation").orderBy("stored")
     spikes = (
         counted.withColumn("window", F.when(in_bytes, F.sum("texts").over(w.rangeBetween(-BYTE_SLACK, 0))).otherwise(F.col("texts")))
-        .withColumn("below", F.coalesce(F.sum("texts").over(w.rangeBetween(-near - BYTE_SLACK - 1, -BYTE_SLACK - 1)), F.lit(0)))
+        .withColumn("below", F.coalesce(F.sum("texts").over(w.rangeBetween(-near - BYTE_SLACK, -BYTE_SLACK - 1)), F.lit(0)))
+        .withColumn("above", F.coalesce(F.sum("texts").over(w.rangeBetween(1, near)), F.lit(0)))
         .withColumn("width", F.when(in_bytes, BYTE_SLACK + 1).otherwise(1))
-        .where((F.col("window") >= least) & (F.col("window") > factor * (F.col("below") / near * F.col("width") + 0.5)) & (F.col("texts") * 2 >= F.col("window")))
+        .where((F.col("window") >= least) & (F.col("window") > factor * (F.greatest("below", "above") / near * F.col("width") + 0.5)) & (F.col("texts") * 2 >= F.col("window")))
     )
     sizes = facts.groupBy("source").agg(F.count_distinct("text_hash").alias("_all")).withColumnRenamed("source", "_s")
     spikes = spikes.join(sizes, F.col("source") == F.col("_s")).where(F.col("window") >= share * F.col("_all"))
