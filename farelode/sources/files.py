@@ -95,17 +95,28 @@ class _VisibleText(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.silent = 0
+        self.open = False  # whether the last node may go on
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.silent += tag in SILENT_TAGS
+        self.open = False
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT_TAGS and self.silent:
             self.silent -= 1
+        self.open = False
+
+    def handle_comment(self, data: str) -> None:
+        self.open = False
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
+        if self.silent:
+            return
+        if self.open:  # the parser hands out one node in pieces
+            self.parts[-1] += data
+        else:
             self.parts.append(data)
+        self.open = True
 
 
 def html_text(html: str | None) -> str | None:
