@@ -97,7 +97,7 @@ def _kind(words: list[str]) -> str:
     return "R"
 
 
-def _pair(kind: str, plain: list[str], i: int) -> str:
+def _pair(kind: str, plain: tuple[str, ...], i: int) -> str:
     """The last two tokens; before a period the last three, as short words before one are often abbreviated."""
     before = plain[i - 1] if i else "^"
     if plain[i] == "." and i > 1:
@@ -105,14 +105,13 @@ def _pair(kind: str, plain: list[str], i: int) -> str:
     return f"2{kind}\t{before}\t{plain[i]}"
 
 
-def contexts(words: list[str], plain: list[str], i: int) -> tuple[str, ...]:
+def contexts(kind: str, plain: tuple[str, ...], shapes: tuple[str, ...], i: int) -> tuple[str, ...]:
     """The keys of the position behind token ``i``: of the last two tokens, and in short running units of the first two and
     the first four tokens with the position and the shape of the last one."""
-    kind = _kind(words)
     pair = _pair(kind, plain, i)
     if kind != "R" or i >= SHORT:
         return (pair,)
-    end = f"{i}\t{_shape(words[i])}"
+    end = f"{i}\t{shapes[i]}"
     return pair, f"3{' '.join(plain[: min(2, i + 1)])}\t{end}", f"4{' '.join(plain[: min(4, i + 1)])}\t{end}"
 
 
@@ -128,69 +127,43 @@ def _units(text: str) -> list[tuple[int, int]]:
     return sentences(text, lines=True)
 
 
-STATS = "key string, ends bigint, marked bigint, goes_on bigint"
-
-
-def ending_statistics(texts: DataFrame, column: str) -> DataFrame:
-    """Per context how many units end there, how many of them with a mark of omission, and how many go on."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forms: dict[str, tuple[str, str]] = {}  # a word's plain form and shape
-        for batch in batches:
-            on: Counter = Counter()
-            end: Counter = Counter()
-            marked: Counter = Counter()
-            for text in batch["_text"].tolist():
-                if not isinstance(text, str) or not text.strip():
-                    continue
-                bare, mark = split_mark(text)
-                units = _units(bare)
-                for u, (a, b) in enumerate(units):
-                    words = tokens(bare[a:b])
-                    if not words:
-                        continue
-                    plain, shapes = [], []
-                    for w in words:
-                        f = forms.get(w)
-                        if f is None:
-                            f = forms[w] = (_plain(w), _shape(w))
-                        plain.append(f[0])
-                        shapes.append(f[1])
-                    n, final = len(words) - 1, u == len(units) - 1
-                    kind = _kind(words)
-                    before, keys = "^", []
-                    for i, p in enumerate(plain[:-1]):
-                        keys.append(f"2{kind}\t{before}\t{p}" if p != "." or i < 2 else _pair(kind, plain, i))
-                        before = p
-                    if kind == "R":
-                        two, four = " ".join(plain[:2]), " ".join(plain[:4])
-                        for i in range(min(n, SHORT)):
-                            at = f"\t{i}\t{shapes[i]}"
-                            keys.append(f"3{two if i else plain[0]}{at}")
-                            keys.append(f"4{four if i > 2 else ' '.join(plain[: i + 1])}{at}")
-                    on.update(keys)
-                    for key in contexts(words, plain, n):
-                        end[key] += 1
-                        if final and mark:
-                            marked[key] += 1
-                if len(on) > 500_000:
-                    yield _rows(on, end, marked)
-                    on, end, marked = Counter(), Counter(), Counter()
-                if len(forms) > 200_000:
-                    forms.clear()
-            yield _rows(on, end, marked)
-
-    return (
-        texts.select(F.col(column).cast("string").alias("_text"))
-        .mapInPandas(count, STATS)
-        .groupBy("key")
-        .agg(F.sum("ends").alias("ends"), F.sum("marked").alias("marked"), F.sum("goes_on").alias("goes_on"))
-    )
-
-
-def _rows(on: Counter, end: Counter, marked: Counter) -> pd.DataFrame:
-    keys = list(on.keys() | end.keys())
-    return pd.DataFrame({"key": keys, "ends": [end[k] for k in keys], "marked": [marked[k] for k in keys], "goes_on": [on[k] for k in keys]})
+COUNTS = "context string, ends bigint, marked_ends bigint, goes_on bigint"
+FACTS = "lengths array<int>, bare_lengths array<int>, marked boolean, sentence boolean, open_quote boolean, word string, ends_in array<string>"
+
+
+class _Counts:
+    """Context counts of many units. Equal units, digits aside, are counted first and taken apart once."""
+
+    def __init__(self) -> None:
+        self.units: Counter = Counter()
+
+    def add(self, kind: str, plain: tuple[str, ...], shapes: tuple[str, ...], marked: bool) -> None:
+        self.units[kind, plain, shapes, marked] += 1
+
+    def rows(self) -> pd.DataFrame:
+        on: dict[str, int] = {}
+        end: dict[str, int] = {}
+        mark: dict[str, int] = {}
+        for (kind, plain, shapes, marked), n in self.units.items():
+            before, keys = "^", []
+            for i, p in enumerate(plain[:-1]):
+                keys.append(f"2{kind}\t{before}\t{p}" if p != "." or i < 2 else _pair(kind, plain, i))
+                before = p
+            if kind == "R":
+                two, four = " ".join(plain[:2]), " ".join(plain[:4])
+                for i in range(min(len(plain) - 1, SHORT)):
+                    at = f"\t{i}\t{shapes[i]}"
+                    keys.append(f"3{two if i else plain[0]}{at}")
+                    keys.append(f"4{four if i > 2 else ' '.join(plain[: i + 1])}{at}")
+            for key in keys:
+                on[key] = on.get(key, 0) + n
+            for key in contexts(kind, plain, shapes, len(plain) - 1):
+                end[key] = end.get(key, 0) + n
+                if marked:
+                    mark[key] = mark.get(key, 0) + n
+        self.units.clear()
+        keys = list(on.keys() | end.keys())
+        return pd.DataFrame({"context": keys, "ends": [end.get(k, 0) for k in keys], "marked_ends": [mark.get(k, 0) for k in keys], "goes_on": [on.get(k, 0) for k in keys]})
 
 
 def _unclosed(text: str) -> bool:
@@ -206,36 +179,69 @@ def _unclosed(text: str) -> bool:
     return unit.count("“") > unit.count("”") or unit.count("(") > unit.count(")") or unit.count("（") > unit.count("）")
 
 
-def _facts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Per text its lengths, its mark, whether it ends like a sentence, and the contexts of its end."""
+def _scan(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """One pass over the texts that gives two kinds of rows: one per non-blank text (``context`` null) with its lengths, its
+    mark, whether it ends like a sentence and the contexts of its end; and the counts of all contexts, folded per batch.
+
+    A context's counts: how many units end there, how many of them with a mark of omission, and how many go on.
+    """
     kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, source string, text_hash bigint, lengths array<int>, bare_lengths array<int>, marked boolean, sentence boolean, open_quote boolean, word string, ends_in array<string>"
+    schema = f"`{key}` {kind}, source string, text_hash bigint, {FACTS}, {COUNTS}"
+    names = [c.split()[0] for c in FACTS.split(", ")]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms: dict[str, tuple[str, str]] = {}  # a word's plain form and shape
+        counts = _Counts()
         for batch in batches:
             rows = []
             for t in batch["_text"].tolist():
                 bare, mark = split_mark(t)
                 units = _units(bare)
-                lengths = stored_lengths(t)
                 word, ends_in = None, []
-                unclosed = False
-                if units:
-                    a, b = units[-1]
+                for u, (a, b) in enumerate(units):
                     words = tokens(bare[a:b])
-                    if words:
-                        plain = [_plain(w) for w in words]
-                        ends_in = list(contexts(words, plain, len(words) - 1))
-                        word = "1\t" + plain[-1]
-                    unclosed = _unclosed(bare)
-                rows.append((lengths, stored_lengths(bare) if mark else lengths, mark, bool(_TERMINATOR.search(bare)), unclosed, word, ends_in))
-            found = pd.DataFrame(rows, columns=["lengths", "bare_lengths", "marked", "sentence", "open_quote", "word", "ends_in"])
-            yield pd.concat([batch[[key, "source", "text_hash"]].reset_index(drop=True), found], axis=1)
+                    if not words:
+                        continue
+                    plain, shapes = [], []
+                    for w in words:
+                        f = forms.get(w)
+                        if f is None:
+                            f = forms[w] = (_plain(w), _shape(w))
+                        plain.append(f[0])
+                        shapes.append(f[1])
+                    final = u == len(units) - 1
+                    unit = (_kind(words), tuple(plain), tuple(shapes[:SHORT]))
+                    counts.add(*unit, final and mark)
+                    if final:
+                        word, ends_in = f"1\t{plain[-1]}", list(contexts(*unit, len(plain) - 1))
+                lengths = stored_lengths(t)
+                rows.append((lengths, stored_lengths(bare) if mark else lengths, mark, bool(_TERMINATOR.search(bare)), bool(units) and _unclosed(bare), word, ends_in))
+                if len(counts.units) > 200_000:
+                    yield _both(counts.rows())
+                if len(forms) > 200_000:
+                    forms.clear()
+            found = pd.concat([batch[[key, "source", "text_hash"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+            yield _both(found)
+        yield _both(counts.rows())
+
+    order = [key, "source", "text_hash", *names, *[c.split()[0] for c in COUNTS.split(", ")]]
+
+    def _both(part: pd.DataFrame) -> pd.DataFrame:
+        """The part with the other kind's columns empty."""
+        return part.assign(**{c: pd.Series([None] * len(part), dtype=object) for c in order if c not in part.columns})[order]
 
     texts = df.select(F.col(key).alias(key), F.coalesce(clean_id(F.col(source)), F.lit("unknown")).alias("source"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("_text"))
     return texts.where(F.length(F.trim("_text")) > 0).mapInPandas(look, schema)
 
 
+def _facts(scanned: DataFrame) -> DataFrame:
+    return scanned.where("context IS NULL").drop("context", "ends", "marked_ends", "goes_on")
+
+
+def _statistics(scanned: DataFrame) -> DataFrame:
+    return scanned.where("context IS NOT NULL").groupBy(F.col("context").alias("key")).agg(F.sum("ends").alias("ends"), F.sum("marked_ends").alias("marked"), F.sum("goes_on").alias("goes_on"))
+
+
 def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor: float = 6.0, near: int = 60) -> DataFrame:
     """Per source its limits: ``source, representation`` (its number), ``stored`` (the length), ``texts`` (that have it).
 
@@ -268,7 +274,8 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
     ``complete`` (units elsewhere end so), ``fragment`` (an unknown word), ``open`` (units elsewhere go on) or ``quote`` (left open). Null and
     blank texts have no row: nothing shows whether they were cut. Repeated texts are judged each; keys should be unique.
     """
-    facts = durable(_facts(df, key, text, source))
+    scanned = durable(_scan(df, key, text, source))
+    facts = _facts(scanned)
     copies = facts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("word", "ends_in", "marked")).alias("end"))
     limits = hidden_limits(facts)
     slack = F.when(F.col("representation").isin([i for i, r in enumerate(REPRESENTATIONS) if "utf8" in r]), BYTE_SLACK).otherwise(0)
@@ -279,7 +286,7 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
 
     placed = facts.join(per_source.withColumnRenamed("source", "_s"), F.col("source") == F.col("_s"), "left").drop("_s")
     placed = placed.withColumn("at_limit", F.coalesce(reaches("lengths") | reaches("bare_lengths"), F.lit(False)))
-    statistics = durable(ending_statistics(df, text))  # read three times
+    statistics = durable(_statistics(scanned))  # read three times
     # how often a last word stands anywhere follows from the pairs that end in it
     parts = F.split("key", "\t")
     pairs = statistics.where(F.col("key").startswith("2")).select("key", parts[0].alias("k"), parts[1].alias("p"), parts[2].alias("w"), "ends", "goes_on")

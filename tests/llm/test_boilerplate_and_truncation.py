@@ -95,7 +95,7 @@ def test_truncated_texts(spark):
     assert set(got) == {r[0] for r in rows} | {9002} and got[9002]["source"] == "unknown" and not got[9002]["truncated"]
     found = {i for i, r in got.items() if r["truncated"]}
     assert len(found & cut) >= 0.97 * len(cut) and len(found - cut) <= 0.03 * len(cut) + 2
-    facts = X._facts(df, "doc_id", "text", "source")
+    facts = X._facts(X._scan(df, "doc_id", "text", "source"))
     limits = X.hidden_limits(facts).collect()
     assert {r["source"] for r in limits} == {"short"} and 200 in {r["stored"] for r in limits if X.REPRESENTATIONS[r["representation"]] in ("json", "json_ascii", "json_utf8")}
     rates = {r["source"]: r["rate"] for r in X.truncation_rates(spark.createDataFrame(list(got.values()))).collect()}
