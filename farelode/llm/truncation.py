@@ -163,7 +163,7 @@ class _Counts:
                     mark[key] = mark.get(key, 0) + n
         self.units.clear()
         keys = list(on.keys() | end.keys())
-        return pd.DataFrame({"context": keys, "ends": [end.get(k, 0) for k in keys], "marked_ends": [mark.get(k, 0) for k in keys], "goes_on": [on.get(k, 0) for k in keys]})
+        return pd.DataFrame([(k, end.get(k, 0), mark.get(k, 0), on.get(k, 0)) for k in keys], columns=["context", "ends", "marked_ends", "goes_on"])
 
 
 def _unclosed(text: str) -> bool:
