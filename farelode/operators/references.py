@@ -48,8 +48,9 @@ def reference_status(children: DataFrame, reference: str, at: str, intervals: Da
         F.col("valid_key").alias("_ref_parent"), F.col("valid_from").alias("_ref_from"), F.col("closed").alias("_ref_closed"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ref_salt_parent"),
     )
-    # the salt depends on the child's time alone, so a recomputed task gives the same rows; null references stay where they are
-    keyed = children.withColumns({"_ref_key": clean_id(F.col(reference)), "_ref_salt": F.pmod(F.xxhash64(F.col(at)), F.lit(salts)).cast("int")})
+    # the salt depends on the child's own values, so a recomputed task gives the same rows; maps have no hash
+    hashed = [f"`{f.name}`" for f in children.schema if "map<" not in f.dataType.simpleString()]
+    keyed = children.withColumns({"_ref_key": clean_id(F.col(reference)), "_ref_salt": F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")})
     joined = keyed.join(spread.hint("merge"), (F.col("_ref_key") == F.col("_ref_parent")) & (F.col("_ref_salt") == F.col("_ref_salt_parent")), "left")
     kind = (
         F.when(F.col("_ref_key").isNull(), F.lit(None).cast("string"))
