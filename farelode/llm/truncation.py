@@ -33,6 +33,8 @@ SHORT = 12
 ENDS_OFTEN = 0.25  # share of the units that end in a context from which on an ending there counts as complete
 ENDS_SELDOM = 0.1  # the same for endings with a terminator, which abbreviations have too
 MARK = re.compile(r"\s*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3}|more|continued|cont\.?)\))\s*$")
+# a character that lost some of its bytes, and vowels that Thai writes before their consonant
+BROKEN = ("\ufffd", "เ", "แ", "โ", "ใ", "ไ")
 _TOKEN = re.compile(r"[฀-๿]+|[A-Z]{2,}(?:-[A-Z]{2,})+|\d+(?:[.,:]\d+)*|[぀-ヿ一-鿿]|[^\W_]+|[^\w\s]|_")
 _TERMINATOR = re.compile(r"[.!?؟۔।॥。！？｡][\"”“»」』)'’]*$")
 _UNIT_END = set(".!?؟۔।॥。！？｡\"”“»」』)'’")
@@ -128,7 +130,7 @@ def _units(text: str) -> list[tuple[int, int]]:
 
 
 COUNTS = "context string, ends bigint, marked_ends bigint, goes_on bigint"
-FACTS = "lengths array<int>, bare_lengths array<int>, marked boolean, sentence boolean, open_quote boolean, word string, ends_in array<string>"
+FACTS = "lengths array<int>, bare_lengths array<int>, marked boolean, sentence boolean, open_quote boolean, broken boolean, word string, ends_in array<string>"
 
 
 class _Counts:
@@ -215,7 +217,8 @@ def _scan(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
                     if final:
                         word, ends_in = f"1\t{plain[-1]}", list(contexts(*unit, len(plain) - 1))
                 lengths = stored_lengths(t)
-                rows.append((lengths, stored_lengths(bare) if mark else lengths, mark, bool(_TERMINATOR.search(bare)), bool(units) and _unclosed(bare), word, ends_in))
+                whole = bare.rstrip("\ufffd")
+                rows.append((lengths, stored_lengths(whole) if mark or len(whole) < len(bare) else lengths, mark, bool(_TERMINATOR.search(bare)), bool(units) and _unclosed(bare), bare.endswith(BROKEN), word, ends_in))
                 if len(counts.units) > 200_000:
                     yield _both(counts.rows())
                 if len(forms) > 200_000:
@@ -271,7 +274,7 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
     """Every non-blank text with its verdict: ``key``, ``source``, ``at_limit``, ``marked``, ``ending``, ``truncated``.
 
     ``source`` comes without surrounding white space and case, "unknown" where null or blank. ``ending`` is ``sentence``,
-    ``complete`` (units elsewhere end so), ``fragment`` (an unknown word), ``open`` (units elsewhere go on) or ``quote`` (left open). Null and
+    ``complete`` (units elsewhere end so), ``fragment`` (an unknown word or a broken character), ``open`` (units elsewhere go on) or ``quote`` (left open). Null and
     blank texts have no row: nothing shows whether they were cut. Repeated texts are judged each; keys should be unique.
     """
     scanned = durable(_scan(df, key, text, source))
@@ -324,7 +327,8 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
     pair_share = F.coalesce(ends_share("p"), F.lit(1.0))
     own_mark = F.col("marked") & (F.coalesce(F.col("_seen.goes_on"), F.lit(1)) == 0) & (F.col("_seen.with_mark") > 0) & (F.col("_seen.with_mark") == F.col("_seen.ends"))
     ending = (
-        F.when(F.col("open_quote"), "quote")
+        F.when(F.col("broken"), "fragment")
+        .when(F.col("open_quote"), "quote")
         .when(F.col("sentence") & (pair_share >= ENDS_SELDOM), "sentence")
         .when(F.col("marked") & own_mark, "complete")
         .when(~F.col("_known"), "fragment")

@@ -114,6 +114,13 @@ def test_marks(text, bare, mark):
     assert X.split_mark(text) == (bare, mark)
 
 
+def test_broken_characters_are_cuts(spark):
+    rows = [(1, "Bitte keine Kupons einsenden. Die Geb\ufffd"), (2, "Bitte keine Kupons einsenden."), (3, "กรุณาติดต่อเคาน์เตอร์ ผู้โดยสารสามารถคืนเ"), (4, "กรุณาติดต่อเคาน์เตอร์ ผู้โดยสารสามารถคืนเ")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["truncated"] for r in X.find_truncated(df, "doc_id", "text", "source").collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True}
+
+
 def test_limits_need_many_different_texts(spark):
     rows = [(i, "s", i % 7, list(range(i % 40, i % 40 + len(X.REPRESENTATIONS)))) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text_hash bigint, lengths array<int>")
