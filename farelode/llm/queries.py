@@ -43,7 +43,7 @@ def p1_files(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("has_new"), "new_name").otherwise("old_name").alias("field"),
         F.when(F.col("has_new"), F.col("new_name")).otherwise(F.col("old_name")).alias("typed"),
     ).where("typed IS NOT NULL")
-    names = typed.join(entries.withColumnRenamed("entry", "_e"), (F.col("field") == "new_name") & (F.col("typed") == F.col("_e")), "left_anti")
+    names = typed.join(entries.withColumnRenamed("entry", "_e").hint("merge"), (F.col("field") == "new_name") & (F.col("typed") == F.col("_e")), "left_anti")
     names = names.withColumn("with_type", (F.col("field") == "new_name") | F.col("typed").rlike(r"^[a-z_]+_[A-Z]+\d_\d{4}-\d\d-\d\d_"))
     words = name_vocabulary(entries)
     parser = NameParser(_issuers(spark, folder), words["doc_type"], words["topic"], words["scope"])
