@@ -113,6 +113,7 @@ class HybridIndex:
         """
         spark = chunks.sparkSession
         index = HybridIndex(path)
+        _drop(spark, f"{path}/fingerprint")  # until the new tables are complete
         content = chunks.select("chunk_id", "text", *[F.col(f"metadata.{k}").alias(f"meta_{k}") for k in ("source_id", "document_id", "document_type", "carrier", "supplier", "offer_or_circular_id", "section_title")], F.col(chunk_order).alias("ord"))
         unique = last_by_id(content.withColumnRenamed("ord", "_order"), "chunk_id", "_order")
         docs = attach_clauses(unique, clauses, clause_order)
@@ -126,7 +127,7 @@ class HybridIndex:
         gram_counts(docs, "chunk_id", "combined").repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
         n_docs = index.table(spark, "statistics").first()["n_docs"]
         vector_norms(index.table(spark, "grams"), "chunk_id", n_docs).write.mode("overwrite").parquet(f"{path}/norms")
-        spark.createDataFrame([(fingerprint or "",)], "fingerprint string").coalesce(1).write.mode("overwrite").json(f"{path}/fingerprint")
+        _write_fingerprint(spark, path, fingerprint or "")
         return index
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
@@ -134,10 +135,9 @@ class HybridIndex:
 
     def is_current(self, spark: SparkSession, fingerprint: str) -> bool:
         """Whether the index exists and was built from inputs with this fingerprint."""
-        try:
-            rows = spark.read.schema("fingerprint string").json(f"{self.path}/fingerprint").take(1)
-        except Exception:  # the folder is absent
+        if not _exists(spark, f"{self.path}/fingerprint"):
             return False
+        rows = spark.read.schema("fingerprint string").json(f"{self.path}/fingerprint").take(1)
         return bool(rows) and rows[0]["fingerprint"] == fingerprint
 
     def search(self, spark: SparkSession, query: str, top_k: int | None = 5, filters: dict[str, str] | None = None) -> DataFrame:
@@ -241,6 +241,64 @@ def matches_filters(filters: dict[str, str]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+class KeywordIndex:
+    """A term index of documents (``id, text`` and a ``metadata`` string) in a folder; searched by BM25 over the text.
+
+    Adding documents appends to a log, in which the last entry of an id counts; the postings are built anew on the next
+    search after that, so many documents should be added at once.
+    """
+
+    SCHEMA = "id string, text string, metadata string, seq bigint"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _log(self) -> DataFrame:
+        if not _exists(self.spark, f"{self.path}/documents"):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/documents")
+
+    def index(self, documents: DataFrame) -> None:
+        """Adds or replaces documents; their ids have to be distinct within one call."""
+        seq = (self._log().agg(F.max("seq")).first()[0] or 0) + 1
+        documents.select(F.col("id").cast("string"), "text", F.coalesce("metadata", F.lit("{}")).alias("metadata"), F.lit(seq).cast("bigint").alias("seq")).write.mode("append").parquet(f"{self.path}/documents")
+
+    def documents(self) -> DataFrame:
+        last = self._log().where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("text", "metadata"), "seq").alias("d"))
+        return last.select("id", "d.text", "d.metadata")
+
+    def search(self, query: str, size: int = 10) -> DataFrame:
+        """The best documents: ``id, score, text, metadata``; ties by id."""
+        mark = input_fingerprint(self.spark, f"{self.path}/documents")
+        index = HybridIndex(f"{self.path}/terms")
+        if not index.is_current(self.spark, mark):
+            docs = self.documents()
+            lengths = document_lengths(docs, "id", "text")
+            postings = term_counts(docs, "id", "text").join(lengths, "id").withColumnRenamed("id", "chunk_id")
+            postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{index.path}/postings")
+            document_frequencies(index.table(self.spark, "postings")).write.mode("overwrite").parquet(f"{index.path}/terms")
+            corpus_statistics(lengths).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/statistics")
+            _write_fingerprint(self.spark, index.path, mark)
+        scores = bm25_scores(index.table(self.spark, "postings"), index.table(self.spark, "terms"), index.table(self.spark, "statistics"), self.spark, query)
+        best = scores.select(F.col("chunk_id").alias("id"), F.round("bm25", 9).alias("score")).orderBy(F.desc("score"), "id").limit(size)
+        return best.join(self.documents(), "id").orderBy(F.desc("score"), "id")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _write_fingerprint(spark: SparkSession, path: str, fingerprint: str) -> None:
+    """The mark of a complete index; it is written last."""
+    spark.range(1).select(F.lit(fingerprint).alias("fingerprint")).coalesce(1).write.mode("overwrite").json(f"{path}/fingerprint")
+
+
 def input_fingerprint(spark: SparkSession, *paths: str) -> str:
     """Names, sizes and change times of all files under the paths; unreadable paths count as absent."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -262,4 +320,4 @@ def cached_index(spark: SparkSession, chunks: DataFrame, clauses: DataFrame, pat
     return index if index.is_current(spark, fingerprint) else HybridIndex.build(chunks, clauses, path, fingerprint=fingerprint)
 
 
-__all__ = ["HybridIndex", "attach_clauses", "bm25_scores", "cached_index", "clause_boost", "combined_text", "corpus_statistics", "document_frequencies", "document_lengths", "gram_counts", "gram_words", "input_fingerprint", "last_by_id", "matches_filters", "term_counts", "vector_scores"]
+__all__ = ["HybridIndex", "KeywordIndex", "attach_clauses", "bm25_scores", "cached_index", "clause_boost", "combined_text", "corpus_statistics", "document_frequencies", "document_lengths", "gram_counts", "gram_words", "input_fingerprint", "last_by_id", "matches_filters", "term_counts", "vector_scores"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from farelode.functions.text import token_windows
 from farelode.operators import answers, clauses, evaluation, index, labels, vectors
 from farelode.plans import policy_sql
 from farelode.sources import files
-from farelode.tables import durable, scratch_folder, spread, table
+from farelode.tables import durable, shared_folder, spread, table
 
 QUESTION = "What refund is due before departure, and which fee applies to a no-show or waiver?"
 FILTERS = {"document_type": "Fare_Rule"}
@@ -107,7 +108,10 @@ def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, folder: str) -> index.HybridIndex:
-    return index.HybridIndex.build(_chunks(spark, folder), _clauses(spark, folder), scratch_folder(spark, "index"))
+    """The index of a folder's chunks and clauses; it is built once for files of the same names, sizes and times."""
+    mark = index.input_fingerprint(spark, f"{folder}/chunks.parquet", f"{folder}/policy_clauses.parquet")
+    path = shared_folder(spark, f"index-{hashlib.sha256(mark.encode()).hexdigest()[:16]}")
+    return index.cached_index(spark, _chunks(spark, folder), _clauses(spark, folder), path, mark)
 
 
 def _scores(hits: DataFrame) -> list:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,13 +48,13 @@ def clean_id(column: Column) -> Column:
     return F.nullif(F.lower(bare), F.lit(""))
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for tables that a job writes and reads again; it lies where all executors reach it.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder for tables that a job writes and reads again; it lies where all executors reach it.
 
-    That is the cluster's ``spark.checkpoint.dir``, or where it is unset, as in tests, the session's warehouse.
+    That is in the cluster's ``spark.checkpoint.dir``, or where it is unset, as in tests, the session's warehouse.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/{name}"
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -155,6 +155,15 @@ def test_vectors(spark, tmp_path):
         v.upsert(["a"], [[1, 0], [0, 1]])
 
 
+def test_keyword_index(spark, tmp_path):
+    k = index.KeywordIndex(spark, str(tmp_path / "k"))
+    assert k.search("refund").count() == 0
+    k.index(spark.createDataFrame([("a", "refund fee", None), ("b", "fee fee", "{}"), ("c", None, None), (None, "fee", None)], "id string, text string, metadata string"))
+    assert [r["id"] for r in k.search("refund fee").collect()] == ["a", "b"] and k.search("fee", 1).count() == 1
+    k.index(spark.createDataFrame([("a", "nothing", '{"x": 1}')], "id string, text string, metadata string"))
+    assert [r["id"] for r in k.search("refund fee").collect()] == ["b"] and k.search("nothing").first()["metadata"] == '{"x": 1}'
+
+
 def test_nearest_all_against_brute_force(spark):
     draw = random.Random(2)
     rows = [(i, [draw.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(60)] + [(60, None), (61, []), (62, [0.0] * 3), (63, [1.0])]
