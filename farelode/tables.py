@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import io
 import zipfile
 from pathlib import Path
 
@@ -13,17 +14,24 @@ from pyspark.sql import functions as F
 def ship(spark: SparkSession) -> None:
     """Gives this package to the Python workers of the session, once; they need not have it on their path.
 
-    Spark copies the archive from the driver to every executor, also to those that start later.
+    The archive lies in the shared folder, from where Spark hands it to every executor, also to those that start later.
     """
     context = spark.sparkContext
     if getattr(context, "_farelode_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="farelode-code-")) / "farelode.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(package.rglob("*.py")):
-            z.write(p, f"farelode/{p.relative_to(package)}")
-    context.addPyFile(str(archive))
+            z.writestr(zipfile.ZipInfo(f"farelode/{p.relative_to(package)}"), p.read_bytes())
+    content = packed.getvalue()
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark, f"code/{hashlib.sha256(content).hexdigest()[:16]}/farelode.zip"))
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        out = files.create(path, True)
+        out.write(bytearray(content))
+        out.close()
+    context.addPyFile(files.makeQualified(path).toString())
     context._farelode_shipped = True
 
 
