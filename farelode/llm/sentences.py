@@ -38,7 +38,6 @@ NEVER_FINAL = frozenset(
     abs nr z d bspw bzw vgl gem ggf inkl exkl zzgl str u bd s mind höchst evtl lt
     m mm mme mlle mgr n° no env av bd chap al
     sr sra srta ud uds núm n.º nº pág págs aprox ej p.ej dto dpto d.ª
-    д
     """.split()
 )
 # Abbreviations that end a sentence where a new one visibly begins.
@@ -77,10 +76,11 @@ THAI_WORDS = THAI_OPENING | THAI_JOINING | THAI_DEMANDING | frozenset(
 )
 # ---------------------------------------------------------------------------------------------------------------------
 
-OPEN, CLOSE = "“„«「『‹‚（([【《〈", "”»」』›）)]】》〉"
-PAIR = dict(zip("“„«「『‹‚（([【《〈", "””»」』›‘）)]】》〉")) | {"„": "“”", "«": "»", "“": "”"}
-_QUOTES_CLOSE = "”“»」』›\"’'"
-TERMINATOR = re.compile(r"[.!?؟۔।॥。！？｡…‥]+[\"”“»」』›’')）\]】]*|(?<=[!?.…])\s[»]")
+# opening marks with what closes them; German and English quotation marks share signs
+PAIR = {
+    "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›", "‚": "‘",
+    "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉",
+}
 EVENT = re.compile(r"[\"“”„«»「」『』()（）\[\]【】]|[!?؟۔।॥。！？｡…‥]+|\.+")
 BLANK = re.compile(r"[ \t\r\f\v 　]*\n(?:[ \t\r\f\v 　]*\n)+")
 BULLET = re.compile(r"\s*(?:([•‣◦▪●∙·○–—*-])|\(?(?:(\d{1,3})(\)|\.)|([a-zA-Z]|[ivxIVX]{1,4})\)))[ \t ]+(?=\S)")
@@ -88,7 +88,6 @@ BULLET_AT = re.compile(r"(?m)^[ \t]*(?:[•‣◦▪●∙·○–—*-]|\(?(?:\
 THAI = re.compile(r"[฀-๿]")
 THAI_RUN = re.compile(r"[฀-๿]+")
 THAI_GAP = re.compile(r"\s+")
-_WORD_BEFORE = re.compile(r"(\S+)$")
 _WIDE = "。！？｡"
 
 

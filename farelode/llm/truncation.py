@@ -37,7 +37,6 @@ MARK = re.compile(r"\s*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3}|more|conti
 BROKEN = ("\ufffd", "เ", "แ", "โ", "ใ", "ไ")
 _TOKEN = re.compile(r"[฀-๿]+|[A-Z]{2,}(?:-[A-Z]{2,})+|\d+(?:[.,:]\d+)*|[぀-ヿ一-鿿]|[^\W_]+|[^\w\s]|_")
 _TERMINATOR = re.compile(r"[.!?؟۔।॥。！？｡][\"”“»」』)'’]*$")
-_UNIT_END = set(".!?؟۔।॥。！？｡\"”“»」』)'’")
 
 
 def stored_lengths(text: str) -> list[int]:
