@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from farelode.functions.text import LEFT, RIGHT, SPACE, bare_clause, distinct_ignoring_case, lowered, none_of
+from farelode.functions.text import LEFT, RIGHT, SPACE, bare_clause, distinct_ignoring_case, lowered
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Phrases and patterns in the order in which they are tried.
@@ -133,6 +133,3 @@ def penalty(text: Column) -> Column:
         .otherwise(of())
     )
 
-
-def empty_list() -> Column:
-    return none_of()

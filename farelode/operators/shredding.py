@@ -149,14 +149,25 @@ def schema_graph(documents: DataFrame, column: str) -> DataFrame:
     )
 
 
+def structural_edges(edges: DataFrame) -> DataFrame:
+    """The edges that a plan depends on: to elements that are repeated, nested in themselves or have children of their own.
+
+    Plain values, of which free-form keys can make very many, stay where they are.
+    """
+    inner = edges.select(F.col("parent").alias("_inner")).distinct()
+    return edges.join(inner, F.col("child") == F.col("_inner"), "left").withColumn("nested", F.col("_inner").isNotNull()).where("repeated OR recursive OR nested").drop("_inner")
+
+
 def inline_plan(edges: Iterable, always: Iterable[str] = (), never: Iterable[str] = ()) -> InlinePlan:
     """Tables for repeated, shared and recursive elements; ``always`` and ``never`` override the graph.
 
     Shared means an element with own children under more than one parent: elements that are plain values everywhere
     are columns wherever they stand.
     """
+    edges = list(edges)
+    # an element has children if it is a parent here, or if its edge says so
+    inner = {e["parent"] for e in edges} | {e["child"] for e in edges if "nested" in e and e["nested"]}
     edges = [(e["parent"], e["child"], e["repeated"], e["recursive"]) for e in edges]
-    inner = {parent for parent, *_ in edges}
     parents: dict[str, set[str]] = {}
     for parent, child, *_ in edges:
         parents.setdefault(child, set()).add(parent)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelode.operators.references import orphan_references, orphan_report
-from farelode.operators.shredding import InlinePlan, inline_plan, schema_graph, shred
+from farelode.operators.shredding import InlinePlan, inline_plan, schema_graph, shred, structural_edges
 from farelode.tables import table
 
 CHILD_KINDS = ("penalty_tiers", "refund_payout_options", "eligibility_conditions", "exceptions")
@@ -37,9 +37,9 @@ def label_graph(spark: SparkSession, folder: str) -> DataFrame:
 def label_plan(spark: SparkSession, folder: str) -> InlinePlan:
     """The tables of the graph. The save and the four kinds of items are tables even where no row repeats them.
 
-    Elements in a graph are distinct names, so what is collected does not grow with the rows.
+    What is collected are the distinct names of nested or repeated elements; it does not grow with the rows.
     """
-    return inline_plan(label_graph(spark, folder).collect(), always=(SAVES, *CHILD_KINDS))
+    return inline_plan(structural_edges(label_graph(spark, folder)).collect(), always=(SAVES, *CHILD_KINDS))
 
 
 def label_rows(spark: SparkSession, folder: str, tables: tuple[str, ...] | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_graph(spark: SparkSession, folder: str) -> DataFrame:
     """The schema graph with the decision taken for each element."""
     edges = label_graph(spark, folder)
-    plan = inline_plan(edges.collect(), always=(SAVES, *CHILD_KINDS))
+    plan = inline_plan(structural_edges(edges).collect(), always=(SAVES, *CHILD_KINDS))
     chosen = F.lit(sorted(plan.tables)) if plan.tables else F.array().cast("array<string>")
     return edges.withColumn("own_table", F.array_contains(chosen, F.col("child")))
 

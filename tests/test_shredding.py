@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from farelode.operators.shredding import decode, element_name, inline_plan, is_blank, parse, schema_graph, shred
+from farelode.operators.shredding import decode, element_name, inline_plan, is_blank, parse, schema_graph, shred, structural_edges
 
 ORDER = {
     "orderId": 7, "customer": {"name": "a", "address": {"city": "b"}},
@@ -38,6 +38,13 @@ def test_shared_and_recursive_elements_have_tables(spark):
     assert all((r["doc_key"], r["parent_key"]) in keys for r in found if r["parent_key"] is not None)
 
 
+def test_the_plan_needs_only_the_structure(spark):
+    df = spark.createDataFrame([(json.dumps(ORDER),), (json.dumps({"saves": [{f"k{i}": i for i in range(50)}]}),), ('{"a": {"b": {"a": 1}}}',), ('{"x": {"y": {"x": {"z": 1}}}}',)], "body string")
+    edges = schema_graph(df, "body")
+    some = structural_edges(edges).collect()
+    assert inline_plan(some) == inline_plan(edges.collect()) and len(some) <= edges.count() - 50  # none of the plain keys
+
+
 def test_running_numbers_follow_the_document(spark):
     body = {"batches": [{"saves": [{"tiers": [1]}, {"tiers": [2, 3]}]}, {"saves": [{"tiers": [4]}]}]}
     _, found = rows(spark, [body, body])
