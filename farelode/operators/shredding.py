@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farelode.tables import durable
+
 ROOT = "document"
 ITEM = "item"  # the elements of a list that stands directly in a list, or of a document that is a list
 EDGE_SCHEMA = "parent string, child string, repeated boolean, recursive boolean, documents bigint"
@@ -154,6 +156,7 @@ def structural_edges(edges: DataFrame) -> DataFrame:
 
     Plain values, of which free-form keys can make very many, stay where they are.
     """
+    edges = durable(edges)  # read twice; the walk over all documents must not be
     inner = edges.select(F.col("parent").alias("_inner")).distinct()
     return edges.join(inner, F.col("child") == F.col("_inner"), "left").withColumn("nested", F.col("_inner").isNotNull()).where("repeated OR recursive OR nested").drop("_inner")
 

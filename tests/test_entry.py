@@ -45,3 +45,28 @@ def test_query_runs_and_agrees_with_sql(spark, small, name):
     assert sorted(columns) == sorted(found.columns)
     order = [columns.index(c) for c in sorted(columns)]
     assert Counter(tuple(map(key, r)) for r in rows) == Counter(tuple(key(r[i]) for i in order) for r in result.fetchall())
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls", "repeated"])
+def test_every_query_on_odd_tables(spark, small, tmp_path, kind):
+    """Empty tables; rows with nothing but their number; every row three times, with further columns."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__
+
+    kept = ("row_no", "request_id", "doc_id", "vec_id", "kind")
+    for f in sorted(os.listdir(small)):
+        t = pq.read_table(f"{small}/{f}")
+        if kind == "empty":
+            t = t.slice(0, 0)
+        elif kind == "nulls":
+            t = t.slice(0, 5)
+            t = pa.table({c.name: t[c.name] if c.name in kept else pa.nulls(len(t), c.type) for c in t.schema}, schema=t.schema)
+        else:
+            t = pa.concat_tables([t.slice(0, 20)] * 3)
+            for name in ("typed", "key", "_text"):
+                t = t.append_column(name, pa.array(["x"] * len(t)))
+        pq.write_table(t, tmp_path / f)
+    for name, query in __spark_entry__.queries().items():
+        assert query(spark, str(tmp_path)).collect() is not None, name
