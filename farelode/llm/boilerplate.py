@@ -323,7 +323,7 @@ def _ascii(word: str) -> str:
 @lru_cache(maxsize=100_000)
 def _own(line: str, site: frozenset[str]) -> tuple:
     """The features that need no neighbours."""
-    low = line.strip().lower()
+    low = " ".join(line.lower().split())
     words = _WORD.findall(low)
     n = len(words)
     if not n:

@@ -82,7 +82,8 @@ PAIR = {
     "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉",
 }
 EVENT = re.compile(r"[\"“”„«»「」『』()（）\[\]【】]|[!?؟۔।॥。！？｡…‥]+|\.+")
-BLANK = re.compile(r"[ \t\r\f\v 　]*\n(?:[ \t\r\f\v 　]*\n)+")
+BLANK = re.compile(r"\n(?:[ \t\r\f\v\u00a0\u3000]*\n)+")
+_VISIBLE = re.compile(r"\S")
 BULLET = re.compile(r"\s*(?:([•‣◦▪●∙·○–—*-])|\(?(?:(\d{1,3})(\)|\.)|([a-zA-Z]|[ivxIVX]{1,4})\)))[ \t ]+(?=\S)")
 BULLET_AT = re.compile(r"(?m)^[ \t]*(?:[•‣◦▪●∙·○–—*-]|\(?(?:\d{1,3}[.)]|(?:[a-zA-Z]|[ivxIVX]{1,4})\)))[ \t ]+(?=\S)")
 THAI = re.compile(r"[฀-๿]")
@@ -138,11 +139,20 @@ def _starts_unit(text: str, at: int) -> bool:
     return True
 
 
+LONGEST_WORD = 300  # what is longer is no abbreviation or address, and looking back stays cheap in texts without spaces
+
+
+def _word_start(text: str, start: int, end: int) -> int:
+    """Where the word before ``end`` begins."""
+    i, least = end, max(start, end - LONGEST_WORD)
+    while i > least and not text[i - 1].isspace():
+        i -= 1
+    return i
+
+
 def _abbreviation(text: str, start: int, dot: int) -> str:
     """The word that ends in the period at ``dot``, in lower case, with inner periods and without opening marks."""
-    i = dot
-    while i > start and not text[i - 1].isspace():
-        i -= 1
+    i = _word_start(text, start, dot)
     return text[i:dot].lstrip("(\"'“„«[¿¡/").lower()
 
 
@@ -152,12 +162,12 @@ def _period_ends(text: str, start: int, dot: int, after: int) -> bool:
     nxt = text[after]
     if nxt.isalpha() and nxt.islower() and not (after + 1 < len(text) and text[after + 1].isupper()):
         return False
-    if word == "m" and text[start:dot].rstrip("m").rstrip()[-2:] in ("p.", "a."):  # Spanish: p. m.
+    if word == "m" and text[max(start, dot - 9) : dot].rstrip("m").rstrip()[-2:] in ("p.", "a."):  # Spanish: p. m.
         return True
     if word in ("min", "max"):  # before an amount; in upper case it is part of a name
         return text[dot - 3].isupper()
     if len(word) == 1 and word.isalpha():
-        before = text[start : dot - 1].rstrip()
+        before = text[max(start, dot - LONGEST_WORD) : dot - 1].rstrip()
         if word == "h" and before[-1:].isdigit():  # hours
             return not nxt.isdigit()
         # a class letter behind its noun, not an initial
@@ -193,18 +203,16 @@ def _joined(text: str, start: int, mark: int, after: int, end: int) -> bool:
     """Whether a sentence begins without a space behind the terminator at ``mark``: in another script, or the space was lost."""
     nxt = text[after]
     if nxt.isupper() and _LATIN_START.match(text, after):  # the space was lost
-        i = mark
-        while i > start and not text[i - 1].isspace():
-            i -= 1
-        token = text[i:mark]
+        token = text[_word_start(text, start, mark) : mark]
         if (_LATIN_WORD.search(token) or token[-1:] in ")%" or token[-1:].isdigit() and text[mark] == ".") and not _ADDRESS.match(token):
             return token.lower() not in NEVER_FINAL
     if _CJK.match(nxt) or nxt in "“（":
         return _CJK.search(text, after, min(end, after + 8)) is not None
     if not nxt.isupper() or not (text[mark - 1].islower() or text[mark - 1].isdigit() or text[mark - 1] in ")%"):
         return False
-    sentence = _WIDE_END.search(text, after, end)
-    return _CJK.search(text, after, sentence.start() if sentence else end) is not None
+    near = min(end, after + LONGEST_WORD)
+    sentence = _WIDE_END.search(text, after, near)
+    return _CJK.search(text, after, sentence.start() if sentence else near) is not None
 
 
 _LATIN_START = re.compile(r"[A-ZÀ-Þ](?:[a-zß-ÿ'’]|\s)|[A-Z][A-Z][a-z]")
@@ -256,7 +264,10 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
             if not closed or depth or straight:
                 continue
             # a closed quotation ends the sentence if a terminator stands in it and the text does not go on
-            inner = text[:m.start()].rstrip("   ")[-1:] if m.start() > begin else ""
+            i = m.start()
+            while i > begin and text[i - 1].isspace() and text[i - 1] != "\n":
+                i -= 1
+            inner = text[i - 1] if i > begin else ""
             if not inner or inner not in ".!?؟۔।。！？｡…":
                 continue
             boundary, quoted = pos, True
@@ -273,7 +284,7 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
         spaced = after > boundary
         nxt = text[after]
         if quoted:
-            lead_in = text[begin:opened].strip() != ""
+            lead_in = _VISIBLE.search(text, begin, max(begin, opened)) is not None
             if nxt.isalpha() and (nxt.islower() or nxt.isupper()):
                 if not spaced or not _starts_unit(text, after):
                     continue
@@ -434,8 +445,10 @@ def _opens_list(text: str, at: int, end: int) -> bool:
     found = _number(text, at)
     if found is None or found[1] > 1:
         return False
-    before = text[:at].rstrip()
-    return not before or before[-1] in _END_MARK + ":：" or found[0] in "•‣◦▪●"
+    i = at
+    while i > 0 and text[i - 1].isspace():
+        i -= 1
+    return i == 0 or text[i - 1] in _END_MARK + ":：" or found[0] in "•‣◦▪●"
 
 
 def sentences(text: str | None, lines: bool = False) -> list[tuple[int, int]]:

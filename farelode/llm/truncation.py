@@ -30,6 +30,7 @@ from farelode.tables import clean_id, durable
 REPRESENTATIONS = ("characters", "utf8", "utf16", "entities", "entities_without_quotes", "entities_utf8", "json", "json_utf8", "json_ascii", "crlf", "crlf_utf8")
 BYTE_SLACK = 3  # a limit in bytes may fall short of it by part of a character
 SHORT = 12
+TAIL = 64  # marks and closing signs stand in the last characters
 ENDS_OFTEN = 0.25  # share of the units that end in a context from which on an ending there counts as complete
 ENDS_SELDOM = 0.1  # the same for endings with a terminator, which abbreviations have too
 MARK = re.compile(r"\s*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3}|more|continued|cont\.?)\))\s*$")
@@ -119,7 +120,7 @@ def contexts(kind: str, plain: tuple[str, ...], shapes: tuple[str, ...], i: int)
 def split_mark(text: str) -> tuple[str, bool]:
     """The text without a mark of omission at its end, and whether there was one."""
     bare = text.rstrip()
-    m = MARK.search(bare)
+    m = MARK.search(bare, max(0, len(bare) - TAIL))
     return (bare[: m.start()].rstrip(), True) if m and m.start() else (bare, False)
 
 
@@ -217,7 +218,7 @@ def _scan(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
                         word, ends_in = f"1\t{plain[-1]}", list(contexts(*unit, len(plain) - 1))
                 lengths = stored_lengths(t)
                 whole = bare.rstrip("\ufffd")
-                rows.append((lengths, stored_lengths(whole) if mark or len(whole) < len(bare) else lengths, mark, bool(_TERMINATOR.search(bare)), bool(units) and _unclosed(bare), bare.endswith(BROKEN), word, ends_in))
+                rows.append((lengths, stored_lengths(whole) if mark or len(whole) < len(bare) else lengths, mark, bool(_TERMINATOR.search(bare, max(0, len(bare) - TAIL))), bool(units) and _unclosed(bare), bare.endswith(BROKEN), word, ends_in))
                 if len(counts.units) > 200_000:
                     yield _both(counts.rows())
                 if len(forms) > 200_000:

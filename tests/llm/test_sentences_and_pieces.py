@@ -125,3 +125,14 @@ def test_lost_spaces(units):
 @pytest.mark.parametrize("units", [["Si hay plazas en clase Q.", "La nota dice que sí."], ["Des frais sont dus sous 40 h.", "D'après l'art. 17, la pénalité atteint 40%."], ["Documents are reissued through A Inc.", "70 pieces of up to 2 kg are included."], ["As J. Smith said, it is so."]])
 def test_short_words_before_a_period(units):
     assert pieces(" ".join(units)) == units
+
+
+@pytest.mark.parametrize("unit", ["Ab.", "A. ", '"a." ', " \n", "- a\n", "-", "字。", "กรุณา", "(", "http://a.B", "| ", "."])
+def test_very_long_texts_take_time_in_proportion(unit):
+    import time
+
+    start = time.process_time()
+    for lines in (False, True):
+        sentences("x" + unit * (60_000 // len(unit)) + "y", lines)
+    split_text("x" + unit * (60_000 // len(unit)) + "y")
+    assert time.process_time() - start < 20  # quadratic work would take minutes
