@@ -31,12 +31,12 @@ def lowered(text: Column) -> Column:
 
 def bare_clause(text: Column) -> Column:
     """Squeezed, without spaces, hyphens and bullets at the ends."""
-    return F.regexp_replace(squeezed(text), r"^[ \t\r\n\-•]+|[ \t\r\n\-•]+$", "")
+    return F.regexp_replace(squeezed(text), r"^[ \t\r\n\-•]+|(?<![ \t\r\n\-•])[ \t\r\n\-•]+$", "")
 
 
 def or_null(text: Column) -> Column:
     """Trimmed, blank as null."""
-    return F.nullif(F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(text, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+$", ""), F.lit(""))
 
 
 def words(text: Column) -> Column:

@@ -52,7 +52,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def clean_id(column: Column) -> Column:
     """An id without surrounding white space (of any script) and case; null where nothing is left."""
-    bare = F.regexp_replace(column, r"^[\s\p{Z}\x{FEFF}\x{200B}]+|[\s\p{Z}\x{FEFF}\x{200B}]+$", "")
+    bare = F.regexp_replace(column, r"^[\s\p{Z}\x{FEFF}\x{200B}]+|(?<![\s\p{Z}\x{FEFF}\x{200B}])[\s\p{Z}\x{FEFF}\x{200B}]+$", "")
     return F.nullif(F.lower(bare), F.lit(""))
 
 
