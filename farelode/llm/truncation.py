@@ -32,6 +32,7 @@ BYTE_SLACK = 3  # a limit in bytes may fall short of it by part of a character
 SHORT = 12
 TAIL = 64  # marks and closing signs stand in the last characters
 ENDS_OFTEN = 0.25  # share of the units that end in a context from which on an ending there counts as complete
+SURPRISE = 7.0  # a chance of about 1 in 1,000
 ENDS_SELDOM = 0.1  # the same for endings with a terminator, which abbreviations have too
 MARK = re.compile(r"\s*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3}|more|continued|cont\.?)\))\s*$")
 # a character that lost some of its bytes, and vowels that Thai writes before their consonant
@@ -245,15 +246,25 @@ def _statistics(scanned: DataFrame) -> DataFrame:
     return scanned.where("context IS NOT NULL").groupBy(F.col("context").alias("key")).agg(F.sum("ends").alias("ends"), F.sum("marked_ends").alias("marked"), F.sum("goes_on").alias("goes_on"))
 
 
+def _surprise(texts: str, mean: Column) -> Column:
+    """Minus the logarithm of a bound of the chance (Chernoff's) that so many texts have a length where ``mean`` are expected."""
+    n = F.col(texts)
+    return F.when(n <= mean, F.lit(0.0)).otherwise(n * F.log(n / mean) - n + mean)
+
+
 def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor: float = 6.0, near: int = 60) -> DataFrame:
     """Per source its limits: ``source, representation`` (its number), ``stored`` (the length), ``texts`` (that have it).
 
     A length is a limit if at least ``least`` different texts and a ``share`` of the source's reach it (in bytes, up to three
-    less) and more than ``factor`` times as many as the mean of the ``near`` lengths on its denser side lets expect, plus one half. Of the representations of a source only those count
+    less) and more than ``factor`` times as many as the mean of the ``near`` lengths on its denser side lets expect, plus one half.
+    In bytes, texts of one limit end at up to four lengths, and in some scripts few or none at the highest: the limit is the
+    highest length whose window holds most, without lengths above that hold no more than those that follow. Of the representations of a source only those count
     that explain nearly as many texts as the best. The windows run over distinct lengths, whose number the longest text
     bounds, not over texts.
     """
-    each = facts.select("source", "text_hash", F.posexplode("lengths").alias("representation", "stored")).distinct()
+    # what stands for a broken character may be longer than the bytes that were left of it
+    lengths = F.when(F.col("broken") & ~F.col("marked"), F.col("bare_lengths")).otherwise(F.col("lengths")) if "broken" in facts.columns else F.col("lengths")
+    each = facts.select("source", "text_hash", F.posexplode(lengths).alias("representation", "stored")).distinct()
     counted = each.groupBy("source", "representation", "stored").agg(F.count(F.lit(1)).alias("texts"))
     in_bytes = F.col("representation").isin([i for i, r in enumerate(REPRESENTATIONS) if "utf8" in r])
     w = Window.partitionBy("source", "representation").orderBy("stored")
@@ -262,8 +273,14 @@ def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor:
         .withColumn("below", F.coalesce(F.sum("texts").over(w.rangeBetween(-near - BYTE_SLACK, -BYTE_SLACK - 1)), F.lit(0)))
         .withColumn("above", F.coalesce(F.sum("texts").over(w.rangeBetween(1, near)), F.lit(0)))
         .withColumn("width", F.when(in_bytes, BYTE_SLACK + 1).otherwise(1))
-        .where((F.col("window") >= least) & (F.col("window") > factor * (F.greatest("below", "above") / near * F.col("width") + 0.5)) & (F.col("texts") * 2 >= F.col("window")))
+        .where((F.col("window") >= least) & (F.col("window") > factor * (F.greatest("below", "above") / near * F.col("width") + 0.5)) )
     )
+    # in bytes: what a length holds may be its share of the limit's texts, or only what the lengths above hold too
+    beyond = F.col("above") / near
+    its_share = F.col("window") / (BYTE_SLACK + 1)
+    of_limit = ~in_bytes | (F.col("above") == 0) | (_surprise("texts", beyond) > SURPRISE) | (F.col("texts") * F.log(its_share / beyond) >= its_share - beyond)
+    around = w.rangeBetween(-BYTE_SLACK, BYTE_SLACK)
+    spikes = spikes.where(of_limit).withColumn("most", F.max(F.struct("window", "stored")).over(around)).where(~in_bytes | (F.col("most.stored") == F.col("stored")))
     sizes = facts.groupBy("source").agg(F.count_distinct("text_hash").alias("_all")).withColumnRenamed("source", "_s")
     spikes = spikes.join(sizes, F.col("source") == F.col("_s")).where(F.col("window") >= share * F.col("_all"))
     best = Window.partitionBy("source")

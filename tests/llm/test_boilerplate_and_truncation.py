@@ -127,3 +127,26 @@ def test_limits_need_many_different_texts(spark):
     assert X.hidden_limits(df).count() == 0
     many = spark.createDataFrame([(i, "s", i, [100 if i % 2 else 30 + i] * len(X.REPRESENTATIONS)) for i in range(60)], "doc_id bigint, source string, text_hash bigint, lengths array<int>")
     assert {r["stored"] for r in X.hidden_limits(many).select("stored").distinct().where(F.col("stored") == 100).collect()} == {100}
+
+
+@pytest.mark.parametrize("at, above", [({2046: 6, 2047: 1, 2048: 4}, 0), ({2046: 60, 2047: 10, 2048: 40}, 0), ({2045: 30, 2046: 30, 2047: 30, 2048: 5}, 0), ({2047: 1, 2048: 130}, 8), ({2046: 60, 2047: 50, 2048: 40}, 8)])
+def test_byte_limit_covers_texts_that_end_below_it(spark, at, above):
+    lengths = [n for n, texts in at.items() for _ in range(texts)] + [300 + 17 * i for i in range(90)] + [2049 + 5 * i for i in range(above)]
+    utf8 = X.REPRESENTATIONS.index("utf8")
+    rows = [(i, "s", i, [n if r == utf8 else 10 * i + r for r in range(len(X.REPRESENTATIONS))]) for i, n in enumerate(lengths)]
+    limits = X.hidden_limits(spark.createDataFrame(rows, "doc_id bigint, source string, text_hash bigint, lengths array<int>")).collect()
+    assert [(r["representation"], r["stored"], r["texts"]) for r in limits] == [(utf8, 2048, sum(at.values()))]
+
+
+def test_texts_cut_in_a_script_of_three_bytes(spark):
+    draw = random.Random(5)
+    letters = "払戻手数料搭乗券変更予約便名出発到着規定運賃座席荷物追加航空会社旅行代理店発行有効期限"
+    rows = []
+    for i in range(120):
+        text = ""
+        while len(text) < 60 + i % 40 or i % 3 == 0 and len(text.encode()) < 401:
+            text += "".join(draw.choices(letters, k=draw.randint(6, 14))) + str(draw.randint(1, 999)) * draw.randint(0, 1) + "。"
+        rows.append((i, text if i % 3 else text.encode()[:400].decode(errors="ignore"), "ja"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"] for r in X.find_truncated(df, "doc_id", "text", "source").where("at_limit").collect()}
+    assert {len(rows[i][1].encode()) for i in range(0, 120, 3)} == {398, 399, 400} and got >= set(range(0, 120, 3))
