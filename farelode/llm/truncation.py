@@ -33,6 +33,7 @@ SHORT = 12
 TAIL = 64  # marks and closing signs stand in the last characters
 ENDS_OFTEN = 0.25  # share of the units that end in a context from which on an ending there counts as complete
 SURPRISE = 7.0  # a chance of about 1 in 1,000
+SURE = 30.0  # a chance that stays small over all lengths, representations and sources
 ENDS_SELDOM = 0.1  # the same for endings with a terminator, which abbreviations have too
 MARK = re.compile(r"\s*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3}|more|continued|cont\.?)\))\s*$")
 # a character that lost some of its bytes, and vowels that Thai writes before their consonant
@@ -246,20 +247,22 @@ def _statistics(scanned: DataFrame) -> DataFrame:
     return scanned.where("context IS NOT NULL").groupBy(F.col("context").alias("key")).agg(F.sum("ends").alias("ends"), F.sum("marked_ends").alias("marked"), F.sum("goes_on").alias("goes_on"))
 
 
-def _surprise(texts: str, mean: Column) -> Column:
-    """Minus the logarithm of a bound of the chance (Chernoff's) that so many texts have a length where ``mean`` are expected."""
-    n = F.col(texts)
+def _surprise(n: Column, mean: Column) -> Column:
+    """Minus the logarithm of a bound of the chance (Chernoff's) that ``n`` texts have a length where ``mean`` are expected."""
     return F.when(n <= mean, F.lit(0.0)).otherwise(n * F.log(n / mean) - n + mean)
 
 
 def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor: float = 6.0, near: int = 60) -> DataFrame:
     """Per source its limits: ``source, representation`` (its number), ``stored`` (the length), ``texts`` (that have it).
 
-    A length is a limit if at least ``least`` different texts and a ``share`` of the source's reach it (in bytes, up to three
-    less) and more than ``factor`` times as many as the mean of the ``near`` lengths on its denser side lets expect, plus one half.
+    A length is a limit if at least ``least`` different texts reach it (in bytes, up to three less) and more than ``factor``
+    times as many as the mean of the ``near`` lengths on its denser side lets expect, plus one half. They must also be a
+    ``share`` of the source's texts, or be too many for chance beside that mean, however large the source.
     In bytes, texts of one limit end at up to four lengths, and in some scripts few or none at the highest: the limit is the
-    highest length whose window holds most, without lengths above that hold no more than those that follow. Of the representations of a source only those count
-    that explain nearly as many texts as the best. The windows run over distinct lengths, whose number the longest text
+    highest length whose window holds most, without lengths above that hold no more than those that follow.
+    A spike counts only with the texts that no clearly larger one of its source explains: so of the representations of one
+    limit those are left that explain nearly as many texts as the best, and further limits of the source stay.
+    The windows run over distinct lengths, whose number the longest text
     bounds, not over texts.
     """
     # what stands for a broken character may be longer than the bytes that were left of it
@@ -278,13 +281,23 @@ def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor:
     # in bytes: what a length holds may be its share of the limit's texts, or only what the lengths above hold too
     beyond = F.col("above") / near
     its_share = F.col("window") / (BYTE_SLACK + 1)
-    of_limit = ~in_bytes | (F.col("above") == 0) | (_surprise("texts", beyond) > SURPRISE) | (F.col("texts") * F.log(its_share / beyond) >= its_share - beyond)
+    of_limit = ~in_bytes | (F.col("above") == 0) | (_surprise(F.col("texts"), beyond) > SURPRISE) | (F.col("texts") * F.log(its_share / beyond) >= its_share - beyond)
     around = w.rangeBetween(-BYTE_SLACK, BYTE_SLACK)
     spikes = spikes.where(of_limit).withColumn("most", F.max(F.struct("window", "stored")).over(around)).where(~in_bytes | (F.col("most.stored") == F.col("stored")))
     sizes = facts.groupBy("source").agg(F.count_distinct("text_hash").alias("_all")).withColumnRenamed("source", "_s")
-    spikes = spikes.join(sizes, F.col("source") == F.col("_s")).where(F.col("window") >= share * F.col("_all"))
-    best = Window.partitionBy("source")
-    return spikes.withColumn("best", F.max("window").over(best)).where(F.col("window") >= 0.9 * F.col("best")).select("source", "representation", "stored", F.col("window").alias("texts"))
+    expected = (F.greatest("below", "above") + 1) / near * F.col("width")
+    spikes = spikes.withColumn("expected", expected).join(sizes, F.col("source") == F.col("_s")).where((F.col("window") >= share * F.col("_all")) | (_surprise(F.col("window"), F.col("expected")) > SURE))
+    # of each spike, the texts that no clearly larger one explains
+    per_source = spikes.groupBy(F.col("source").alias("_s")).agg(F.collect_list(F.struct("representation", "stored", "window", (F.col("width") - 1).alias("slack"))).alias("spikes"))
+    texts = facts.select("source", "text_hash", lengths.alias("_lengths")).dropDuplicates(["source", "text_hash"]).join(per_source, F.col("source") == F.col("_s"))
+    on = F.filter("spikes", lambda x: F.element_at("_lengths", x["representation"] + 1).between(x["stored"] - x["slack"], x["stored"]))
+    best = F.array_max(F.transform("_on", lambda x: x["window"]))
+    own = texts.withColumn("_on", on).withColumn("_on", F.filter("_on", lambda x: x["window"] >= 0.9 * best)).select(F.col("source").alias("_s"), F.explode("_on").alias("_x"))
+    own = own.groupBy("_s", F.col("_x.representation").alias("_r"), F.col("_x.stored").alias("_l")).agg(F.count(F.lit(1)).alias("own"))
+    kept = spikes.drop("_s").join(own, (F.col("source") == F.col("_s")) & (F.col("representation") == F.col("_r")) & (F.col("stored") == F.col("_l")))
+    alone = (F.col("own") >= least) & (F.col("own") > factor * (F.greatest("below", "above") / near * F.col("width") + 0.5))
+    alone &= (F.col("own") >= share * F.col("_all")) | (_surprise(F.col("own"), F.col("expected")) > SURE)
+    return kept.where(alone).select("source", "representation", "stored", F.col("window").alias("texts"))
 
 
 def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:

@@ -150,3 +150,15 @@ def test_texts_cut_in_a_script_of_three_bytes(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r["doc_id"] for r in X.find_truncated(df, "doc_id", "text", "source").where("at_limit").collect()}
     assert {len(rows[i][1].encode()) for i in range(0, 120, 3)} == {398, 399, 400} and got >= set(range(0, 120, 3))
+
+
+def test_small_limits_of_a_large_source_and_second_limits_count(spark):
+    characters, utf8, ascii_json = map(X.REPRESENTATIONS.index, ("characters", "utf8", "json_ascii"))
+    n = len(X.REPRESENTATIONS)
+    large = [[500 if i < 200 else 100 + i * 7 % 2000] * n for i in range(10_000)]
+    # both limits are in characters; a third of the texts has two accents, which make smaller spikes in other representations
+    two = [[m + (2 if r == utf8 else 10 if r == ascii_json else 0) * (i % 3 == 0) for r in range(n)] for m, k in ((300, 120), (700, 30)) for i in range(k)] + [[20 + 13 * i] * n for i in range(60)]
+    rows = [(s, i, x) for s, lengths in (("large", large), ("two", two)) for i, x in enumerate(lengths)]
+    limits = X.hidden_limits(spark.createDataFrame(rows, "source string, text_hash bigint, lengths array<int>")).collect()
+    assert {(r["source"], r["stored"]) for r in limits if r["representation"] == characters} == {("large", 500), ("two", 300), ("two", 700)}
+    assert not [r for r in limits if r["source"] == "two" and r["representation"] == ascii_json]
