@@ -5,7 +5,8 @@ around, first word, code - and is searched with a Levenshtein automaton whose di
 
 File names stand for entries of a list that grows with the data. A typed name is first taken apart with small tries
 (issuer names and codes, document types, topics, scopes, dates), in any order of its parts; what remains is its own
-key. Names and entries are then routed to shards by issuer and topic. A task streams the shards it was given: the
+key. Names and entries are then routed to shards by issuer and topic, or by segments of the key, one of which every name
+within the distance shares with the entry. A task streams the shards it was given: the
 entries of a shard come first and make its trie, the names follow and are looked up; only one shard's trie is in memory,
 and names of a hot shard are spread over several copies of it. All entries within the distance come back; the other parts
 decide between them, and a name that contradicts all of them stands for nothing listed.
@@ -18,6 +19,7 @@ import unicodedata
 import urllib.parse
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -244,7 +246,7 @@ class NameParser:
         m = re.fullmatch(r"([a-z_]+)_([A-Z0-9]+)_(\d{4}-\d\d-\d\d)_([a-z-]+)\.\w+", filename)
         words = m[4].split("-") if m else []
         if not m or len(words) < 4:
-            return NameParts(key=re.sub("[^a-z]", "", fold(filename).lower()))
+            return NameParts(key=re.sub("[^a-z]", "", EXTENSION.sub("", fold(filename)).lower()))
         return NameParts(m[2], m[1], "-".join(words[:-3]), words[-1], m[3], "".join(words[-3:-1]))
 
     @staticmethod
@@ -314,6 +316,12 @@ def choose_entry(parts: NameParts, candidates: list[tuple[int, str, NameParts]])
     A part that the name shows must agree with the entry's: issuer, topic, scope, date (a month agrees with its days) and
     type. Of those left the nearest key counts; if several are as near, none is meant.
     """
+    best, _ = nearest_fitting(parts, candidates)
+    return next(iter(best)) if len(best) == 1 else None
+
+
+def nearest_fitting(parts: NameParts, candidates: list[tuple[int, str, NameParts]]) -> tuple[set[str], int]:
+    """The entries with the nearest key of those that agree with the parts, and their distance."""
     fit = [
         (e, entry)
         for e, entry, p in candidates
@@ -323,32 +331,100 @@ def choose_entry(parts: NameParts, candidates: list[tuple[int, str, NameParts]])
         and (not parts.day or p.day is not None and p.day.startswith(parts.day))
         and (not parts.doc_type or p.doc_type == parts.doc_type)
     ]
-    if not fit:
-        return None
-    least = min(e for e, _ in fit)
-    best = {entry for e, entry in fit if e == least}
-    return next(iter(best)) if len(best) == 1 else None
+    least = min((e for e, _ in fit), default=0)
+    return {entry for e, entry in fit if e == least}, least
 
 
-SEED = 4
+def key_distance(key: str) -> int:
+    return allowed_distance(len(key))
 
 
-def shards_of(parts: NameParts, entry: bool) -> list[str]:
-    """The shards that an entry stands in, or that a name is looked up in.
+@cache
+def segments(length: int) -> list[tuple[int, int]]:
+    """The (start, end) of the segments of an entry's key, so many that one stays whole in every name within the distance.
 
-    Names that show issuer and topic go to that shard. Others go by the first and the last letters of their key: of two
-    keys with one error between them, one of the two ends is the same. Entries stand in all three.
+    Each error spoils one segment; an exchange of neighbours, which counts as one error, may spoil two.
     """
-    seeds = [f"<{parts.key[:SEED]}", f">{parts.key[-SEED:]}"] if len(parts.key) >= 2 * SEED else []
-    own = [f"{parts.code}|{parts.topic}"] if parts.code and parts.topic else []
-    return own + seeds if entry else own or seeds
+    most = max((allowed_distance(n) for n in range(max(0, length - 3), length + 4) if abs(n - length) <= allowed_distance(n)), default=0)
+    count = most + 2 if most else 1
+    return [(length * i // count, length * (i + 1) // count) for i in range(count)]
 
 
-def key_distance(key: str) -> int:
-    return allowed_distance(len(key))
+def entry_seeds(key: str) -> list[str]:
+    """The shards of an entry by its key: its length, and the number and letters of each segment."""
+    return [f"{len(key)}:{i}:{key[a:b]}" for i, (a, b) in enumerate(segments(len(key)))]
+
+
+def name_seeds(key: str, lengths: Iterable[int]) -> set[str]:
+    """The shards of all entries with keys of one of ``lengths`` that may be within the distance of a name's key.
+
+    A segment that is whole stands where the letters gained and lost before it put it; those behind it make up the rest of
+    the difference in length, and both together are no more than the distance.
+    """
+    k, n, found = key_distance(key), len(key), set()
+    for m in lengths:
+        if abs(n - m) > k:
+            continue
+        shifts = [d for d in range(-k, k + 1) if abs(d) + abs(n - m - d) <= k]
+        for i, (a, b) in enumerate(segments(m)):
+            found |= {f"{m}:{i}:{key[a + d : b + d]}" for d in shifts if a + d >= 0 and b + d <= n}
+    return found
+
+
+def whole_keys(typed: str, entry: bool) -> set[tuple[str, str]]:
+    """(digits, letters) of a name as a whole, to compare with entries of another form; a typed one also without noise."""
+    if len(typed) > LONGEST:
+        return set()
+    text = EXTENSION.sub("", fold(typed if entry else urllib.parse.unquote(typed)).strip())
+    texts = {text}
+    for _ in range(0 if entry else 3):
+        text = EXTENSION.sub("", NOISE.sub("", text))
+        texts.add(text)
+    return {(re.sub("[^0-9]", "", t), re.sub("[^a-z]", "", t.lower())) for t in texts} - {("", "")}
+
+
+def shards_of_entry(entry: str, parts: NameParts) -> list[str]:
+    """The shards that an entry stands in: by issuer and topic, and by the segments of its key.
+
+    Entries of another form stand by the segments of the whole name and its digits, which must be the same.
+    """
+    if parts.code and parts.topic:
+        return [f"{parts.code}|{parts.topic}", *entry_seeds(parts.key)]
+    return [f"{digits}#{s}" for digits, key in whole_keys(entry, True) for s in entry_seeds(key)]
+
+
+def shards_of_name(typed: str, parts: NameParts, lengths: Iterable[int], other_lengths: Iterable[int]) -> list[tuple[str, NameParts]]:
+    """The shards that a name is looked up in, each with the parts that count there.
+
+    ``lengths``: of the entries' keys; ``other_lengths``: of those of another form. A name that shows issuer and topic meets
+    all entries that agree with it in their shard; others go by the segments of their key.
+    """
+    if parts.key and parts.code and parts.topic:
+        found = [(f"{parts.code}|{parts.topic}", parts)]
+    else:
+        found = [(s, parts) for s in name_seeds(parts.key, lengths)]
+    if other_lengths:
+        found += [(f"{digits}#{s}", NameParts(key=key)) for digits, key in whole_keys(typed, False) for s in name_seeds(key, other_lengths)]
+    return found
+
+
+def key_lengths(entries: DataFrame) -> tuple[list[int], list[int]]:
+    """The lengths that the keys of the entries have, and those of entries of another form: at most ``LONGEST`` each."""
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = set()
+            for entry in batch["entry"].tolist():
+                parts = NameParser.entry(entry)
+                found.add((not parts.code, min(len(parts.key), LONGEST + 4)))  # no name reaches longer ones
+            yield pd.DataFrame(sorted(found), columns=["other", "length"])
+
+    rows = entries.select("entry").mapInPandas(lengths, "other boolean, length int").distinct().collect()
+    return sorted(r["length"] for r in rows if not r["other"]), sorted(r["length"] for r in rows if r["other"])
 
 
 VOCABULARY_BOUND = 20_000
+SWAPPED = 100  # added to a distance that counts an exchange
 
 
 def name_vocabulary(entries: DataFrame) -> dict[str, list[str]]:
@@ -380,6 +456,7 @@ def map_names(names: DataFrame, entries: DataFrame, parser: NameParser, spread:
     entries precede the names, and are streamed; the task keeps the trie of one shard. ``spread`` copies of each shard
     share its names. Candidates of a name from several shards are folded into one verdict.
     """
+    lengths, other_lengths = key_lengths(entries)
     schema = "shard string, copy int, is_name boolean, name_id bigint, entry string, parts string"
 
     def parse_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,8 +464,8 @@ def map_names(names: DataFrame, entries: DataFrame, parser: NameParser, spread:
             rows = []
             for i, typed, with_type in zip(batch["name_id"].tolist(), batch["typed"].tolist(), batch["with_type"].tolist()):
                 parts = parser.parse(typed, with_type)
-                for s in shards_of(parts, False) if parts.key else []:
-                    rows.append((s, i % spread, True, i, None, _pack(parts)))
+                for s, shown in shards_of_name(typed, parts, lengths, other_lengths):
+                    rows.append((s, i % spread, True, i, None, _pack(shown)))
             yield pd.DataFrame(rows, columns=["shard", "copy", "is_name", "name_id", "entry", "parts"])
 
     def parse_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,7 +473,7 @@ def map_names(names: DataFrame, entries: DataFrame, parser: NameParser, spread:
             rows = []
             for entry in batch["entry"].tolist():
                 parts = NameParser.entry(entry)
-                for s in shards_of(parts, True):
+                for s in shards_of_entry(entry, parts):
                     rows += [(s, copy, False, None, entry, _pack(parts)) for copy in range(spread)]
             yield pd.DataFrame(rows, columns=["shard", "copy", "is_name", "name_id", "entry", "parts"])
 
@@ -412,11 +489,14 @@ def map_names(names: DataFrame, entries: DataFrame, parser: NameParser, spread:
                     trie.add(parts.key, entry)
                     known[entry] = parts
                     continue
+                if not known:
+                    continue
                 k = key_distance(parts.key)
-                hits = trie.search(parts.key, k) or trie.search_swapped(parts.key, k)
-                chosen = choose_entry(parts, [(e, x, known[x]) for x, e in hits.items()])
-                if chosen is not None:
-                    rows.append((i, chosen, hits[chosen]))
+                best, least = nearest_fitting(parts, [(e, x, known[x]) for x, e in trie.search(parts.key, k).items()])
+                if not best:  # entries that are near only with an exchange come behind all others
+                    best, least = nearest_fitting(parts, [(SWAPPED + e, x, known[x]) for x, e in trie.search_swapped(parts.key, k).items()])
+                # of equals two are enough to show that none is meant
+                rows += [(i, x, least) for x in sorted(best)[:2]]
             yield pd.DataFrame(rows, columns=["name_id", "found", "distance"])
 
     parsed = names.select("name_id", "typed", "with_type").mapInPandas(parse_names, schema)
@@ -425,7 +505,7 @@ def map_names(names: DataFrame, entries: DataFrame, parser: NameParser, spread:
     parts = max(2, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = parsed.unionAll(listed).repartition(parts, "shard", "copy").sortWithinPartitions("shard", "copy", "is_name")
     found = met.mapInPandas(look_up, "name_id bigint, found string, distance int")
-    # two shards may give two entries: then the nearer counts, and none if they are as near
+    # several entries may come, from one shard or more: then the nearer counts, and none if they are as near
     least = found.groupBy("name_id").agg(F.min_by("found", "distance").alias("canonical"), F.min("distance").alias("_d"), F.min(F.struct("distance", "found")).alias("_first"), F.max(F.struct(-F.col("distance"), F.col("found"))).alias("_last"))
     agreed = least.withColumn("canonical", F.when(F.col("_first.found") == F.col("_last.found"), F.col("canonical"))).select(F.col("name_id").alias("_id"), "canonical")
     return names.join(agreed.hint("merge"), F.col("name_id") == F.col("_id"), "left").drop("_id").withColumn("canonical", F.coalesce("canonical", F.lit(UNMATCHED)))

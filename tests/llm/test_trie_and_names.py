@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from farelode.llm.canonical import UNMATCHED, Issuer, IssuerIndex, NameParser, choose_entry, find_date, fold, map_issuers, map_names
+from farelode.llm.canonical import UNMATCHED, Issuer, IssuerIndex, NameParser, choose_entry, entry_seeds, find_date, fold, map_issuers, map_names, name_seeds
 from farelode.llm.trie import Trie, allowed_distance
 
 
@@ -103,3 +103,33 @@ def test_written_names(names, typed, n):
 def test_dates():
     assert [find_date(t)[0] for t in ("a 20260102 b", "a 02-01-2026", "a 2 JAN 26", "a Jan 2026", "a 2 Jna 26", "a 12345", "nothing", "a 2 Jux 26")] == ["2026-01-02", "2026-01-02", "2026-01-02", "2026-01", "2026-01-02", None, None, None]
     assert fold("Vázsoryаm​") == "Vazsoryam"
+
+
+def test_all_keys_within_the_distance_share_a_shard():
+    draw = random.Random(4)
+    for _ in range(6000):
+        key = "".join(draw.choices("abcdefgh", k=draw.randint(1, 20)))
+        name, swapped = key, False
+        for _ in range(draw.randint(0, 3)):
+            i = draw.randrange(len(name) + 1)
+            kind = draw.randrange(4)
+            if kind == 3 and not swapped and i + 1 < len(name):
+                name, swapped = name[:i] + name[i + 1] + name[i] + name[i + 2 :], True
+            elif kind < 3:
+                name = name[:i] + draw.choice("xyz") * (kind != 0) + name[i + (kind != 2) :]
+        k = allowed_distance(len(name))
+        trie = Trie([(key, key)])
+        if name and (trie.search(name, k) or trie.search_swapped(name, k)):
+            assert name_seeds(name, [3, len(key)]) & set(entry_seeds(key)), (key, name)
+
+
+def test_names_without_issuer_and_topic(spark):
+    listed = [f"terms_page_SQ3_2026-03-04_reissue-guide-{k}-general.html" for k in ("drovek-irelefpel", "abc-de", "mippel-tevwexlum", "mippel-tevwexlud")] + ["odd name.pdf", "LF9 name correction plan 7.pdf", "20.pdf"]
+    parser = NameParser(ISSUERS, ["terms_page"], ["reissue-guide", "name-correction"], ["general"])
+    typed = {
+        "dxovek irelefxel": 0, "rdovek irelefxel": 0, "drovxk iryelefxel": 0, "abcde": 1, "abxde": 1, "mippel tevwexluq": None, "xippel tevwexluq": None, "Odd Name (2).PDF": 4, "od name": 4, "od name 3": None,
+        "LF9_name-correction_plan_7": 5, "LF9 nmae correction plan 7": 5, "LF9 name correction plan 8": None, "20 (2).PDF": 6, "21": None,
+    }
+    names = spark.createDataFrame([(i, n, False) for i, n in enumerate(typed)], "name_id bigint, typed string, with_type boolean")
+    got = {r["typed"]: r["canonical"] for r in map_names(names, spark.createDataFrame([(e,) for e in listed], "entry string"), parser).collect()}
+    assert got == {n: UNMATCHED if e is None else listed[e] for n, e in typed.items()}
