@@ -9,10 +9,11 @@ sentences:
   continuation of the quotation. The path with the most remaining edges is taken; as a node that can be reached can
   always be left, one pass from left to right finds it.
 * Chinese and Japanese: the same lattice with full-width terminators, which need no space behind them; a quotation is
-  followed by its continuation unless a lead-in stood before it.
+  followed by its continuation unless a lead-in stood before it. Gaps between terminators are classified through a
+  lattice of words that end a sentence before a gap or open one behind it.
 * Thai has no terminator: each run of Thai letters is cut into words by the cheapest path through a lattice of dictionary
   words, then each gap (white space) is classified through the word before it and the word behind it: opening words
-  start a sentence unless the word before it still demands a complement.
+  start a sentence unless the word before it still demands a complement; final particles end one.
 
 Everything is a pure function of one text, so rows are handled in Arrow batches without a shuffle.
 """
@@ -64,16 +65,25 @@ THAI_OPENING = frozenset(
     """
     หาก ถ้า เมื่อ กรุณา โปรด ผู้โดยสาร บัตรโดยสาร ตั๋ว ค่าธรรมเนียม น้ำหนัก ภาษี สายการบิน เงื่อนไข ประกาศ การ ทั้งนี้ อย่างไรก็ตาม นอกจากนี้ สัมภาระ
     เที่ยวบิน ใช้ ห้าม ลูกค้า บริษัท ผู้ถือ ราคา เด็ก ทารก
+    เรา พวกเรา ท่าน คุณ เขา พวกเขา ดิฉัน ผม ดังนั้น แม้ว่า
     """.split()
 )
 THAI_JOINING = frozenset("เว้นแต่ ยกเว้น และ หรือ แต่ ที่ ซึ่ง ของ ใน ภายใน ก่อน หลัง จะ ไม่ มี มีผล ต่อ เท่านั้น ขอ ตาม เพื่อ โดย จาก ถึง กับ".split())
 THAI_DEMANDING = frozenset("ประกาศ ฉบับ ฉบับที่ ประเภท เส้นทาง สายการบิน ภายใน ไม่เกิน ถึง วันที่ ถึงวันที่ ที่ กับ ของ ต่อ และ หรือ โดย จาก ใน คืนให้ ค่าธรรมเนียม ยกเว้น เว้นแต่ หาก".split())
-THAI_WORDS = THAI_OPENING | THAI_JOINING | THAI_DEMANDING | frozenset(
+# Particles that end a sentence.
+THAI_FINAL = frozenset("ครับ ครับผม ค่ะ คะ นะ นะครับ นะคะ จ้ะ จ๊ะ เถอะ หรอก ล่ะ".split())
+THAI_WORDS = THAI_OPENING | THAI_JOINING | THAI_DEMANDING | THAI_FINAL | frozenset(
     """
+    ชนะ สถานะ ฐานะ คุณภาพ คุณสมบัติ ขอบคุณ ท่านอื่น
     นี้ ใช้ ติดต่อ เคาน์เตอร์ ออก ออกเดินทาง เดินทาง ได้ สามารถ เปลี่ยน เปลี่ยนแปลง วัน วันเดินทาง คืน คืนเงิน เงิน ยกเลิก ออกตั๋ว ใหม่ ตั๋วหมู่คณะ หมู่คณะ
     ถูก เรียกเก็บ เก็บ คิด ค่าปรับ ปรับ ยัง ไม่ได้ ที่นั่ง ว่าง ไม่เกิน กิโลกรัม ใบ คน เที่ยว ให้ มูลค่า สนามบิน สงวน สิทธิ์ ขอสงวนสิทธิ์ ชม วันที่ ผล
     """.split()
 )
+# Chinese and Japanese: words that end a sentence before a gap, words that open one behind it, and words in which these are
+# only parts, or which go on.
+CJK_FINAL = frozenset("です ます でした ました ません ませんでした ましょう でしょう ください 下さい である であった ですか ますか ましたか ませんか でしょうか ですね ますね ですよ ますよ 吗 呢 吧 啊 呀 啦 嘛 了".split())
+CJK_OPENING = frozenset("ただし なお さらに しかし そのため したがって 従って また 如果 因此 此外 另外 但是".split())
+CJK_WORDS = CJK_FINAL | CJK_OPENING | frozenset("ますます または またがる なおさら なおす 除了 为了 酒吧 网吧 ですが ますが ので から けれども が と し".split())
 # ---------------------------------------------------------------------------------------------------------------------
 
 # opening marks with what closes them; German and English quotation marks share signs
@@ -92,9 +102,8 @@ THAI_GAP = re.compile(r"\s+")
 _WIDE = "。！？｡"
 
 
-@lru_cache(maxsize=65_536)
-def thai_words(run: str) -> tuple[str, ...]:
-    """The cheapest path through the lattice of dictionary words over a run of Thai letters.
+def _cheapest(run: str, dictionary: frozenset[str]) -> tuple[str, ...]:
+    """The cheapest path through the lattice of dictionary words over a run of letters.
 
     A dictionary word costs 1, a letter that no word covers 2; adjoining uncovered letters form one word of their own.
     """
@@ -105,12 +114,12 @@ def thai_words(run: str) -> tuple[str, ...]:
         if here + 2 < cost[i + 1]:
             cost[i + 1], back[i + 1] = here + 2, i
         for j in range(i + 1, min(n, i + 14) + 1):
-            if run[i:j] in THAI_WORDS and here + 1 <= cost[j]:
+            if run[i:j] in dictionary and here + 1 <= cost[j]:
                 cost[j], back[j] = here + 1, i
     words, j, loose = [], n, n
     while j > 0:
         i = back[j]
-        if run[i:j] in THAI_WORDS:
+        if run[i:j] in dictionary:
             if loose > j:
                 words.append(run[j:loose])
             words.append(run[i:j])
@@ -121,6 +130,18 @@ def thai_words(run: str) -> tuple[str, ...]:
     return tuple(reversed(words))
 
 
+@lru_cache(maxsize=65_536)
+def thai_words(run: str) -> tuple[str, ...]:
+    """The words of a run of Thai letters."""
+    return _cheapest(run, THAI_WORDS)
+
+
+@lru_cache(maxsize=65_536)
+def cjk_words(run: str) -> tuple[str, ...]:
+    """The words of a run of Chinese or Japanese letters; what no listed word covers stays together."""
+    return _cheapest(run, CJK_WORDS)
+
+
 _COUNTED = re.compile(r"\d[\d.,]*\s+[a-zà-ÿ]{4,}\s")
 _AMOUNT = re.compile(r"[A-Z]{3}\s\d|[$€£¥]\s?\d")
 
@@ -319,10 +340,36 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
                 continue
         elif not (spaced and _starts_unit(text, after)) and not (not spaced and _joined(text, begin, m.start(), after, end)):  # ! or ?
             continue
-        out.append((begin, boundary))
+        _part_at_gaps(text, begin, boundary, out)
         begin = after
     if begin < end:
-        out.append((begin, end))
+        _part_at_gaps(text, begin, end, out)
+
+
+_CJK_RUN = re.compile(r"[぀-ヿ㐀-鿿]+")
+_CJK_GAP = re.compile(r"(?<=[぀-ヿ㐀-鿿])\s+(?=[぀-ヿ㐀-鿿「『【《])")
+_CJK_NEAR = 40  # letters beside a gap that are taken apart
+
+
+def _part_at_gaps(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
+    """A unit between terminators; in Chinese and Japanese its gaps part it where a word before ends or one behind opens a sentence."""
+    begin, seen, depth = start, start, 0
+    for gap in _CJK_GAP.finditer(text, start, end):
+        for c in text[seen : gap.start()]:
+            depth += (c in "「『（(【《“") - (c in "」』）)】》”")
+        seen = gap.start()
+        if depth > 0:
+            continue
+        i = gap.start()
+        while i > max(begin, gap.start() - _CJK_NEAR) and _CJK_RUN.match(text[i - 1]):
+            i -= 1
+        last = cjk_words(text[i : gap.start()])[-1]
+        run = _CJK_RUN.match(text, gap.end(), min(end, gap.end() + _CJK_NEAR))
+        first = cjk_words(run[0])[0] if run else ""
+        if last in CJK_FINAL and first not in CJK_WORDS - CJK_FINAL - CJK_OPENING or first in CJK_OPENING:
+            out.append((begin, gap.start()))
+            begin = gap.end()
+    out.append((begin, end))
 
 
 def _thai_paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
@@ -333,7 +380,9 @@ def _thai_paragraph(text: str, start: int, end: int, out: list[tuple[int, int]])
         before = gap.start()
         thai_before = THAI.match(text[before - 1]) is not None if before > begin else False
         run = THAI_RUN.match(text, after, end)
-        if run is None:
+        if thai_before and _last_thai(text, begin, before) in THAI_FINAL and after < end and (text[after].isalnum() or run is not None):
+            pass  # whatever follows
+        elif run is None:
             # a foreign sentence: capital letter, small words, its own terminator before the next Thai letter
             if not (thai_before or text[before - 1].isdigit()) or not text[after : after + 1].isupper() or _demands(text, begin, before):
                 continue
@@ -354,10 +403,15 @@ _FOREIGN = re.compile(r"[A-ZÀ-Þ¿¡][^\u0E00-\u0E7F]*?[a-zß-ÿ]{2,}[^\u0E00-\
 
 def _demands(text: str, begin: int, end: int) -> bool:
     """Whether the Thai word before ``end`` still demands a complement."""
+    return _last_thai(text, begin, end) in THAI_DEMANDING
+
+
+def _last_thai(text: str, begin: int, end: int) -> str:
+    """The Thai word before ``end``, or an empty text."""
     i = end
     while i > begin and "\u0e00" <= text[i - 1] <= "\u0e7f":
         i -= 1
-    return i < end and thai_words(text[i:end])[-1] in THAI_DEMANDING
+    return thai_words(text[i:end])[-1] if i < end else ""
 
 
 def _foreign(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:

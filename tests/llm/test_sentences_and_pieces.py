@@ -136,3 +136,15 @@ def test_very_long_texts_take_time_in_proportion(unit):
         sentences("x" + unit * (60_000 // len(unit)) + "y", lines)
     split_text("x" + unit * (60_000 // len(unit)) + "y")
     assert time.process_time() - start < 20  # quadratic work would take minutes
+
+
+@pytest.mark.parametrize(
+    "units",
+    [
+        ["กรุณาติดต่อเคาน์เตอร์ค่ะ", "สิทธิ์นี้ใช้ได้"], ["ตั๋วคืนเงินได้ครับ", "20 กิโลกรัมต่อคน"], ["ตั๋วนี้คืนเงินได้", "เราขอสงวนสิทธิ์"], ["ตั๋วนี้มีสถานะ มูลค่า"],
+        ["手数料がかかります", "変更はできません", "払戻は7日です"], ["航空券は変更できます ので確認が必要"], ["料金 手数料"], ["ますます 料金が上がる"], ["退票已经办理了", "旅客须支付费用"], ["为了 旅客"], ["手续费另收", "如果航班取消则全额退款"], ["変更は可能", "ただし手数料が必要"], ["「無料です 変更できます」と言った"],
+    ],
+)
+def test_gaps_of_scripts_without_spaces(units):
+    text = " ".join(units)
+    assert [text[a:b] for a, b in sentences(text)] == units
