@@ -334,10 +334,13 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
         .agg(*[F.max(F.when(F.col("kind") == k, F.struct("ends", "with_mark", "goes_on"))).alias(n) for k, n in (("1", "w"), ("2", "p"), ("3", "o"), ("4", "f"))])
     )
     # a last word that begins a longer word which stands elsewhere in the same place, and itself stands there nowhere, is cut
+    # only beginnings as long as some last word are made
+    asked_lengths = asked.where(F.col("_key").startswith("2")).agg(F.collect_set(F.length(F.split("_key", "\t")[2])).alias("_asked"))
     begun = (
         pairs.select("k", "p", "w", (F.col("ends") + F.col("goes_on")).alias("n"))
         .where(F.length("w") > 1)
-        .select("n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w") - 1, F.lit(24))), lambda n: F.concat_ws("\t", "k", "p", F.substring("w", F.lit(1), n)))).alias("_begun"))
+        .crossJoin(F.broadcast(asked_lengths))
+        .select("n", F.explode(F.transform(F.filter("_asked", lambda n: n < F.length("w")), lambda n: F.concat_ws("\t", "k", "p", F.substring("w", F.lit(1), n)))).alias("_begun"))
         .groupBy("_begun")
         .agg(F.sum("n").alias("_longer"))
     )

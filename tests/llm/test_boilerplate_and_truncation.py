@@ -162,3 +162,11 @@ def test_small_limits_of_a_large_source_and_second_limits_count(spark):
     limits = X.hidden_limits(spark.createDataFrame(rows, "source string, text_hash bigint, lengths array<int>")).collect()
     assert {(r["source"], r["stored"]) for r in limits if r["representation"] == characters} == {("large", 500), ("two", 300), ("two", 700)}
     assert not [r for r in limits if r["source"] == "two" and r["representation"] == ascii_json]
+
+
+def test_long_words_that_were_cut_are_fragments(spark):
+    word = "Umbuchungsgebührenerstattungsantragsformular"
+    texts = [f"Bitte senden Sie uns heute das {word} zu."] * 3 + [f"Hier steht nun {word[:30]} anders.", f"Bitte senden Sie uns heute das {word[:30]}", f"Bitte senden Sie uns heute das {word[:20]}", f"Hier steht nun {word[:20]} anders."]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["ending"] for r in X.find_truncated(df, "doc_id", "text", "source").collect()}
+    assert got[4] == got[5] == "fragment"
