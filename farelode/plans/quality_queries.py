@@ -53,8 +53,6 @@ def label_rows(spark: SparkSession, folder: str, tables: tuple[str, ...] | None
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every item of the four kinds that is not empty, with its document, its save and its position."""
     rows = label_rows(spark, folder, CHILD_KINDS).where("NOT is_empty")
-    # an object expected where only a text or number stands is no item
-    rows = rows.where(F.col("table_name").isin("eligibility_conditions", "exceptions") | ~(F.map_contains_key("fields", F.lit("value")) & (F.size("fields") == 1)))
     return rows.select(
         F.col("source_table").alias("table_name"),
         F.col("doc_key").alias("row_no"),

@@ -89,3 +89,14 @@ def test_blank_and_decode():
     assert is_blank({"a": " ", "b": [None, {}]}) and not is_blank({"a": 0})
     assert decode('"[1]"') == [1] and decode("[1") is None and decode('"x"') == '"x"' and decode("x") == "x"
     assert parse('﻿{"a": 1}') == {"a": 1}
+
+
+def test_texts_and_numbers_among_items_are_items(spark, tmp_path):
+    from farelode.plans.quality_queries import p4_found
+
+    payload = json.dumps({"penalty_tiers": ["50 EUR", {"value": 3}, None, " ", 7, {"amount": 1}], "refund_payout_options": ["voucher", {"value": ""}]})
+    spark.createDataFrame([(1, payload)], "row_no bigint, payload_json string").write.parquet(str(tmp_path / "manual_labels.parquet"))
+    spark.createDataFrame([], "request_id bigint, body_json string").write.parquet(str(tmp_path / "label_save_requests.parquet"))
+    rows = [(r["child_kind"], r["item_no"]) for r in p4_found(spark, str(tmp_path)).collect()]
+    first = min(n for _, n in rows)
+    assert sorted((k, n - first) for k, n in rows) == [("penalty_tiers", 0), ("penalty_tiers", 1), ("penalty_tiers", 4), ("penalty_tiers", 5), ("refund_payout_options", 0)]
