@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from farelode.llm.boilerplate import classify_lines, main_content
 from farelode.llm.canonical import UNMATCHED, Issuer, NameParser, map_issuers, map_names, name_vocabulary
-from farelode.llm.mixing import mix_sources, reached_shares, source_budgets
+from farelode.llm.mixing import mix_sources, place_rows, reached_shares, source_budgets
 from farelode.llm.packing import container_fill, pack
 from farelode.llm.pieces import split_oversized
 from farelode.llm.sentences import sentence_units
@@ -120,10 +120,6 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return container_fill(p7_containers(spark, folder), 8192)
 
 
-def _budgets(spark: SparkSession, folder: str) -> DataFrame:
-    return source_budgets(table(spark, folder, "documents"), "source", F.expr(BYTE_TOKENS), table(spark, folder, "source_targets"))
-
-
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The chosen documents with their repeats."""
     return mix_sources(table(spark, folder, "documents"), "doc_id", "source", F.expr(BYTE_TOKENS), table(spark, folder, "source_targets"))
@@ -131,12 +127,14 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The reached share of every listed source."""
-    return reached_shares(p8_mix(spark, folder), _budgets(spark, folder))
+    documents, tokens = table(spark, folder, "documents"), F.expr(BYTE_TOKENS)
+    budgets = source_budgets(documents, "source", tokens, table(spark, folder, "source_targets"))
+    return reached_shares(place_rows(documents, "doc_id", "source", tokens, budgets), budgets)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sources that the mix could not bring to their share."""
-    return p8_shares(spark, folder).where("NOT can_reach").select("source")
+    return p8_shares(spark, folder).where("short").select("source")
 
 
 def p9_endings(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,12 +177,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BYTES = "(octet_length(encode(text)) + 1)"
 _P8 = f"""
-WITH t AS (SELECT trim(source) AS source, lower(trim(source)) AS k, target_share, max_repeats FROM source_targets),
-     d AS (SELECT lower(trim(source, E' \\t\\n\\r')) AS k, sum({_BYTES}) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
-     b AS (SELECT t.*, coalesce(d.n, 0) AS n FROM t LEFT JOIN d USING (k))
+WITH t AS (SELECT lower(trim(source)) AS k, min(trim(source)) AS source, sum(target_share) AS target_share, min(max_repeats) AS max_repeats FROM source_targets GROUP BY 1),
+     d AS (SELECT doc_id, lower(trim(source, E' \\t\\n\\r')) AS k, {_BYTES} AS tokens FROM documents WHERE text IS NOT NULL),
+     n AS (SELECT k, sum(tokens) AS n FROM d GROUP BY k),
+     b AS (SELECT t.*, coalesce(n.n, 0) AS n, target_share * (SELECT sum(n.n) FROM n JOIN t USING (k)) AS budget FROM t LEFT JOIN n USING (k))
+"""
+_P8_PLACED = _P8 + """,
+     o AS (SELECT *, CAST('0x' || substr(md5(doc_id || '|42'), 1, 15) AS BIGINT) AS random FROM d),
+     p AS (SELECT o.doc_id, b.source, tokens, b.max_repeats, budget, b.n, least(floor(budget / b.n), b.max_repeats) AS whole,
+                  coalesce(sum(tokens) OVER (PARTITION BY k ORDER BY random, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o JOIN b USING (k)),
+     m AS (SELECT doc_id, source, tokens, max_repeats, CAST(whole + CASE WHEN whole < max_repeats AND before + tokens / 2 <= budget - whole * n THEN 1 ELSE 0 END AS INTEGER) AS repeats FROM p)
 """
 
 ORACLES: dict[str, str] = {
     "p7_found": f"SELECT doc_id FROM documents WHERE {_BYTES} > 8192",
-    "p8_found": _P8 + "SELECT source FROM b WHERE max_repeats * n < target_share * (SELECT sum(n) FROM b)",
+    "p8_found": _P8 + "SELECT source FROM b WHERE max_repeats * n < budget",
+    "p8_mix": _P8_PLACED + "SELECT doc_id, source, tokens, repeats FROM m WHERE repeats > 0",
+    "p8_shares": _P8_PLACED
+    + """, u AS (SELECT source, sum(tokens * repeats) AS used_tokens, count(*) FILTER (repeats > 0) AS used_rows, count(*) FILTER (repeats < max_repeats) AS spare_rows FROM m GROUP BY source)
+      SELECT source, target_share, max_repeats, CAST(n AS BIGINT) AS available_tokens, budget, coalesce(used_rows, 0) AS used_rows, CAST(coalesce(used_tokens, 0) AS BIGINT) AS used_tokens,
+             coalesce(spare_rows, 0) AS spare_rows, coalesce(used_tokens, 0) / (SELECT sum(used_tokens) FROM u) AS reached_share, max_repeats * n < budget AS short FROM b LEFT JOIN u USING (source)""",
 }

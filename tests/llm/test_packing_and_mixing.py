@@ -5,7 +5,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from farelode.llm.mixing import mix_sources, reached_shares, source_budgets
+from farelode.llm.mixing import mix_sources, place_rows, reached_shares, source_budgets
 from farelode.llm.packing import container_fill, fill_patterns, pack
 from farelode.llm.prefix import prefix_sums
 
@@ -104,7 +104,6 @@ def test_mix(spark):
     total = tokens["big"] + tokens["small"]
     budgets = {r["source"]: r for r in source_budgets(docs, "source", F.col("n"), targets).collect()}
     assert {s: r["available_tokens"] for s, r in budgets.items()} == {"big": tokens["big"], "small": tokens["small"], "tiny": 0}
-    assert {s: r["can_reach"] for s, r in budgets.items()} == {"big": tokens["big"] >= 0.3 * total, "small": 3 * tokens["small"] >= 0.5 * total, "tiny": False}
     mix = mix_sources(docs, "id", "source", F.col("n"), targets)
     rows_ = mix.collect()
     assert sorted(map(tuple, rows_)) == sorted(map(tuple, mix_sources(docs, "id", "source", F.col("n"), targets).collect()))
@@ -115,13 +114,28 @@ def test_mix(spark):
     for s, share in (("big", 0.3), ("small", 0.5)):
         assert abs(used[s] - min(share * total, {"big": 1, "small": 3}[s] * tokens[s])) <= 25  # half of the largest row
     assert len({r["id"] for r in rows_}) == len(rows_) and len({r["repeats"] for r in rows_ if r["source"] == "small"}) == 2
-    shares = {r["source"]: r for r in reached_shares(spark.createDataFrame(rows_), spark.createDataFrame(list(budgets.values()))).collect()}
+    budgets_ = source_budgets(docs, "source", F.col("n"), targets)
+    shares = {r["source"]: r for r in reached_shares(place_rows(docs, "id", "source", F.col("n"), budgets_), budgets_).collect()}
+    assert {s: r["short"] for s, r in shares.items()} == {"big": tokens["big"] < 0.3 * total, "small": 3 * tokens["small"] < 0.5 * total, "tiny": True}
     assert shares["tiny"]["used_tokens"] == 0 and sum(r["reached_share"] for r in shares.values()) == pytest.approx(1)
 
 
 def test_mix_edges(spark):
     docs, targets = spark.createDataFrame([(1, "a", 5, None, None), (2, "b", 5, None, None)], DOCS), spark.createDataFrame([("A ", 1.0, 2), ("a", 1.0, 5), (None, 1.0, 1)], TARGETS)
     b = source_budgets(docs, "source", F.col("n"), targets).collect()
-    assert [(r["source_key"], r["target_share"], r["max_repeats"], r["can_reach"]) for r in b] == [("a", 2.0, 2, True)]
+    assert [(r["source_key"], r["target_share"], r["max_repeats"]) for r in b] == [("a", 2.0, 2)]
     assert [tuple(r) for r in mix_sources(docs, "id", "source", F.col("n"), targets).collect()] == [(1, b[0]["source"], 5, 2)]
     assert mix_sources(docs.limit(0), "id", "source", F.col("n"), targets).count() == 0 and mix_sources(docs, "id", "source", F.col("n"), targets.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[1, 1], [5], [0, 0], [0, 7], [3, 3, 4], [10, 1], []])
+def test_short_sources_are_those_without_enough_tokens(spark, sizes):
+    """The mix tells the same as the sums, also where a budget is met exactly and where rows have no tokens."""
+    rows = [(i, "a", n, None, None) for i, n in enumerate(sizes)] + [(90 + i, "b", 5, None, None) for i in range(4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    total = sum(r[2] for r in rows)
+    for share in (0.0, 0.1, sum(sizes) / total, 2 * sum(sizes) / total, 0.9):
+        targets = spark.createDataFrame([("a", share, 2), ("b", 1 - share, 1)], TARGETS)
+        budgets = source_budgets(docs, "source", F.col("n"), targets)
+        got = {r["source"]: r["short"] for r in reached_shares(place_rows(docs, "id", "source", F.col("n"), budgets), budgets).collect()}
+        assert got == {"a": 2 * sum(sizes) < share * total, "b": 20 < (1 - share) * total}
