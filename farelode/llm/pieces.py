@@ -1,9 +1,10 @@
 """Splitting of oversized texts at natural boundaries, with overlap.
 
 The separators form a hierarchy: section, paragraph (block or line), sentence, word, character. A text is split at the
-highest separators; a part that is still larger than a piece may take is split again at the next ones, down to single
-tokens. The resulting parts are packed greedily into pieces up to the limit. Each piece begins with the last ``overlap``
-tokens of the one before, so it takes at most ``limit - overlap`` new tokens.
+highest separators and its parts are packed greedily: a part joins the open piece if it fits, else it opens the next one.
+Only a part that fits into no piece is split again, at the next separators, down to single tokens; before a sentence or a
+word is split, the open piece is closed at the boundary before it. Each piece begins with the last ``overlap`` tokens of
+the one before, so it takes at most ``limit - overlap`` new tokens.
 
 Tokens: each character in U+0E00-0E7F, U+3040-30FF or U+4E00-9FFF is one; any other run of characters that are neither
 these nor white space is one.
@@ -33,8 +34,12 @@ def count_tokens(text: str) -> int:
     return sum(1 for _ in TOKEN.finditer(text))
 
 
-def _separators(text: str, units: list[tuple[int, int]], starts: list[int], ends: list[int], lines: bool) -> list[int]:
-    """For every token the level of the separator before it."""
+def _separators(text: str, units: list[tuple[int, int]], starts: list[int], ends: list[int], lines: bool, heading: int) -> list[int]:
+    """For every token the level of the separator before it.
+
+    A block of at most ``heading`` characters without an end mark, which another block follows, is a heading and opens a
+    section; a longer one is a paragraph. That only ranks the boundary before it, which stays a natural one.
+    """
     levels = [WORD if i and ends[i - 1] < starts[i] else CHARACTER for i in range(len(starts))]
     for k, (a, b) in enumerate(units):
         i = bisect_left(starts, a)
@@ -45,32 +50,40 @@ def _separators(text: str, units: list[tuple[int, int]], starts: list[int], ends
             continue
         between = text[units[k - 1][1] : a]
         if "\n" in between if lines else _BREAK.search(between):
-            # a short block without an end mark that another block follows is a heading and opens a section
-            heading = b - a <= 60 and not _ENDED.search(text[a:b]) and k + 1 < len(units) and "\n" in text[b : units[k + 1][0]] and text[a] not in "•-–*("
-            levels[i] = SECTION if heading else PARAGRAPH
+            titled = b - a <= heading and not _ENDED.search(text[a:b]) and k + 1 < len(units) and "\n" in text[b : units[k + 1][0]] and text[a] not in "•-–*("
+            levels[i] = SECTION if titled else PARAGRAPH
         else:
             levels[i] = PARAGRAPH if "\n" in between and text[a] in "•-–*(0123456789" else SENTENCE
     return levels
 
 
-def _parts(start: int, end: int, level: int, levels: list[int], room: int) -> Iterator[int]:
-    """The ends of the parts of a token range that are no larger than ``room``, split as high as possible."""
-    if end - start <= room:
-        yield end
-        return
-    if level > CHARACTER:  # tokens are never cut
-        for stop in range(start + room, end, room):
-            yield stop
-        yield end
-        return
-    begin = start
-    for i in range(start + 1, end + 1):
-        if i == end or levels[i] <= level:
-            yield from _parts(begin, i, level + 1, levels, room)
-            begin = i
-
-
-def split_text(text: str | None, lines: bool = False, limit: int = 150, overlap: int = 30) -> list[tuple]:
+def _pack(n: int, levels: list[int], limit: int, overlap: int) -> list[int]:
+    """The ends of the pieces of ``n`` tokens, after a leading 0."""
+    cuts, begin, stop = [0], 0, 0  # begin: where the open piece starts, repeated tokens included; stop: its end so far
+    todo = [(0, n, SECTION)]  # parts, with the separators at which they would be split
+    while todo:
+        start, end, level = todo.pop()
+        if end - begin > limit and stop > cuts[-1]:
+            fresh = max(begin, stop - overlap)
+            if end - fresh <= limit or level >= WORD:
+                cuts.append(stop)
+                begin = fresh
+        if end - begin <= limit:
+            stop = end
+        elif level > CHARACTER:  # tokens are never cut
+            while end - begin > limit:
+                stop = begin + limit
+                cuts.append(stop)
+                begin = stop - overlap
+            stop = end
+        else:
+            inner = [start, *(i for i in range(start + 1, end) if levels[i] <= level), end]
+            todo += [(a, b, level + 1) for a, b in zip(inner, inner[1:])][::-1]
+    cuts.append(n)
+    return cuts
+
+
+def split_text(text: str | None, lines: bool = False, limit: int = 150, overlap: int = 30, heading: int = 60) -> list[tuple]:
     """The pieces of one text as ``PIECE_COLUMNS``; none where it is null or has at most ``limit`` tokens.
 
     ``cut_level`` names the separator at the end of a piece (``end`` for the last one). ``cut_kind`` is the same for all
@@ -89,16 +102,8 @@ def split_text(text: str | None, lines: bool = False, limit: int = 150, overlap:
         return []
     units = sentences(text, lines)
     kind = "forced" if any(b - a > limit and count_tokens(text[a:b]) > limit for a, b in units) else "natural"
-    levels = _separators(text, units, starts, ends, lines)
-    pieces, begin, stop, room = [], 0, 0, limit
-    cuts = [0]
-    for end in _parts(0, n, SECTION, levels, limit - overlap):
-        if end - cuts[-1] > room:
-            cuts.append(stop)
-            room = limit - min(overlap, cuts[-1] - begin)
-            begin = max(begin, cuts[-1] - overlap)
-        stop = end
-    cuts.append(n)
+    levels = _separators(text, units, starts, ends, lines, heading)
+    pieces, cuts = [], _pack(n, levels, limit, overlap)
     begin = 0
     for k in range(1, len(cuts)):
         own = cuts[k - 1] - begin if k > 1 else 0

@@ -107,6 +107,35 @@ def test_cuts_at_natural_boundaries():
         split_text("x", limit=5, overlap=5)
 
 
+@pytest.mark.parametrize("limit, overlap", [(150, 30), (20, 5), (10, 0)])
+def test_no_natural_boundary_is_passed_over(limit, overlap):
+    """A piece that ends inside a unit has begun with that unit, or with what was left of it; and a piece closed at a boundary had no room for the next part."""
+    draw = random.Random(overlap)
+    for _ in range(150):
+        units = [" ".join(["Fees", *["due"] * (draw.choice([1, 2, limit // 3, limit - overlap, limit - 1, limit, limit + 1, 3 * limit]) - 1)]) + "." for _ in range(draw.randint(2, 9))]
+        text = " ".join(units)
+        starts, at = {0}, 0
+        for u in units:
+            at += count_tokens(u)
+            starts.add(at)
+        found = split_text(text, limit=limit, overlap=overlap)
+        new = 0
+        for p in found:
+            if p[2] not in starts:
+                assert not any(new < s < p[2] for s in starts), (p, sorted(starts))
+            elif p[6] != "end":
+                following = min(s for s in starts if s > p[2])
+                assert following - p[1] > limit
+            new = p[2]
+
+
+def test_a_unit_is_split_only_where_it_fits_no_piece():
+    two = " ".join(["Fees " + "due " * 138 + "now."] * 2)
+    assert [p[2] for p in split_text(two)] == [140, 260, 280] and [p[6] for p in split_text(two)] == ["sentence", "word", "end"]
+    assert [p[2] for p in split_text("字" * 400)] == [150, 270, 390, 400]
+    assert [p[2] for p in split_text("字" * 20 + " " + "字" * 200)] == [20, 150, 220]
+
+
 def test_piece_operator(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "w " * 400, "x"), (4, "w " * 150, "x")], "row_no bigint, text string, cut_kind string")
     got = split_oversized(df, "text", keep=("row_no",)).collect()
