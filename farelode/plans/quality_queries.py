@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelode.operators.references import orphan_references, orphan_report
-from farelode.operators.shredding import InlinePlan, inline_plan, schema_graph, shred, structural_edges
+from farelode.operators.shredding import InlinePlan, document_plan, rejected_documents, shred
 from farelode.tables import table
 
 CHILD_KINDS = ("penalty_tiers", "refund_payout_options", "eligibility_conditions", "exceptions")
@@ -28,23 +28,18 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(p2_found(spark, folder))
 
 
-def label_graph(spark: SparkSession, folder: str) -> DataFrame:
-    """The schema graph of label payloads and save requests together."""
-    both = table(spark, folder, "manual_labels").select(F.col("payload_json").alias("body")).unionAll(table(spark, folder, "label_save_requests").select(F.col("body_json").alias("body")))
-    return schema_graph(both, "body")
-
+def label_plan(spark: SparkSession, folder: str) -> tuple[InlinePlan, DataFrame]:
+    """The plan and the schema graph of label payloads and save requests together.
 
-def label_plan(spark: SparkSession, folder: str) -> InlinePlan:
-    """The tables of the graph. The save and the four kinds of items are tables even where no row repeats them.
-
-    What is collected are the distinct names of nested or repeated elements; it does not grow with the rows.
+    The graph decides. The save and the four kinds of items are asked for besides, as tables where no document repeats them.
     """
-    return inline_plan(structural_edges(label_graph(spark, folder)).collect(), always=(SAVES, *CHILD_KINDS))
+    both = table(spark, folder, "manual_labels").select(F.col("payload_json").alias("body")).unionAll(table(spark, folder, "label_save_requests").select(F.col("body_json").alias("body")))
+    return document_plan(both, "body", always=(SAVES, *CHILD_KINDS))
 
 
 def label_rows(spark: SparkSession, folder: str, tables: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of all tables, of both sources, with ``source_table``."""
-    plan = label_plan(spark, folder)
+    plan, _ = label_plan(spark, folder)
     labels = shred(table(spark, folder, "manual_labels"), "row_no", "payload_json", plan, tables)
     requests = shred(table(spark, folder, "label_save_requests"), "request_id", "body_json", plan, tables)
     return labels.select(F.lit("manual_labels").alias("source_table"), "*").unionAll(requests.select(F.lit("label_save_requests").alias("source_table"), "*"))
@@ -64,10 +59,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_graph(spark: SparkSession, folder: str) -> DataFrame:
     """The schema graph with the decision taken for each element."""
-    edges = label_graph(spark, folder)
-    plan = inline_plan(structural_edges(edges).collect(), always=(SAVES, *CHILD_KINDS))
-    chosen = F.lit(sorted(plan.tables)) if plan.tables else F.array().cast("array<string>")
-    return edges.withColumn("own_table", F.array_contains(chosen, F.col("child")))
+    plan, edges = label_plan(spark, folder)
+
+    def among(elements: frozenset[str]) -> Column:
+        return F.array_contains(F.lit(sorted(elements)) if elements else F.array().cast("array<string>"), F.col("child"))
+
+    return edges.withColumns({"own_table": among(plan.tables), "only_requested": among(plan.requested)})
 
 
 def p4_tables(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,12 +72,21 @@ def p4_tables(spark: SparkSession, folder: str) -> DataFrame:
     return label_rows(spark, folder).select("source_table", "doc_key", "table_name", "row_key", "parent_table", "parent_key", "ordinal", F.to_json("fields").alias("fields_json"), "is_empty")
 
 
+def p4_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """The payloads and requests that are no JSON records."""
+    labels = rejected_documents(table(spark, folder, "manual_labels"), "row_no", "payload_json")
+    requests = rejected_documents(table(spark, folder, "label_save_requests"), "request_id", "body_json")
+    both = labels.select(F.lit("manual_labels").alias("table_name"), "*").unionAll(requests.select(F.lit("label_save_requests").alias("table_name"), "*"))
+    return both.withColumnRenamed("doc_key", "row_no")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p4_found": p4_found,
     "p4_graph": p4_graph,
     "p4_tables": p4_tables,
+    "p4_rejected": p4_rejected,
 }
 
 _P2 = r"""

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from farelode.operators.shredding import decode, element_name, inline_plan, is_blank, parse, schema_graph, shred, structural_edges
+from farelode.operators.shredding import _dumps, _loads_deep, decode, document_plan, element_name, inline_plan, is_blank, parse, rejected_documents, schema_graph, shred, structural_edges
 
 ORDER = {
     "orderId": 7, "customer": {"name": "a", "address": {"city": "b"}},
@@ -100,3 +100,55 @@ def test_texts_and_numbers_among_items_are_items(spark, tmp_path):
     rows = [(r["child_kind"], r["item_no"]) for r in p4_found(spark, str(tmp_path)).collect()]
     first = min(n for _, n in rows)
     assert sorted((k, n - first) for k, n in rows) == [("penalty_tiers", 0), ("penalty_tiers", 1), ("penalty_tiers", 4), ("penalty_tiers", 5), ("refund_payout_options", 0)]
+
+
+@pytest.mark.parametrize("depth", [1_000, 50_000])
+def test_no_depth_loses_a_document(spark, depth):
+    """As objects, lists and singletons; nothing is lost and nothing fails."""
+    deep = {"objects": '{"x": [' * depth + '{"a": 1}' + "]}" * depth, "lists": '{"y": ' + "[" * depth + "1" + "]" * depth + ', "z": {"b": " "}}'}
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(deep.values())], "id bigint, body string")
+    plan, _ = document_plan(df, "body")
+    assert plan.tables == {"x", "y"} and rejected_documents(df, "id", "body").count() == 0
+    found = shred(df, "id", "body", plan, ("x",)).select("row_key", "parent_key", "is_empty").collect()
+    assert len(found) == depth and len({r["row_key"] for r in found}) == depth and not any(r["is_empty"] for r in found)
+    assert {r["parent_key"] for r in found} - {r["row_key"] for r in found} == {""}
+
+
+def test_the_deep_reader_is_the_usual_one():
+    for text in ('{"a": [1, -2.5e3, true, null, "x\\u0041\\n"], "b": {}, "c": [[], {"d": {"e": ""}}]}', " [ ] ", '"x"', "0", '{"a":1,"a":2}'):
+        assert _loads_deep(text) == json.loads(text) and _dumps(json.loads(text)) == json.dumps(json.loads(text), ensure_ascii=False)
+    for text in ("", "{", "[1,]", '{"a"}', '{"a":1,}', "[1 2]", "01", "1 2", "NaN", "[}", '{1: 2}'):
+        with pytest.raises(ValueError):
+            _loads_deep(text)
+    deep = "[" * 30_000 + '{"k": "v"}' + "]" * 30_000
+    assert _dumps(_loads_deep(deep)) == deep
+    known = {}
+    blank = {"a": [{"b": " "}], "c": None}
+    assert is_blank(blank, known) and is_blank(blank["a"], known) and len(known) == 3 and not is_blank([[], [0]], known)
+
+
+def test_members_named_by_data_are_entries_of_a_map(spark):
+    bodies = [{"labels": {f"id{i}-{k}": {"tiers": [i, k], "by": {f"u{i}": {"n": [1]}}} for k in range(6)}, "meta": {"v": 1}} for i in range(5)]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "id bigint, body string")
+    plan, edges = document_plan(df, "body", map_members=4)
+    assert plan.maps == {"labels", "by"} and edges.count() < 10
+    assert plan.tables >= {"labels.entries", "tiers", "by.entries", "n"}
+    rows_ = shred(df, "id", "body", plan).collect()
+    entries = [r for r in rows_ if r["table_name"] == "labels.entries"]
+    assert sorted(r["fields"]["_key"] for r in entries) == sorted(k for b in bodies for k in b["labels"])
+    tiers = [r for r in rows_ if r["table_name"] == "tiers"]
+    assert len(tiers) == 60 and {(r["doc_key"], r["parent_key"]) for r in tiers} == {(r["doc_key"], r["row_key"]) for r in entries}
+    plain, _ = document_plan(df, "body")
+    assert not plain.maps
+
+
+def test_the_graph_decides_and_requests_only_add(spark):
+    df = spark.createDataFrame([(1, '{"a": [1], "b": {"c": 1}}')], "id bigint, body string")
+    plan, _ = document_plan(df, "body", always=("a", "b"))
+    assert plan.tables == {"a", "b"} and plan.requested == {"b"}
+
+
+def test_rejected_documents_are_listed(spark):
+    texts = ['{"a": 1}', "[]", "{", '"{"', "5", "null", '"x"', "", None, " ", '{"a": NaN}', '"{\\"a\\": 1}"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, body string")
+    assert {(r["doc_key"], r["reason"]) for r in rejected_documents(df, "id", "body").collect()} == {(2, "not_json"), (3, "not_json"), (4, "no_record"), (5, "no_record"), (6, "no_record"), (10, "not_json")}
