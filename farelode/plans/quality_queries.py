@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farelode.operators.references import orphan_references, orphan_report
 from farelode.operators.shredding import InlinePlan, document_plan, rejected_documents, shred
+from farelode.plans import quality_sql
 from farelode.tables import table
 
 CHILD_KINDS = ("penalty_tiers", "refund_payout_options", "eligibility_conditions", "exceptions")
@@ -110,6 +111,8 @@ WITH refs AS (
 """
 
 ORACLES: dict[str, str] = {
+    "p4_found": quality_sql.ITEMS,
+    "p4_rejected": quality_sql.REJECTED,
     "p2_found": _P2 + "SELECT table_name, row_no, orphan_kind, period FROM judged WHERE orphan_kind IS NOT NULL",
     "p2_report": _P2 + "SELECT table_name, period, orphan_kind, CAST(count(*) AS BIGINT) AS orphans FROM judged WHERE orphan_kind IS NOT NULL GROUP BY ALL",
 }
