@@ -5,9 +5,8 @@ both streams (``MERGE`` hint; no side is broadcast or held in memory). The paren
 interval per key, folded before their shuffle: the first arrival opens it, a deletion of the newest row closes it.
 Comparing a reference with that interval separates *missing*, *deleted* and *late*.
 
-A key that a large part of all references share (one missing id, say) would make one merge task long. Such keys are
-spread: references carry a salt out of ``salts`` and each parent interval is repeated for every salt. The intervals are
-one narrow row per parent key, so the repetition costs little beside the references themselves.
+A key that a large part of all references share (one missing id, say) would make one merge task long. Such hot keys, and
+only they, are spread over several tasks (``skew.spread_join``).
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farelode.operators.skew import spread_join
 from farelode.tables import clean_id
 
 ORPHAN_COLUMNS = ("table_name", "row_no", "orphan_kind", "period")
@@ -35,30 +35,23 @@ def validity_intervals(parents: DataFrame, key: str, arrived: str = "ingested_at
     return rows.groupBy("valid_key").agg(F.min("arrived").alias("valid_from"), F.max_by("gone", "age").alias("closed"))
 
 
-def reference_status(children: DataFrame, reference: str, at: str, intervals: DataFrame, salts: int = 4) -> DataFrame:
+def reference_status(children: DataFrame, reference: str, at: str, intervals: DataFrame, hot_share: float | None = None) -> DataFrame:
     """``children`` with a column ``orphan_kind``: missing, deleted, late, or null where the reference holds or is blank.
 
     A reference without a time (``at`` null), or to a parent without one, is never late. Children of any columns are
     allowed; the added working columns start with ``_ref_`` and are dropped again. Rows are neither lost nor multiplied,
-    as each (key, salt) has one interval. ``salts`` = 1 turns the spreading of hot keys off.
+    as each key has one interval. ``hot_share``: of the references, from which on a key is spread; see ``spread_join``.
     """
-    if salts < 1:
-        raise ValueError("salts must be at least 1")
-    spread = intervals.select(
-        F.col("valid_key").alias("_ref_parent"), F.col("valid_from").alias("_ref_from"), F.col("closed").alias("_ref_closed"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ref_salt_parent"),
-    )
-    # the salt depends on the child's own values, so a recomputed task gives the same rows; maps have no hash
-    hashed = [f"`{f.name}`" for f in children.schema if "map<" not in f.dataType.simpleString()]
-    keyed = children.withColumns({"_ref_key": clean_id(F.col(reference)), "_ref_salt": F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")})
-    joined = keyed.join(spread.hint("merge"), (F.col("_ref_key") == F.col("_ref_parent")) & (F.col("_ref_salt") == F.col("_ref_salt_parent")), "left")
+    keyed = children.withColumn("_ref_key", clean_id(F.col(reference)))
+    known = intervals.select(F.col("valid_key").alias("_ref_parent"), F.col("valid_from").alias("_ref_from"), F.col("closed").alias("_ref_closed"))
+    joined = spread_join(keyed, known, "_ref_key", "_ref_parent", "left", hot_share=hot_share)
     kind = (
         F.when(F.col("_ref_key").isNull(), F.lit(None).cast("string"))
         .when(F.col("_ref_parent").isNull(), F.lit("missing"))
         .when(F.col("_ref_closed"), F.lit("deleted"))
         .when(F.col("_ref_from") > F.col(at), F.lit("late"))
     )
-    return joined.withColumn("orphan_kind", kind).drop("_ref_key", "_ref_salt", "_ref_parent", "_ref_from", "_ref_closed", "_ref_salt_parent")
+    return joined.withColumn("orphan_kind", kind).drop("_ref_key", "_ref_parent", "_ref_from", "_ref_closed")
 
 
 def orphan_references(children: DataFrame, table_name: str, reference: str, at: str, parents: DataFrame, parent_key: str, row_id: str = "row_no") -> DataFrame:

@@ -1,7 +1,8 @@
 import datetime as dt
 import random
 
-from farelode.operators.references import orphan_references, orphan_report, validity_intervals
+from farelode.operators.references import orphan_references, orphan_report, reference_status, validity_intervals
+from farelode.operators.skew import hot_keys, spread_join
 
 P = "row_no bigint, key string, ingested_at timestamp, deleted_at timestamp, at string, valid_key int"
 C = "row_no bigint, ref string, at timestamp, orphan_kind string, valid_from string"
@@ -70,3 +71,36 @@ def test_ties_of_arrival_go_by_row_number(spark):
 def test_report_counts(spark):
     found = orphan_references(spark.createDataFrame([(i, "x" * 5000, day(0), None, None) for i in range(7)], C), "t", "ref", "at", spark.createDataFrame([], P), "key")
     assert [tuple(r) for r in orphan_report(found).collect()] == [("t", "2026-01", "missing", 7)]
+
+
+def test_only_hot_keys_are_spread(spark):
+    keys = spark.createDataFrame([("gone",)] * 4000 + [(f"k{i}",) for i in range(6000)] + [(None,)] * 500, "k string")
+    assert [tuple(r) for r in hot_keys(keys, 1 / 16).collect()] == [("gone", 7)]
+    assert hot_keys(keys, 1.0).count() == 0 and hot_keys(keys.limit(0), 0.1).count() == 0
+
+
+def test_spreading_keeps_tasks_even_and_changes_nothing(spark):
+    """With a third of all references on one missing id and a third on one present id no merge task has more than a fair share."""
+    rows = [(i, "gone" if i % 3 == 0 else "here" if i % 3 == 1 else f"k{i % 700}", day(3), None, None) for i in range(9_000)]
+    children, parents = spark.createDataFrame(rows, C), spark.createDataFrame([(i, k, day(1), None, None, None) for i, k in enumerate(["here", *(f"k{n}" for n in range(0, 700, 2))])], P)
+    intervals = validity_intervals(parents, "key")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        judged = reference_status(children.select("row_no", "ref", "at"), "ref", "at", intervals)
+        sizes = [len(p) for p in judged.select("row_no", "orphan_kind").rdd.glom().collect()]
+        plain = reference_status(children.select("row_no", "ref", "at"), "ref", "at", intervals, hot_share=1.0)
+        assert max(sizes) < 4 * sum(sizes) / 16 < max(len(p) for p in plain.select("row_no").rdd.glom().collect())
+        assert sorted(map(tuple, judged.select("row_no", "orphan_kind").collect()), key=str) == sorted(map(tuple, plain.select("row_no", "orphan_kind").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_spread_join_is_a_join(spark):
+    left = spark.createDataFrame([(i, f"k{i % 3}" if i % 7 else None, {"m": 1}) for i in range(200)], "n bigint, k string, m map<string,int>")
+    right = spark.createDataFrame([("k0", "a"), ("k1", "b"), ("k9", "c"), (None, "d")], "r string, v string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, left["k"] == right["r"], how).select("n", "v").collect()))
+        assert sorted(map(str, spread_join(left, right, "k", "r", how).select("n", "v").collect())) == want
+        assert spread_join(left.limit(0), right, "k", "r", how).count() == 0
