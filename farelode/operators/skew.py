@@ -34,20 +34,22 @@ def hot_keys(keys: DataFrame, share: float) -> DataFrame:
     return found.select(F.col("x.item").alias("hot_key"), F.ceil(F.col("x.count") / (F.col("rows") * share)).cast("int").alias("salts"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", salt_by: Column | None = None, hot_share: float | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", salt_by: Column | None = None, hot_share: float | None = None, hot: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``left_key = right_key`` by sort-merge; all columns of both sides.
 
     ``how``: inner or left. ``right`` should have one row per key, or few. ``salt_by``: a number that tells the rows of a key
     apart and does not change when a task is repeated; unless given, the hash of the left row (without maps, which have no
-    hash). Columns that start with ``_skew_`` are reserved. ``hot_share`` 1 turns the spreading off.
+    hash). Columns that start with ``_skew_`` are reserved. ``hot_share`` 1 turns the spreading off. ``hot``: the
+    hot keys where they are known, or found more cheaply, else they are looked for in ``left``.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    share = hot_share_of(left) if hot_share is None else hot_share
+    if hot is None:
+        hot = hot_keys(left.select(left_key), hot_share_of(left) if hot_share is None else hot_share)
     if salt_by is None:
         salt_by = F.xxhash64(*[f"`{f.name}`" for f in left.schema if "map<" not in f.dataType.simpleString()])
     # at most 1 / share rows
-    hot = F.broadcast(hot_keys(left.select(left_key), share).select(F.col("hot_key").alias("_skew_hot"), F.col("salts").alias("_skew_salts")))
+    hot = F.broadcast(hot.select(F.col("hot_key").alias("_skew_hot"), F.col("salts").alias("_skew_salts")))
     salted = left.join(hot, F.col(left_key) == F.col("_skew_hot"), "left").withColumn("_skew_salt", F.coalesce(F.pmod(salt_by, F.col("_skew_salts")), F.lit(0)).cast("int")).drop("_skew_hot", "_skew_salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_skew_salts"), F.lit(1)) - 1))
     repeated = right.join(hot, F.col(right_key) == F.col("_skew_hot"), "left").select(*right.columns, copies.alias("_skew_copy"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -59,21 +60,37 @@ def clean_id(column: Column) -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder for tables that a job writes and reads again; it lies where all executors reach it.
 
-    That is in the cluster's ``spark.checkpoint.dir``, or where it is unset, as in tests, the session's warehouse.
+    That is in the cluster's ``spark.checkpoint.dir``. Where that is unset, a local session uses its warehouse, as in tests; a
+    session with executors of its own is refused, as a folder of one machine would not reach them.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
     return f"{base}/{name}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint.
+    """Cuts the lineage with a reliable checkpoint, which keeps the partitions and the order in them.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in tests, a folder of the
-    session's warehouse is used. The files survive the loss of executors.
+    The files lie in the shared folder and survive the loss of executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark, "").rstrip("/"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a written table: smaller than a checkpoint and read by column, but in other partitions.
+
+    It lies in the shared folder and is removed when the application ends.
+    """
+    spark = df.sparkSession
+    name = shared_folder(spark, f"tables/{uuid.uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(name)
+    return spark.read.schema(df.schema).parquet(name)
