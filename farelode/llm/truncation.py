@@ -10,7 +10,8 @@
 3. *Verdict.* At a hidden limit a text counts as cut unless it ends with a sentence; elsewhere if its ending goes on in
    other texts.
 
-The counts are folded per batch before they are shuffled, and joined back by key; every text takes part whole.
+The counts are folded per batch before they are shuffled, and joined back by key, with hot keys (common endings, large
+sources, repeated texts) spread; every text takes part whole.
 """
 
 from __future__ import annotations
@@ -25,21 +26,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farelode.llm.sentences import sentences, thai_words
-from farelode.tables import clean_id, durable
+from farelode.operators.skew import hot_keys, hot_share_of, spread_join
+from farelode.tables import clean_id, stored
 
 REPRESENTATIONS = ("characters", "utf8", "utf16", "entities", "entities_without_quotes", "entities_utf8", "json", "json_utf8", "json_ascii", "crlf", "crlf_utf8")
 BYTE_SLACK = 3  # a limit in bytes may fall short of it by part of a character
-SHORT = 12
-TAIL = 64  # marks and closing signs stand in the last characters
+SHORT = 12  # the order of the ending model: so many tokens of a unit count by their position; further ones by the tokens before them
 ENDS_OFTEN = 0.25  # share of the units that end in a context from which on an ending there counts as complete
 SURPRISE = 7.0  # a chance of about 1 in 1,000
 SURE = 30.0  # a chance that stays small over all lengths, representations and sources
 ENDS_SELDOM = 0.1  # the same for endings with a terminator, which abbreviations have too
-MARK = re.compile(r"\s*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3}|more|continued|cont\.?)\))\s*$")
+MARKS = ("[…]", "[...]", "(…)", "(...)", "(more)", "(continued)", "(cont.)", "(cont)", "…")  # and three dots or more
 # a character that lost some of its bytes, and vowels that Thai writes before their consonant
 BROKEN = ("\ufffd", "เ", "แ", "โ", "ใ", "ไ")
 _TOKEN = re.compile(r"[฀-๿]+|[A-Z]{2,}(?:-[A-Z]{2,})+|\d+(?:[.,:]\d+)*|[぀-ヿ一-鿿]|[^\W_]+|[^\w\s]|_")
-_TERMINATOR = re.compile(r"[.!?؟۔।॥。！？｡][\"”“»」』)'’]*$")
+_TERMINATORS, _CLOSING = ".!?؟۔।॥。！？｡", "\"”“»」』)'’"
 
 
 def stored_lengths(text: str) -> list[int]:
@@ -120,10 +121,16 @@ def contexts(kind: str, plain: tuple[str, ...], shapes: tuple[str, ...], i: int)
 
 
 def split_mark(text: str) -> tuple[str, bool]:
-    """The text without a mark of omission at its end, and whether there was one."""
+    """The text without a mark of omission at its end, and whether there was one. A text that is only a mark has none."""
     bare = text.rstrip()
-    m = MARK.search(bare, max(0, len(bare) - TAIL))
-    return (bare[: m.start()].rstrip(), True) if m and m.start() else (bare, False)
+    mark = next((m for m in MARKS if bare.endswith(m)), "")
+    kept = bare[: -len(mark)] if mark else bare.rstrip(".") if bare.endswith("...") else bare
+    kept = kept.rstrip()
+    return (kept, True) if kept and len(kept) < len(bare) else (bare, False)
+
+
+def _ends_with_terminator(text: str) -> bool:
+    return text.rstrip(_CLOSING).endswith(tuple(_TERMINATORS))
 
 
 def _units(text: str) -> list[tuple[int, int]]:
@@ -220,7 +227,7 @@ def _scan(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
                         word, ends_in = f"1\t{plain[-1]}", list(contexts(*unit, len(plain) - 1))
                 lengths = stored_lengths(t)
                 whole = bare.rstrip("\ufffd")
-                rows.append((lengths, stored_lengths(whole) if mark or len(whole) < len(bare) else lengths, mark, bool(_TERMINATOR.search(bare, max(0, len(bare) - TAIL))), bool(units) and _unclosed(bare), bare.endswith(BROKEN), word, ends_in))
+                rows.append((lengths, stored_lengths(whole) if mark or len(whole) < len(bare) else lengths, mark, _ends_with_terminator(bare), bool(units) and _unclosed(bare), bare.endswith(BROKEN), word, ends_in))
                 if len(counts.units) > 200_000:
                     yield _both(counts.rows())
                 if len(forms) > 200_000:
@@ -267,8 +274,9 @@ def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor:
     """
     # what stands for a broken character may be longer than the bytes that were left of it
     lengths = F.when(F.col("broken") & ~F.col("marked"), F.col("bare_lengths")).otherwise(F.col("lengths")) if "broken" in facts.columns else F.col("lengths")
-    each = facts.select("source", "text_hash", F.posexplode(lengths).alias("representation", "stored")).distinct()
-    counted = each.groupBy("source", "representation", "stored").agg(F.count(F.lit(1)).alias("texts"))
+    # a text comes once per source; its lengths are counted where it lies, before anything is shuffled by length
+    unique = facts.select("source", "text_hash", lengths.alias("_lengths")).dropDuplicates(["source", "text_hash"])
+    counted = unique.select("source", F.posexplode("_lengths").alias("representation", "stored")).groupBy("source", "representation", "stored").agg(F.count(F.lit(1)).alias("texts"))
     in_bytes = F.col("representation").isin([i for i, r in enumerate(REPRESENTATIONS) if "utf8" in r])
     w = Window.partitionBy("source", "representation").orderBy("stored")
     spikes = (
@@ -284,12 +292,12 @@ def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor:
     of_limit = ~in_bytes | (F.col("above") == 0) | (_surprise(F.col("texts"), beyond) > SURPRISE) | (F.col("texts") * F.log(its_share / beyond) >= its_share - beyond)
     around = w.rangeBetween(-BYTE_SLACK, BYTE_SLACK)
     spikes = spikes.where(of_limit).withColumn("most", F.max(F.struct("window", "stored")).over(around)).where(~in_bytes | (F.col("most.stored") == F.col("stored")))
-    sizes = facts.groupBy("source").agg(F.count_distinct("text_hash").alias("_all")).withColumnRenamed("source", "_s")
+    sizes = unique.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("_all"))
     expected = (F.greatest("below", "above") + 1) / near * F.col("width")
     spikes = spikes.withColumn("expected", expected).join(sizes, F.col("source") == F.col("_s")).where((F.col("window") >= share * F.col("_all")) | (_surprise(F.col("window"), F.col("expected")) > SURE))
     # of each spike, the texts that no clearly larger one explains
     per_source = spikes.groupBy(F.col("source").alias("_s")).agg(F.collect_list(F.struct("representation", "stored", "window", (F.col("width") - 1).alias("slack"))).alias("spikes"))
-    texts = facts.select("source", "text_hash", lengths.alias("_lengths")).dropDuplicates(["source", "text_hash"]).join(per_source, F.col("source") == F.col("_s"))
+    texts = spread_join(unique, per_source, "source", "_s", salt_by=F.col("text_hash"))
     on = F.filter("spikes", lambda x: F.element_at("_lengths", x["representation"] + 1).between(x["stored"] - x["slack"], x["stored"]))
     best = F.array_max(F.transform("_on", lambda x: x["window"]))
     own = texts.withColumn("_on", on).withColumn("_on", F.filter("_on", lambda x: x["window"] >= 0.9 * best)).select(F.col("source").alias("_s"), F.explode("_on").alias("_x"))
@@ -307,8 +315,9 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
     ``complete`` (units elsewhere end so), ``fragment`` (an unknown word or a broken character), ``open`` (units elsewhere go on) or ``quote`` (left open). Null and
     blank texts have no row: nothing shows whether they were cut. Repeated texts are judged each; keys should be unique.
     """
-    scanned = durable(_scan(df, key, text, source))
+    scanned = stored(_scan(df, key, text, source))
     facts = _facts(scanned)
+    hot_texts = hot_keys(facts.select("text_hash"), hot_share_of(facts))
     copies = facts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("word", "ends_in", "marked")).alias("end"))
     limits = hidden_limits(facts)
     slack = F.when(F.col("representation").isin([i for i, r in enumerate(REPRESENTATIONS) if "utf8" in r]), BYTE_SLACK).otherwise(0)
@@ -317,9 +326,9 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
     def reaches(lengths: str) -> object:
         return F.exists("limits", lambda x: F.element_at(lengths, x["representation"] + 1).between(x["stored"] - x["slack"], x["stored"]))
 
-    placed = facts.join(per_source.withColumnRenamed("source", "_s"), F.col("source") == F.col("_s"), "left").drop("_s")
+    placed = spread_join(facts, per_source.withColumnRenamed("source", "_s"), "source", "_s", "left", salt_by=F.xxhash64(key)).drop("_s")
     placed = placed.withColumn("at_limit", F.coalesce(reaches("lengths") | reaches("bare_lengths"), F.lit(False)))
-    statistics = durable(_statistics(scanned))  # read three times
+    statistics = stored(_statistics(scanned))  # read three times
     # how often a last word stands anywhere follows from the pairs that end in it
     parts = F.split("key", "\t")
     pairs = statistics.where(F.col("key").startswith("2")).select("key", parts[0].alias("k"), parts[1].alias("p"), parts[2].alias("w"), "ends", "goes_on")
@@ -328,7 +337,7 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
     # the ending of a text and of its exact copies is not counted for it
     asked = copies.select("text_hash", F.col("copies").alias("own"), F.when(F.col("end.marked"), F.col("copies")).otherwise(0).alias("own_marked"), F.explode(F.concat(F.array("end.word"), "end.ends_in")).alias("_key")).where("_key IS NOT NULL")
     told = (
-        asked.join(statistics_and_uses, F.col("_key") == F.col("key"))
+        spread_join(asked, statistics_and_uses, "_key", "key", salt_by=F.col("text_hash"))  # very many texts end in a period
         .select(F.col("text_hash").alias("_h"), F.substring("_key", 1, 1).alias("kind"), (F.col("ends") - F.col("own")).alias("ends"), (F.col("marked") - F.col("own_marked")).alias("with_mark"), "goes_on")
         .groupBy("_h")
         .agg(*[F.max(F.when(F.col("kind") == k, F.struct("ends", "with_mark", "goes_on"))).alias(n) for k, n in (("1", "w"), ("2", "p"), ("3", "o"), ("4", "f"))])
@@ -344,9 +353,9 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
         .groupBy("_begun")
         .agg(F.sum("n").alias("_longer"))
     )
-    cut_words = asked.where(F.col("_key").startswith("2")).join(begun, F.col("_key") == F.col("_begun")).select(F.col("text_hash").alias("_h"), "_longer")
+    cut_words = spread_join(asked.where(F.col("_key").startswith("2")), begun, "_key", "_begun", salt_by=F.col("text_hash")).select(F.col("text_hash").alias("_h"), "_longer")
     told = told.join(cut_words, "_h", "left")
-    both = placed.join(told, F.col("text_hash") == F.col("_h"), "left")
+    both = spread_join(placed, told, "text_hash", "_h", "left", salt_by=F.xxhash64(key), hot=hot_texts)
     known = (F.coalesce(F.col("w.goes_on") + F.col("w.ends"), F.lit(0)) > 0) & ~((F.coalesce("_longer", F.lit(0)) > F.coalesce(F.col("p.ends"), F.lit(0))) & (F.coalesce(F.col("p.goes_on"), F.lit(0)) == 0))
     loose = F.col("word").isin([f"1\t{c}" for c in "-–—/,:;(&"])
     # of the openings that were seen the one that ends more often decides, else the last two tokens

@@ -109,7 +109,7 @@ def test_truncation_edges(spark):
     assert {r["doc_id"] for r in X.find_truncated(same, "doc_id", "text", "source").where("truncated").collect()} == {0, 1, 2}
 
 
-@pytest.mark.parametrize("text, bare, mark", [("abc...", "abc", True), ("abc …", "abc", True), ("abc (more)", "abc", True), ("abc [...]", "abc", True), ("abc.", "abc.", False), ("...", "...", False), ("a (min. 5)", "a (min. 5)", False)])
+@pytest.mark.parametrize("text, bare, mark", [("abc...", "abc", True), ("abc …", "abc", True), ("abc (more)", "abc", True), ("abc [...]", "abc", True), ("abc.", "abc.", False), ("...", "...", False), ("a (min. 5)", "a (min. 5)", False), ("abc" + "." * 300, "abc", True), ("abc" + " " * 300 + "…" + " " * 300, "abc", True), ("abc [ ...]", "abc [ ...]", False)])
 def test_marks(text, bare, mark):
     assert X.split_mark(text) == (bare, mark)
 
@@ -170,3 +170,16 @@ def test_long_words_that_were_cut_are_fragments(spark):
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
     got = {r["doc_id"]: r["ending"] for r in X.find_truncated(df, "doc_id", "text", "source").collect()}
     assert got[4] == got[5] == "fragment"
+
+
+def test_terminators_stand_before_any_number_of_closing_marks():
+    assert X._ends_with_terminator("He said no." + '"' * 500) and X._ends_with_terminator("Nein.“)") and not X._ends_with_terminator("no" + ")" * 500) and not X._ends_with_terminator("")
+
+
+def test_a_third_of_all_rows_in_one_source_one_text_and_one_ending(spark):
+    """Hot groups give the same verdicts as the same texts in small groups."""
+    rows, cut = corpus(300)
+    hot = [(10_000 + i, "The fee is due before departure.", "hot") for i in range(150)] + [(20_000 + i, "The refund of each ticket is due bef", "hot") for i in range(150)]
+    df = spark.createDataFrame(rows + hot, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in X.find_truncated(df, "doc_id", "text", "source").collect()}
+    assert len(got) == 600 and not any(got[10_000 + i]["truncated"] for i in range(150)) and all(got[20_000 + i]["truncated"] for i in range(150))
