@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +40,8 @@ MARKS = ("[…]", "[...]", "(…)", "(...)", "(more)", "(continued)", "(cont.)",
 # a character that lost some of its bytes, and vowels that Thai writes before their consonant
 BROKEN = ("\ufffd", "เ", "แ", "โ", "ใ", "ไ")
 _TOKEN = re.compile(r"[฀-๿]+|[A-Z]{2,}(?:-[A-Z]{2,})+|\d+(?:[.,:]\d+)*|[぀-ヿ一-鿿]|[^\W_]+|[^\w\s]|_")
+_THAI = re.compile(r"[\u0e00-\u0e7f]")
+_OPENING = re.compile(r"[\"“„«「(（]")
 _TERMINATORS, _CLOSING = ".!?؟۔।॥。！？｡", "\"”“»」』)'’"
 
 
@@ -58,10 +60,12 @@ def stored_lengths(text: str) -> list[int]:
 
 
 def tokens(text: str) -> list[str]:
-    """Words, digits and marks, lower-cased; Thai runs cut into dictionary words."""
+    """Words, digits and marks as they stand; Thai runs cut into dictionary words."""
+    found = _TOKEN.findall(text)
+    if _THAI.search(text) is None:
+        return found
     out = []
-    for m in _TOKEN.finditer(text):
-        t = m[0]
+    for t in found:
         if "\u0e00" <= t[0] <= "\u0e7f":
             out.extend(thai_words(t))
         else:
@@ -88,6 +92,19 @@ def _shape(token: str) -> str:
     return token
 
 
+class _Forms(dict):
+    """A word's form, found once."""
+
+    def __init__(self, form: Callable[[str], str]) -> None:
+        self.form = form
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = found = self.form(word)
+        return found
+
+
 def _kind(words: list[str]) -> str:
     """List item, table row, heading with a value, or running text."""
     if words[0] in "•‣▪*–-(" or words[0][0].isdigit() and len(words) > 1 and words[1] in ".)":
@@ -180,6 +197,8 @@ class _Counts:
 def _unclosed(text: str) -> bool:
     """Whether the last unit of the last block leaves a quotation or bracket open."""
     block = text[text.rfind("\n\n") + 1 :]
+    if _OPENING.search(block) is None:
+        return False
     a, b = sentences(block)[-1]
     unit = block[a:b]
     if unit.count('"') % 2 or unit.count("«") > unit.count("»") or unit.count("「") > unit.count("」"):
@@ -201,7 +220,7 @@ def _scan(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     names = [c.split()[0] for c in FACTS.split(", ")]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forms: dict[str, tuple[str, str]] = {}  # a word's plain form and shape
+        plain_of, shape_of = _Forms(_plain).__getitem__, _Forms(_shape).__getitem__
         counts = _Counts()
         for batch in batches:
             rows = []
@@ -213,25 +232,16 @@ def _scan(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
                     words = tokens(bare[a:b])
                     if not words:
                         continue
-                    plain, shapes = [], []
-                    for w in words:
-                        f = forms.get(w)
-                        if f is None:
-                            f = forms[w] = (_plain(w), _shape(w))
-                        plain.append(f[0])
-                        shapes.append(f[1])
                     final = u == len(units) - 1
-                    unit = (_kind(words), tuple(plain), tuple(shapes[:SHORT]))
+                    unit = (_kind(words), tuple(map(plain_of, words)), tuple(map(shape_of, words[:SHORT])))
                     counts.add(*unit, final and mark)
                     if final:
-                        word, ends_in = f"1\t{plain[-1]}", list(contexts(*unit, len(plain) - 1))
+                        word, ends_in = f"1\t{unit[1][-1]}", list(contexts(*unit, len(words) - 1))
                 lengths = stored_lengths(t)
                 whole = bare.rstrip("\ufffd")
                 rows.append((lengths, stored_lengths(whole) if mark or len(whole) < len(bare) else lengths, mark, _ends_with_terminator(bare), bool(units) and _unclosed(bare), bare.endswith(BROKEN), word, ends_in))
                 if len(counts.units) > 200_000:
                     yield _both(counts.rows())
-                if len(forms) > 200_000:
-                    forms.clear()
             found = pd.concat([batch[[key, "source", "text_hash"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
             yield _both(found)
         yield _both(counts.rows())
