@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelode.llm.boilerplate import classify_lines, main_content
-from farelode.llm.canonical import UNMATCHED, Issuer, NameParser, map_issuers, map_names, name_vocabulary
+from farelode.llm.canonical import UNMATCHED, Issuer, NameParser, issuer_candidates, map_issuers, map_names, name_candidates, name_vocabulary
 from farelode.llm.mixing import mix_sources, place_rows, reached_shares, source_budgets
 from farelode.llm.packing import container_fill, pack
 from farelode.llm.pieces import split_oversized
@@ -25,17 +25,20 @@ def _issuers(spark: SparkSession, folder: str) -> list[Issuer]:
     return [Issuer(r["kind"], r["canonical_name"], r["code"], r["country"]) for r in rows if r["kind"] and r["canonical_name"] and r["code"]]
 
 
-def p1_issuers(spark: SparkSession, folder: str) -> DataFrame:
-    """Carriers and suppliers of the manifest that are not verbatim a name or code, with the code they mean."""
+def _typed_issuers(spark: SparkSession, folder: str) -> DataFrame:
     manifest = table(spark, folder, "pilot_source_manifest")
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("typed")) for k in ("carrier", "supplier")])).alias("v")
-    values = manifest.select("row_no", kinds).select("row_no", "v.kind", "v.typed").where(clean_id(F.col("typed")).isNotNull())
-    mapped = map_issuers(values, _issuers(spark, folder)).where("NOT verbatim")
+    return manifest.select("row_no", kinds).select("row_no", "v.kind", "v.typed").where(clean_id(F.col("typed")).isNotNull())
+
+
+def p1_issuers(spark: SparkSession, folder: str) -> DataFrame:
+    """Carriers and suppliers of the manifest that are not verbatim a name or code, with the code they mean."""
+    mapped = map_issuers(_typed_issuers(spark, folder), _issuers(spark, folder)).where("NOT verbatim")
     return mapped.select(F.lit("pilot_source_manifest").alias("table_name"), "row_no", F.col("kind").alias("field"), "typed", "canonical")
 
 
-def p1_files(spark: SparkSession, folder: str) -> DataFrame:
-    """File names of the map that are not verbatim a file of the manifest, with the file they mean."""
+def _typed_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, NameParser]:
+    """(names, entries, parser): file names of the map that are not verbatim a file of the manifest, and its files."""
     entries = table(spark, folder, "pilot_source_manifest").select(F.col("source_filename").alias("entry")).where("entry IS NOT NULL").distinct()
     rows = table(spark, folder, "canonicalize_map").withColumn("has_new", clean_id(F.col("new_name")).isNotNull())
     typed = rows.select(
@@ -46,8 +49,22 @@ def p1_files(spark: SparkSession, folder: str) -> DataFrame:
     names = typed.join(entries.withColumnRenamed("entry", "_e").hint("merge"), (F.col("field") == "new_name") & (F.col("typed") == F.col("_e")), "left_anti")
     names = names.withColumn("with_type", (F.col("field") == "new_name") | F.col("typed").rlike(r"^[a-z_]+_[A-Z]+\d_\d{4}-\d\d-\d\d_"))
     words = name_vocabulary(entries)
-    parser = NameParser(_issuers(spark, folder), words["doc_type"], words["topic"], words["scope"])
-    return map_names(names, entries, parser).select(F.lit("canonicalize_map").alias("table_name"), F.col("name_id").alias("row_no"), "field", "typed", "canonical")
+    return names, entries, NameParser(_issuers(spark, folder), words["doc_type"], words["topic"], words["scope"])
+
+
+def p1_files(spark: SparkSession, folder: str) -> DataFrame:
+    """File names of the map that are not verbatim a file of the manifest, with the file they mean."""
+    mapped = map_names(*_typed_files(spark, folder))
+    return mapped.select(F.lit("canonicalize_map").alias("table_name"), F.col("name_id").alias("row_no"), "field", "typed", "canonical")
+
+
+def p1_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """All entries within the distance of every typed value, also those that other parts of it exclude."""
+    issuers = issuer_candidates(_typed_issuers(spark, folder), _issuers(spark, folder))
+    by_issuer = issuers.select(F.lit("pilot_source_manifest").alias("table_name"), "row_no", F.col("kind").alias("field"), "candidate", "distance", F.lit(True).alias("agrees"))
+    names, entries, parser = _typed_files(spark, folder)
+    files = name_candidates(names, entries, parser).join(names.select("name_id", "field"), "name_id")
+    return by_issuer.unionByName(files.select(F.lit("canonicalize_map").alias("table_name"), F.col("name_id").alias("row_no"), "field", "candidate", "distance", "agrees"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_issuers": p1_issuers,
     "p1_files": p1_files,
     "p1_unmatched": p1_unmatched,
+    "p1_candidates": p1_candidates,
     "p3_found": p3_found,
     "p3_units": p3_units,
     "p5_found": p5_found,
