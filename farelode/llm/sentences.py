@@ -8,6 +8,7 @@ sentences:
   which never ends a sentence, a decimal, an ordinal or a date, or after which the text goes on in lower case or with a
   continuation of the quotation. The path with the most remaining edges is taken; as a node that can be reached can
   always be left, one pass from left to right finds it.
+* Scripts with full stops of their own (Khmer, Burmese, Tibetan, Ethiopic, Armenian and others): these end sentences.
 * Chinese and Japanese: the same lattice with full-width terminators, which need no space behind them; a quotation is
   followed by its continuation unless a lead-in stood before it. Gaps between terminators are classified through a
   lattice of words that end a sentence before a gap or open one behind it.
@@ -15,7 +16,9 @@ sentences:
   words, then each gap (white space) is classified through the word before it and the word behind it: opening words
   start a sentence unless the word before it still demands a complement; final particles end one.
 
-Everything is a pure function of one text, so rows are handled in Arrow batches without a shuffle.
+A quotation or bracket that is not closed reaches to the end of its block, as one that was cut off does; a straight mark
+behind a digit without a partner is an inch mark. Everything is a pure function of one text, so rows are handled in Arrow
+batches without a shuffle; words, tokens and texts may have any length, and a text is read in time proportional to it.
 """
 
 from __future__ import annotations
@@ -91,7 +94,9 @@ PAIR = {
     "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›", "‚": "‘",
     "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉",
 }
-EVENT = re.compile(r"[\"“”„«»「」『』()（）\[\]【】]|[!?؟۔।॥。！？｡…‥]+|\.+")
+# full stops of other scripts, which need no space behind them: Arabic, Devanagari, Armenian, Ethiopic, Burmese, Khmer, Tibetan
+_OWN_STOPS = "।॥۔؟։።፧။។៕།༎"
+EVENT = re.compile(rf"[\"“”„«»「」『』()（）\[\]【】]|[!?。！？｡…‥{_OWN_STOPS}]+|\.+")
 BLANK = re.compile(r"\n(?:[ \t\r\f\v\u00a0\u3000]*\n)+")
 _VISIBLE = re.compile(r"\S")
 BULLET = re.compile(r"\s*(?:([•‣◦▪●∙·○–—*-])|\(?(?:(\d{1,3})(\)|\.)|([a-zA-Z]|[ivxIVX]{1,4})\)))[ \t ]+(?=\S)")
@@ -160,26 +165,88 @@ def _starts_unit(text: str, at: int) -> bool:
     return True
 
 
-LONGEST_WORD = 300  # what is longer is no abbreviation or address, and looking back stays cheap in texts without spaces
+_OPENERS = "(\"'“„«[¿¡/"
+_LONGEST = max(map(len, NEVER_FINAL | MAYBE_FINAL | MONTHS)) + 1
+_ADDRESS = re.compile(r"(?i)[(\"“]*(?:https?:|www\.|[^\s@]+@)")
 
 
-def _word_start(text: str, start: int, end: int) -> int:
-    """Where the word before ``end`` begins."""
-    i, least = end, max(start, end - LONGEST_WORD)
-    while i > least and not text[i - 1].isspace():
-        i -= 1
-    return i
+class _Words:
+    """What looking back from a mark needs of the word before it, carried forward, so that a text is read once.
 
+    Marks are asked for from left to right. No word is cut: of longer ones than all abbreviations it is enough to know that.
+    """
 
-def _abbreviation(text: str, start: int, dot: int) -> str:
-    """The word that ends in the period at ``dot``, in lower case, with inner periods and without opening marks."""
-    i = _word_start(text, start, dot)
-    return text[i:dot].lstrip("(\"'“„«[¿¡/").lower()
+    def __init__(self, text: str, start: int) -> None:
+        self.text, self.begin, self.seen = text, start, start
+        self.core = self.core_of = self.address_of = -1
+        self.is_address = False
+        self.dotted, self.initials = -1, True  # the last period of the word, and whether only single letters stood between its periods
+
+    def at(self, mark: int, sentence: int) -> int:
+        """Where the word before ``mark`` begins, in the sentence that begins at ``sentence``."""
+        for gap in _BLANK_RUN.finditer(self.text, self.seen, mark):
+            self.begin = gap.end()
+        self.seen = max(self.seen, mark)
+        return max(self.begin, sentence)
+
+    def bare(self, mark: int, sentence: int) -> str:
+        """The word before ``mark`` in lower case, without opening marks; only its end where it is longer than any abbreviation."""
+        at = self.at(mark, sentence)
+        if at != self.core_of:
+            self.core_of = self.core = at
+            while self.core < mark and self.text[self.core] in _OPENERS:
+                self.core += 1
+        return self.text[max(min(self.core, mark), mark - _LONGEST - 1) : mark].lower()
+
+    def single_letters(self, dot: int, sentence: int) -> bool:
+        """Whether the word is of single letters with periods between them; to be asked at each of its periods."""
+        self.bare(dot, sentence)
+        if self.dotted < self.core:  # the first period of the word
+            self.initials = True
+            last = self.core - 1
+        else:
+            last = self.dotted
+        self.initials &= dot - last == 2 and self.text[dot - 1].isalpha()
+        first, self.dotted = last < self.core, dot
+        return self.initials and not first
+
+    def address(self, mark: int, sentence: int) -> bool:
+        """Whether the word is a web or mail address as far as ``mark``."""
+        at = self.at(mark, sentence)
+        if at != self.address_of:
+            self.address_of = at
+            m = _ADDRESS.match(self.text, at)
+            self.is_address, self.address_end = m is not None, m.end() if m else 0
+        return self.is_address and self.address_end <= mark
+
+
+class _Ahead:
+    """The next place of a pattern from a position on; positions are asked for from left to right, so a text is read once."""
+
+    def __init__(self, pattern: re.Pattern, text: str, end: int) -> None:
+        self.find, self.text, self.end, self.place = pattern.search, text, end, -1
+
+    def of(self, at: int) -> int:
+        if self.place < at:
+            m = self.find(self.text, at, self.end)
+            self.place = m.start() if m else self.end
+        return self.place
+
+
+def _word_before(text: str, start: int, at: int) -> str:
+    """The word before the white space that ends at ``at``."""
+    while at > start and text[at - 1].isspace():
+        at -= 1
+    i = at
+    while i > start and not text[i - 1].isspace():
+        i -= 1
+    return text[i:at]
 
 
-def _period_ends(text: str, start: int, dot: int, after: int) -> bool:
+def _period_ends(text: str, start: int, dot: int, after: int, words: _Words) -> bool:
     """Whether the single period at ``dot``, with the next word at ``after``, ends the sentence that began at ``start``."""
-    word = _abbreviation(text, start, dot)
+    initials = words.single_letters(dot, start)
+    word = words.bare(dot, start)
     nxt = text[after]
     if nxt.isalpha() and nxt.islower() and not (after + 1 < len(text) and text[after + 1].isupper()):
         return False
@@ -188,15 +255,14 @@ def _period_ends(text: str, start: int, dot: int, after: int) -> bool:
     if word in ("min", "max"):  # before an amount; in upper case it is part of a name
         return text[dot - 3].isupper()
     if len(word) == 1 and word.isalpha():
-        before = text[max(start, dot - LONGEST_WORD) : dot - 1].rstrip()
+        before = _word_before(text, start, dot - 1)
         if word == "h" and before[-1:].isdigit():  # hours
             return not nxt.isdigit()
         # a class letter behind its noun, not an initial
-        noun = re.search(r"(?:^|\s)([^\W\d_]{4,})$", before)
-        return text[dot - 1].isupper() and noun is not None and noun[1].islower() and not nxt.isdigit()
+        return text[dot - 1].isupper() and len(before) > 3 and before.isalpha() and before.islower() and not nxt.isdigit()
     if word in NEVER_FINAL or word.replace("’", "'").rsplit("'", 1)[-1] in NEVER_FINAL:
         return False
-    if "." in word and word.replace(".", "").isalpha() and all(len(x) == 1 for x in word.split(".") if x) and word not in MAYBE_FINAL:
+    if initials and word not in MAYBE_FINAL:
         return not (nxt.isdigit() or nxt.isalpha() and not nxt.isupper())
     tail = word.rsplit("-", 1)[-1] if "." in word else word
     if word in MAYBE_FINAL or tail in MAYBE_FINAL:
@@ -218,28 +284,31 @@ def _period_ends(text: str, start: int, dot: int, after: int) -> bool:
 
 
 _CJK = re.compile(r"[぀-ヿ㐀-鿿「『【《]")
+_LATIN_START = re.compile(r"[A-ZÀ-Þ](?:[a-zß-ÿ'’]|\s)|[A-Z][A-Z][a-z]")
+_SMALL = re.compile(r"[a-zß-ÿ]{3}")
+_WIDE_END = re.compile(r"[。！？｡\n]|[.!?]\s")
+_BLANK_RUN = re.compile(r"\s+")
 
 
-def _joined(text: str, start: int, mark: int, after: int, end: int) -> bool:
+def _joined(text: str, start: int, mark: int, after: int, words: _Words, cjk: _Ahead, wide_end: _Ahead) -> bool:
     """Whether a sentence begins without a space behind the terminator at ``mark``: in another script, or the space was lost."""
     nxt = text[after]
     if nxt.isupper() and _LATIN_START.match(text, after):  # the space was lost
-        token = text[_word_start(text, start, mark) : mark]
-        if (_LATIN_WORD.search(token) or token[-1:] in ")%" or token[-1:].isdigit() and text[mark] == ".") and not _ADDRESS.match(token):
-            return token.lower() not in NEVER_FINAL
-    if _CJK.match(nxt) or nxt in "“（":
-        return _CJK.search(text, after, min(end, after + 8)) is not None
+        i = mark
+        while i > start and text[i - 1] in "\"”»)":
+            i -= 1
+        ends_in_word = i - 3 >= words.at(mark, start) and _SMALL.match(text, i - 3)
+        if (ends_in_word or text[mark - 1] in ")%" or text[mark - 1].isdigit() and text[mark] == ".") and mark > start and not words.address(mark, start):
+            return words.bare(mark, start) not in NEVER_FINAL
+    if _CJK.match(nxt):
+        return True
+    if nxt in "“（":  # what is quoted tells the script
+        return cjk.of(after) < wide_end.of(after)
     if not nxt.isupper() or not (text[mark - 1].islower() or text[mark - 1].isdigit() or text[mark - 1] in ")%"):
         return False
-    near = min(end, after + LONGEST_WORD)
-    sentence = _WIDE_END.search(text, after, near)
-    return _CJK.search(text, after, sentence.start() if sentence else near) is not None
+    return cjk.of(after) < wide_end.of(after)
 
 
-_LATIN_START = re.compile(r"[A-ZÀ-Þ](?:[a-zß-ÿ'’]|\s)|[A-Z][A-Z][a-z]")
-_LATIN_WORD = re.compile(r"[a-zß-ÿ]{3,}[\"”»)]*$")
-_ADDRESS = re.compile(r"(?i)[(\"“]*(?:https?:|www\.|\S+@)")
-_WIDE_END = re.compile(r"[。！？｡\n]|[.!?]\s")
 # Scripts without letter case in which a full stop only abbreviates
 _DANDA = re.compile(r"[ऀ-෿]")
 _CASELESS = re.compile(r"[֐-ࣿऀ-෿]")
@@ -253,7 +322,9 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
     opened = start
     devanagari: bool | None = None
     straight = False
+    marks: int | None = None
     pos = start
+    words, cjk, wide_end = _Words(text, start), _Ahead(_CJK, text, end), _Ahead(_WIDE_END, text, end)
     find = EVENT.search
     while True:
         m = find(text, pos, end)
@@ -263,9 +334,12 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
         pos = m.end()
         first = c[0]
         if first == '"':
+            marks = text.count('"', pos, end) if marks is None else marks - 1  # those behind it
             if straight:
                 straight = False
                 closed = True
+            elif marks % 2 == 0 and text[m.start() - 1 : m.start()].isdigit():
+                continue  # an inch mark: it follows a digit, and the marks behind it are pairs
             else:
                 straight, closed, opened = True, False, m.start()
         elif first in "“”„«»「」『』()（）[]【】":
@@ -289,7 +363,7 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
             while i > begin and text[i - 1].isspace() and text[i - 1] != "\n":
                 i -= 1
             inner = text[i - 1] if i > begin else ""
-            if not inner or inner not in ".!?؟۔।。！？｡…":
+            if not inner or inner not in ".!?。！？｡…" + _OWN_STOPS:
                 continue
             boundary, quoted = pos, True
         else:
@@ -316,10 +390,10 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
         elif first in _WIDE:
             if nxt in "”」』）)】":
                 continue
-        elif first in "।॥۔؟":
+        elif first in _OWN_STOPS:
             pass
         elif first == ".":
-            if not spaced and not (len(c) == 1 and _joined(text, begin, m.start(), after, end)):
+            if not spaced and not (len(c) == 1 and _joined(text, begin, m.start(), after, words, cjk, wide_end)):
                 continue
             if len(c) > 1:  # dots that stand for something left out
                 if not nxt.isupper() or text[m.start() - 1 : m.start()].isspace():
@@ -330,15 +404,15 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
                 if devanagari and _DANDA.match(text[m.start() - 1]):
                     continue  # there a period only abbreviates
                 if _CASELESS.match(nxt):
-                    word = _abbreviation(text, begin, m.start())
+                    word = words.bare(m.start(), begin)
                     if len(word) == 1 and word.isalpha() or word in NEVER_FINAL:
                         continue
-                elif not _period_ends(text, begin, m.start(), after):
+                elif not _period_ends(text, begin, m.start(), after, words):
                     continue
         elif first == "…":
             if not spaced or not nxt.isupper():
                 continue
-        elif not (spaced and _starts_unit(text, after)) and not (not spaced and _joined(text, begin, m.start(), after, end)):  # ! or ?
+        elif not (spaced and _starts_unit(text, after)) and not (not spaced and _joined(text, begin, m.start(), after, words, cjk, wide_end)):  # ! or ?
             continue
         _part_at_gaps(text, begin, boundary, out)
         begin = after
@@ -348,7 +422,6 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
 
 _CJK_RUN = re.compile(r"[぀-ヿ㐀-鿿]+")
 _CJK_GAP = re.compile(r"(?<=[぀-ヿ㐀-鿿])\s+(?=[぀-ヿ㐀-鿿「『【《])")
-_CJK_NEAR = 40  # letters beside a gap that are taken apart
 
 
 def _part_at_gaps(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
@@ -361,10 +434,10 @@ def _part_at_gaps(text: str, start: int, end: int, out: list[tuple[int, int]]) -
         if depth > 0:
             continue
         i = gap.start()
-        while i > max(begin, gap.start() - _CJK_NEAR) and _CJK_RUN.match(text[i - 1]):
+        while i > begin and _CJK_RUN.match(text[i - 1]):
             i -= 1
         last = cjk_words(text[i : gap.start()])[-1]
-        run = _CJK_RUN.match(text, gap.end(), min(end, gap.end() + _CJK_NEAR))
+        run = _CJK_RUN.match(text, gap.end(), end)
         first = cjk_words(run[0])[0] if run else ""
         if last in CJK_FINAL and first not in CJK_WORDS - CJK_FINAL - CJK_OPENING or first in CJK_OPENING:
             out.append((begin, gap.start()))
@@ -431,7 +504,7 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 _LABEL = re.compile(r"^\S{0,12}\s?(?:\d{1,3}(?:\.\d+)*|[A-Z])\.$")  # Section 3.
-_END_MARK = ".!?؟۔।॥。！？｡…\"”“»」』)）"
+_END_MARK = ".!?。！？｡…\"”“»」』)）" + _OWN_STOPS
 
 
 def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:

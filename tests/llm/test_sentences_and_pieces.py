@@ -156,7 +156,7 @@ def test_short_words_before_a_period(units):
     assert pieces(" ".join(units)) == units
 
 
-@pytest.mark.parametrize("unit", ["Ab.", "A. ", '"a." ', " \n", "- a\n", "-", "字。", "กรุณา", "(", "http://a.B", "| ", "."])
+@pytest.mark.parametrize("unit", ["Ab.", "A. ", '"a." ', " \n", "- a\n", "-", "字。", "กรุณา", "(", "http://a.B", "| ", ".", '1"', "A.", "字 ", "a@b.C", "(No."])
 def test_very_long_texts_take_time_in_proportion(unit):
     import time
 
@@ -177,3 +177,24 @@ def test_very_long_texts_take_time_in_proportion(unit):
 def test_gaps_of_scripts_without_spaces(units):
     text = " ".join(units)
     assert [text[a:b] for a, b in sentences(text)] == units
+
+
+@pytest.mark.parametrize("unit", ["x" * 400 + ".", "http://a.example/" + "b." * 400 + "Cd", "(" * 400 + "x" * 400 + ")" * 400 + "."])
+def test_words_of_any_length_are_whole(unit):
+    """What stands more than 300 characters before a mark counts as what stands nearer."""
+    assert pieces(f"See {unit} The next one.") == ([f"See {unit}", "The next one."] if unit[-1] == "." else [f"See {unit} The next one."])
+    assert pieces(f"{'y' * 400} No. 12 is due.") == [f"{'y' * 400} No. 12 is due."]
+    assert pieces("A.B" * 200 + ". The next one.") == ["A.B" * 200 + ".", "The next one."]
+
+
+@pytest.mark.parametrize(
+    "units",
+    [["សំបុត្រនេះមិនអាចប្តូរបានទេ។", "សូមទាក់ទងការិយាល័យ៕"], ["လက်မှတ်ကို ပြောင်းလဲနိုင်သည်။", "ရုံးသို့ ဆက်သွယ်ပါ။"], ["འདི་ནི་དེབ་ཡིན།", "ང་འགྲོ་གི་ཡིན།"], ["ትኬቱ አይመለስም።", "እባክዎ ቢሮውን ያነጋግሩ።"], ["Տոմսը չի վերադարձվում։", "Դիմեք գրասենյակ։"]],
+)
+def test_full_stops_of_other_scripts(units):
+    assert pieces(" ".join(units)) == units
+
+
+def test_inch_marks_are_no_quotations():
+    assert pieces('Bags of 12" are fine. Others of 20 in. are not. He said "no. Never."') == ['Bags of 12" are fine.', "Others of 20 in. are not.", 'He said "no. Never."']
+    assert pieces('The size is "12" here. "Keep this. Now." is the wording.') == ['The size is "12" here.', '"Keep this. Now." is the wording.']
