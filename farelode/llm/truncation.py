@@ -285,7 +285,7 @@ def hidden_limits(facts: DataFrame, least: int = 5, share: float = 0.03, factor:
     # what stands for a broken character may be longer than the bytes that were left of it
     lengths = F.when(F.col("broken") & ~F.col("marked"), F.col("bare_lengths")).otherwise(F.col("lengths")) if "broken" in facts.columns else F.col("lengths")
     # a text comes once per source; its lengths are counted where it lies, before anything is shuffled by length
-    unique = facts.select("source", "text_hash", lengths.alias("_lengths")).dropDuplicates(["source", "text_hash"])
+    unique = stored(facts.select("source", "text_hash", lengths.alias("_lengths")).dropDuplicates(["source", "text_hash"]))
     counted = unique.select("source", F.posexplode("_lengths").alias("representation", "stored")).groupBy("source", "representation", "stored").agg(F.count(F.lit(1)).alias("texts"))
     in_bytes = F.col("representation").isin([i for i, r in enumerate(REPRESENTATIONS) if "utf8" in r])
     w = Window.partitionBy("source", "representation").orderBy("stored")
@@ -328,8 +328,9 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
     scanned = stored(_scan(df, key, text, source))
     facts = _facts(scanned)
     hot_texts = hot_keys(facts.select("text_hash"), hot_share_of(facts))
-    copies = facts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("word", "ends_in", "marked")).alias("end"))
-    limits = hidden_limits(facts)
+    # each of these is read several times; written, they keep the plans short
+    copies = stored(facts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("word", "ends_in", "marked")).alias("end")))
+    limits = stored(hidden_limits(facts).coalesce(1))  # few rows a source
     slack = F.when(F.col("representation").isin([i for i, r in enumerate(REPRESENTATIONS) if "utf8" in r]), BYTE_SLACK).otherwise(0)
     per_source = limits.groupBy("source").agg(F.collect_set(F.struct("representation", "stored", slack.alias("slack"))).alias("limits"))
 
@@ -364,7 +365,7 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
         .agg(F.sum("n").alias("_longer"))
     )
     cut_words = spread_join(asked.where(F.col("_key").startswith("2")), begun, "_key", "_begun", salt_by=F.col("text_hash")).select(F.col("text_hash").alias("_h"), "_longer")
-    told = told.join(cut_words, "_h", "left")
+    told = stored(told.join(cut_words, "_h", "left"))
     both = spread_join(placed, told, "text_hash", "_h", "left", salt_by=F.xxhash64(key), hot=hot_texts)
     known = (F.coalesce(F.col("w.goes_on") + F.col("w.ends"), F.lit(0)) > 0) & ~((F.coalesce("_longer", F.lit(0)) > F.coalesce(F.col("p.ends"), F.lit(0))) & (F.coalesce(F.col("p.goes_on"), F.lit(0)) == 0))
     loose = F.col("word").isin([f"1\t{c}" for c in "-–—/,:;(&"])
