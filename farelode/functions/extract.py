@@ -1,7 +1,8 @@
 """Classifiers and extractors of policy clauses, as column expressions.
 
 Each is an ordered chain of conditions: the first that holds decides. Classifiers look at the lower-case, squeezed text;
-the patterns for amounts, percentages and snippets look at the text as it stands.
+the patterns for amounts, percentages and snippets look at the text as it stands. ``low`` is that lower-case text where it
+stands in a column already, so that it is computed once for all classifiers.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ CONDITION_CUTS = (
     " without fee", " with usd ", " with eur ", " with gbp ", " with aed ", " with sar ", " with inr ", " with pkr ", " with cad ", " with aud ",
     " with fare difference", " and taxes only refundable", " with 20% penalty", " with penalty",
 )
+NO_SHOW, GO_SHOW, WAIVER = ("no-show", "no show"), ("go-show", "go show"), ("waiver", "waive")
+CHANGE = "(?:reissue|re-?book|changes?)"
+BEFORE_DEPARTURE, AFTER_DEPARTURE = ("before departure", "prior to departure"), ("after departure", "after no-show")
+FREE = ("no fee", "without fee", "free of charge")
+NUMBER = r"[0-9]+(?:\.[0-9]+)?"
+NEAR = r"[^.:\n]{0,40}"
 CURRENCIES = "USD|EUR|GBP|AED|SAR|INR|PKR|BDT|CAD|AUD"
 ONLY_TAXES = ("only taxes", "taxes only", "tax only", "only tax")
 NON_REFUNDABLE = "(?:non[- ]refundable|not refundable)"
@@ -36,35 +43,35 @@ def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
 
 
-def policy_topic(text: Column) -> Column:
-    t = lowered(text)
+def policy_topic(text: Column, low: Column | None = None) -> Column:
+    t = lowered(text) if low is None else low
     return (
-        F.when(any_of(t, ("no-show", "no show")), "no_show")
-        .when(any_of(t, ("go-show", "go show")), "go_show")
-        .when(t.rlike(rf"{LEFT}(?:reissue|re-?book|changes?){RIGHT}"), "reissue_change")
+        F.when(any_of(t, NO_SHOW), "no_show")
+        .when(any_of(t, GO_SHOW), "go_show")
+        .when(t.rlike(rf"{LEFT}{CHANGE}{RIGHT}"), "reissue_change")
         .when(t.contains("refund"), "refund")
         .when(t.contains("cancel"), "cancellation")
-        .when(any_of(t, ("waiver", "waive")), "waiver")
+        .when(any_of(t, WAIVER), "waiver")
         .otherwise("other")
     )
 
 
-def policy_action(text: Column) -> Column:
+def policy_action(text: Column, low: Column | None = None) -> Column:
     """Denials first; then permissions, conditional where a condition or a fee stands beside; then conditions alone."""
-    t = lowered(text)
+    t = lowered(text) if low is None else low
     condition = any_of(t, CONDITIONAL) | t.rlike(rf"{LEFT}fee{RIGHT}")
     return F.when(any_of(t, NOT_ALLOWED), "not_allowed").when(any_of(t, ALLOWED), F.when(condition, "conditional").otherwise("allowed")).when(condition, "conditional").otherwise("unknown")
 
 
-def time_window(text: Column) -> Column:
+def time_window(text: Column, low: Column | None = None) -> Column:
     """The first phrase of the list, in the list's order, that the text has."""
-    t = lowered(text)
+    t = lowered(text) if low is None else low
     return F.coalesce(*[F.when(t.contains(p), p) for p in TIME_WINDOWS])
 
 
-def departure_side(text: Column) -> Column:
-    t = lowered(text)
-    before, after = any_of(t, ("before departure", "prior to departure")), any_of(t, ("after departure", "after no-show"))
+def departure_side(text: Column, low: Column | None = None) -> Column:
+    t = lowered(text) if low is None else low
+    before, after = any_of(t, BEFORE_DEPARTURE), any_of(t, AFTER_DEPARTURE)
     return F.when(before & after, "both").when(before, "before_departure").when(after, "after_departure")
 
 
@@ -93,27 +100,26 @@ def exceptions(text: Column) -> Column:
     return _unique_clauses(_snippets(text, EXCEPTION_OPENERS))
 
 
-def tax_refund_rule(text: Column) -> Column:
-    t = lowered(text)
-    near = r"[^.:\n]{0,40}"
+def tax_refund_rule(text: Column, low: Column | None = None) -> Column:
+    t = lowered(text) if low is None else low
     return F.when(
         t.contains("tax"),
         F.when(any_of(t, ONLY_TAXES) & t.contains("refund"), "only taxes refundable")
-        .when(t.rlike(f"tax(?:es)?{near}{NON_REFUNDABLE}") | t.rlike(f"{NON_REFUNDABLE}{near}tax(?:es)?"), "taxes non-refundable")
-        .when(t.rlike(f"tax(?:es)?{near}refundable") | t.contains("refundable taxes"), "taxes refundable"),
+        .when(t.rlike(f"tax(?:es)?{NEAR}{NON_REFUNDABLE}") | t.rlike(f"{NON_REFUNDABLE}{NEAR}tax(?:es)?"), "taxes non-refundable")
+        .when(t.rlike(f"tax(?:es)?{NEAR}refundable") | t.contains("refundable taxes"), "taxes refundable"),
     )
 
 
 PENALTY_TYPE = "struct<penalty_type:string,penalty_amount:double,penalty_currency:string,penalty_percent:double,fare_difference_required:boolean>"
 
 
-def penalty(text: Column) -> Column:
+def penalty(text: Column, low: Column | None = None) -> Column:
     """The penalty as one struct; the first branch that holds fills its fields, the others stay null.
 
     Of several amounts the leftmost counts, whether written with a currency code or with a dollar sign.
     """
-    t, raw = lowered(text), F.coalesce(text, F.lit(""))
-    amount = rf"(?i){LEFT}({CURRENCIES}){SPACE}*([0-9]+(?:\.[0-9]+)?){RIGHT}|\$([0-9]+(?:\.[0-9]+)?)"
+    t, raw = lowered(text) if low is None else low, F.coalesce(text, F.lit(""))
+    amount = rf"(?i){LEFT}({CURRENCIES}){SPACE}*({NUMBER}){RIGHT}|\$({NUMBER})"
     percent = F.nullif(F.regexp_extract(raw, rf"(\d+(?:\.\d+)?){SPACE}*%", 1), F.lit(""))
     code, coded, dollars = (F.nullif(F.regexp_extract(raw, amount, i), F.lit("")) for i in (1, 2, 3))
 
@@ -124,7 +130,7 @@ def penalty(text: Column) -> Column:
 
     return (
         F.when(t.contains("forfeit"), of("forfeiture"))
-        .when(any_of(t, ("no fee", "without fee", "free of charge")), of("free"))
+        .when(any_of(t, FREE), of("free"))
         .when(t.contains("fare difference only"), of("fare_difference_only", difference=True))
         .when(percent.isNotNull(), of("percentage", share=percent.try_cast("double")))
         .when(code.isNotNull(), of("fixed_amount", coded.try_cast("double"), F.upper(code)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelode.functions import extract as E
-from farelode.functions.text import none_of, split_clauses, token_windows
+from farelode.functions.text import lowered, none_of, split_clauses, token_windows
 from farelode.schema import CLAUSE_FIELDS
 
 _CARRIED = (
@@ -56,13 +56,14 @@ def stub_records(clauses: DataFrame) -> DataFrame:
 
 def heuristic_records(clauses: DataFrame) -> DataFrame:
     """Clauses with all that the extractors find. A clause of unknown topic or action needs review and counts 0.4, others 0.8."""
-    text = F.col("clause_text")
-    staged = clauses.withColumns({"_topic": E.policy_topic(text), "_action": E.policy_action(text), "_penalty": E.penalty(text)})
+    text, low = F.col("clause_text"), F.col("_low")
+    lowered_once = clauses.withColumn("_low", lowered(text))
+    staged = lowered_once.withColumns({"_topic": E.policy_topic(text, low), "_action": E.policy_action(text, low), "_penalty": E.penalty(text, low)})
     known = (F.col("_topic") != "other") & (F.col("_action") != "unknown")
     values = _base() | {
         "policy_topic": F.col("_topic"), "action": F.col("_action"), "needs_review": ~known, "confidence": F.when(known, 0.8).otherwise(0.4), "notes": F.lit(None),
-        "eligibility_conditions": E.eligibility_conditions(text), "exceptions": E.exceptions(text), "tax_refund_rule": E.tax_refund_rule(text),
-        "time_window": E.time_window(text), "before_after_departure": E.departure_side(text),
+        "eligibility_conditions": E.eligibility_conditions(text), "exceptions": E.exceptions(text), "tax_refund_rule": E.tax_refund_rule(text, low),
+        "time_window": E.time_window(text, low), "before_after_departure": E.departure_side(text, low),
         **{n: F.col(f"_penalty.{n}") for n in ("penalty_type", "penalty_amount", "penalty_currency", "penalty_percent", "fare_difference_required")},
     }
     return staged.select(*_record(values))
