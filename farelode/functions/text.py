@@ -54,13 +54,17 @@ def gram_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"{WORD}{{2,}}"), 0)
 
 
-def grams(text: Column) -> Column:
-    """Words and pairs of neighbouring words."""
-    w = gram_words(text)
+def with_pairs(w: Column) -> Column:
+    """Words and pairs of neighbouring words. The words are used several times, so they should stand in a column."""
     pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(none_of())
     return F.concat(w, pairs)
 
 
+def grams(text: Column) -> Column:
+    """The words of the vector model and pairs of neighbouring ones."""
+    return with_pairs(gram_words(text))
+
+
 def distinct_ignoring_case(items: Column) -> Column:
     """The items in order, each spelling's first; nulls are dropped."""
 

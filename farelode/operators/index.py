@@ -1,11 +1,14 @@
 """Hybrid retrieval over chunks: BM25, TF-IDF cosine and a boost by the chunks' clauses.
 
-The index is a set of long tables that are built once and written as Parquet: documents with their clauses, postings,
-term frequencies, gram counts, vector norms and one row of corpus statistics. A search reads
-only the postings and counts of the query's own terms, adds up per document and takes the best with
-TakeOrderedAndProject. Corpus statistics always come from all documents, never from a filtered side.
-
-Tables cut the lineage between tokenizing, counting and scoring; as one statement the plan would be too large to optimize.
+The index is a set of tables that are built once and written as Parquet. All scores come from inverted tables, each sorted
+by what a query asks for: postings and gram counts of the chunks, postings of the single clauses, chunks by topic or action,
+and chunks by filter value. A search therefore reads the row groups of its own terms only, adds up per chunk in one shuffle,
+takes the best with TakeOrderedAndProject, and reads the documents of those alone. Corpus statistics always come from all
+documents, never from a filtered side.
+
+Texts are tokenized in one pass. Tables are rebalanced by term before they are written: a term that very many chunks have
+is split over several tasks and files. Tables cut the lineage between the steps; as one statement the plan would be too
+large to optimize.
 """
 
 from __future__ import annotations
@@ -13,14 +16,14 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farelode.functions.text import gram_words, grams, search_tokens
+from farelode.functions.text import gram_words, grams, search_tokens, with_pairs
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Weights and parameters of the scores.
@@ -31,7 +34,12 @@ CLAUSE_TEXT_FIELDS = ("record_id", "policy_topic", "action", "clause_text", "sou
 FILTER_KEYS = ("document_type", "carrier", "supplier")
 # ---------------------------------------------------------------------------------------------------------------------
 
-TABLES = ("documents", "postings", "terms", "statistics", "grams", "norms")
+FORMAT = 2  # of the written tables; indexes of another one are built anew
+WORD, GRAM = "word", "gram"
+TABLES = {
+    "documents": "documents", "postings": f"counts/kind={WORD}", "grams": f"counts/kind={GRAM}", "terms": "terms", "gram_terms": "gram_terms", "statistics": "statistics", "norms": "norms",
+    "clause_postings": "clause_postings", "kinds": "kinds", "attributes": "attributes",
+}
 
 
 def last_by_id(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -92,11 +100,62 @@ def smooth_idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs + 1) / (df + 1)) + 1
 
 
-def vector_norms(counts: DataFrame, key: str, n_docs: int) -> DataFrame:
-    """``key, norm``: the length of each document's vector of raw counts times smoothed idf."""
-    idf = counts.groupBy("gram").agg(smooth_idf(F.lit(n_docs), F.count(F.lit(1))).alias("idf"))
-    weight = F.col("tf") * F.col("idf")
-    return counts.join(idf, "gram").groupBy(key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+def vector_norms(counts: DataFrame, terms: DataFrame, key: str, n_docs: int) -> DataFrame:
+    """``key, norm``: the length of each document's vector of raw counts times smoothed idf. ``terms``: ``gram, df``, a table."""
+    weight = F.col("tf") * smooth_idf(F.lit(n_docs), F.col("df"))
+    return counts.join(terms, "gram").groupBy(key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+
+
+def _tagged(items: Column, tag: str, value: str, name: str) -> Column:
+    """The items of an array as structs with a constant beside each."""
+    return F.transform(items, lambda x: F.struct(F.lit(value).alias(tag), x.alias(name)))
+
+
+def _clause_field(name: str) -> Column:
+    return F.transform("clauses", lambda c: c[name])
+
+
+def token_counts(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, ord, doc_length, kind, token, tf`` of search words and of grams, from one pass over the texts.
+
+    The texts are shuffled by document, which is less than their tokens are; these are then counted where they lie.
+    """
+    texts = documents.select(key, "ord", F.col(text).alias("_text")).repartition(key)
+    split = texts.select(key, "ord", search_tokens(F.col("_text")).alias("_words"), gram_words(F.col("_text")).alias("_w")).withColumn("_grams", with_pairs(F.col("_w")))
+    both = F.concat(*[_tagged(F.col(c), "kind", k, "token") for k, c in ((WORD, "_words"), (GRAM, "_grams"))])
+    tokens = split.select(key, "ord", F.size("_words").cast("bigint").alias("doc_length"), F.explode(both).alias("x")).select(key, "ord", "doc_length", "x.kind", "x.token")
+    return tokens.groupBy(key, "ord", "doc_length", "kind", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def clause_tokens(documents: DataFrame) -> DataFrame:
+    """``term, chunk_id, ord, clause_no``: each different search word of each clause."""
+    each = documents.select("chunk_id", "ord", F.posexplode("clauses").alias("clause_no", "c"))
+    return each.select(F.explode(F.array_distinct(search_tokens(F.col("c.clause_text")))).alias("term"), "chunk_id", "ord", "clause_no")
+
+
+def _plain_kind(value: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), "_", " "))
+
+
+def clause_kinds(documents: DataFrame) -> DataFrame:
+    """``kind, role, chunk_id, ord, clauses``: how many clauses of a chunk have a topic or an action, as plain words."""
+    each = documents.select("chunk_id", "ord", F.explode("clauses").alias("c"))
+    roles = F.array(F.struct(F.lit("topic").alias("role"), _plain_kind(F.col("c.policy_topic")).alias("kind")), F.struct(F.lit("action").alias("role"), _plain_kind(F.col("c.action")).alias("kind")))
+    named = each.select("chunk_id", "ord", F.explode(roles).alias("r")).where("r.kind <> ''")
+    return named.groupBy(F.col("r.kind").alias("kind"), F.col("r.role").alias("role"), "chunk_id", "ord").agg(F.count(F.lit(1)).alias("clauses"))
+
+
+def filter_values(documents: DataFrame) -> DataFrame:
+    """``name, value, chunk_id``: the lower-case values of a chunk and of its clauses that filters compare with."""
+    values = {k: F.filter(F.array_append(_clause_field(k), F.col(f"meta_{k}")), lambda x: x.isNotNull()) for k in FILTER_KEYS}
+    named = F.concat(*[_tagged(F.array_distinct(F.transform(v, F.lower)), "name", k, "value") for k, v in values.items()])
+    return documents.select("chunk_id", F.explode(named).alias("x")).select("x.name", "x.value", "chunk_id")
+
+
+def _write_sorted(rows: DataFrame, path: str, *by: str, partition: str | None = None) -> None:
+    """A table sorted by ``by``, of which a search reads few row groups. Rebalancing splits what is hot and joins what is small."""
+    writer = rows.hint("rebalance", *by[:2]).sortWithinPartitions(*by).write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -117,21 +176,38 @@ class HybridIndex:
         content = chunks.select("chunk_id", "text", *[F.col(f"metadata.{k}").alias(f"meta_{k}") for k in ("source_id", "document_id", "document_type", "carrier", "supplier", "offer_or_circular_id", "section_title")], F.col(chunk_order).alias("ord"))
         unique = last_by_id(content.withColumnRenamed("ord", "_order"), "chunk_id", "_order")
         docs = attach_clauses(unique, clauses, clause_order)
-        docs.withColumn("combined", combined_text(F.col("text"), F.col("clauses"))).drop("_order").write.mode("overwrite").parquet(f"{path}/documents")
+        _write_sorted(docs.withColumn("combined", combined_text(F.col("text"), F.col("clauses"))).drop("_order"), f"{path}/documents", "chunk_id")
         docs = index.table(spark, "documents")
-        postings = term_counts(docs, "chunk_id", "combined").join(document_lengths(docs, "chunk_id", "combined"), "chunk_id")
-        # sorted by term, so that a search reads the row groups of its own terms only
-        postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        document_frequencies(index.table(spark, "postings")).write.mode("overwrite").parquet(f"{path}/terms")
-        corpus_statistics(document_lengths(docs, "chunk_id", "combined")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
-        gram_counts(docs, "chunk_id", "combined").repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
-        n_docs = index.table(spark, "statistics").first()["n_docs"]
-        vector_norms(index.table(spark, "grams"), "chunk_id", n_docs).write.mode("overwrite").parquet(f"{path}/norms")
+        _write_sorted(token_counts(docs, "chunk_id", "combined"), f"{path}/counts", "kind", "token", partition="kind")
+
+        def vectors() -> None:
+            index.table(spark, "grams").groupBy("gram").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/gram_terms")
+            n_docs = docs.count()
+            vector_norms(index.table(spark, "grams"), index.table(spark, "gram_terms"), "chunk_id", n_docs).write.mode("overwrite").parquet(f"{path}/norms")
+
+        # tables that do not build on each other are written side by side, so that none waits for the last tasks of another
+        steps = [
+            vectors,
+            lambda: document_frequencies(index.table(spark, "postings")).write.mode("overwrite").parquet(f"{path}/terms"),
+            lambda: corpus_statistics(document_lengths(docs, "chunk_id", "combined")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics"),
+            lambda: _write_sorted(clause_tokens(docs), f"{path}/clause_postings", "term", "chunk_id"),
+            lambda: _write_sorted(clause_kinds(docs), f"{path}/kinds", "kind", "chunk_id"),
+            lambda: _write_sorted(filter_values(docs), f"{path}/attributes", "name", "value", "chunk_id"),
+        ]
+        with ThreadPoolExecutor(len(steps)) as pool:
+            for done in [pool.submit(step) for step in steps]:
+                done.result()
         _write_fingerprint(spark, path, fingerprint or "")
         return index
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}")
+        if name in ("postings", "grams"):
+            schema = "chunk_id string, ord bigint, doc_length bigint, token string, tf bigint"
+            path = f"{self.path}/{TABLES[name]}"
+            # a corpus without tokens has no such folder
+            rows = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+            return rows.withColumnRenamed("token", "term") if name == "postings" else rows.select("chunk_id", "ord", F.col("token").alias("gram"), "tf")
+        return spark.read.parquet(f"{self.path}/{TABLES[name]}")
 
     def is_current(self, spark: SparkSession, fingerprint: str) -> bool:
         """Whether the index exists and was built from inputs with this fingerprint."""
@@ -140,26 +216,43 @@ class HybridIndex:
         rows = spark.read.schema("fingerprint string").json(f"{self.path}/fingerprint").take(1)
         return bool(rows) and rows[0]["fingerprint"] == fingerprint
 
+    def scores(self, spark: SparkSession, query: str, filters: dict[str, str] | None = None) -> DataFrame:
+        """``chunk_id, ord, bm25, vector, clause_boost, hybrid`` of all chunks that have any score."""
+        zero = F.lit(0.0)
+        bm25 = bm25_scores(self.table(spark, "postings"), self.table(spark, "terms"), self.table(spark, "statistics"), spark, query, "ord")
+        dots, norm = vector_products(self.table(spark, "grams"), self.table(spark, "statistics"), spark, query, "ord")
+        boost = boost_scores(self.table(spark, "clause_postings"), self.table(spark, "kinds"), query)
+        parts = (
+            bm25.select("chunk_id", "ord", "bm25", zero.alias("dot"), zero.alias("clause_boost"))
+            .unionAll(dots.select("chunk_id", "ord", zero, "dot", zero))
+            .unionAll(boost.select("chunk_id", "ord", zero, zero, "clause_boost"))
+        )
+        for name, value in (filters or {}).items():
+            if name not in FILTER_KEYS:
+                raise ValueError(f"unknown filter: {name}")
+            if value:
+                allowed = self.table(spark, "attributes").where((F.col("name") == name) & (F.col("value") == value.lower())).select("chunk_id")
+                parts = parts.join(allowed, "chunk_id", "left_semi")
+        summed = parts.groupBy("chunk_id").agg(F.min("ord").alias("ord"), F.sum("bm25").alias("bm25"), F.sum("dot").alias("dot"), F.sum("clause_boost").alias("clause_boost"))
+        normed = summed.join(self.table(spark, "norms"), "chunk_id", "left").crossJoin(F.broadcast(norm))  # one row
+        vector = F.coalesce(F.try_divide(F.col("dot") / F.col("norm"), F.col("qnorm")), zero)
+        hits = normed.select("chunk_id", "ord", "bm25", vector.alias("vector"), "clause_boost").where("bm25 > 0 OR vector > 0 OR clause_boost > 0")
+        # sums in another order must not change the ranking
+        return hits.withColumn("hybrid", F.round(WEIGHT_BM25 * F.col("bm25") + WEIGHT_VECTOR * F.col("vector") + F.col("clause_boost"), 9))
+
     def search(self, spark: SparkSession, query: str, top_k: int | None = 5, filters: dict[str, str] | None = None) -> DataFrame:
         """The best chunks with ``bm25, vector, clause_boost, hybrid`` and ``rank`` from 1; ``top_k`` None gives all.
 
         A chunk without any score is no hit. Equal scores keep the chunks' order. Filters with empty values are ignored.
+        With ``top_k`` the ranking is done at once, and of the documents those ``top_k`` are read, by their ids.
         """
-        docs = self.table(spark, "documents")
-        if filters and any(filters.values()):
-            docs = docs.where(matches_filters(filters))
-        bm25 = bm25_scores(self.table(spark, "postings"), self.table(spark, "terms"), self.table(spark, "statistics"), spark, query)
-        vector = vector_scores(self.table(spark, "grams"), self.table(spark, "norms"), self.table(spark, "statistics"), spark, query)
-        scored = docs.join(bm25, "chunk_id", "left").join(vector, "chunk_id", "left").withColumns({"bm25": F.coalesce("bm25", F.lit(0.0)), "vector": F.coalesce("vector", F.lit(0.0)), "clause_boost": clause_boost(F.col("clauses"), query)})
-        hits = scored.where("bm25 > 0 OR vector > 0 OR clause_boost > 0").withColumn("hybrid", WEIGHT_BM25 * F.col("bm25") + WEIGHT_VECTOR * F.col("vector") + F.col("clause_boost"))
-        hits = hits.withColumn("hybrid", F.round("hybrid", 9))  # sums in another order must not change the ranking
+        hits, docs = self.scores(spark, query, filters), self.table(spark, "documents").drop("ord")
         if top_k is None:
-            return hits
-        best = hits.orderBy(F.desc("hybrid"), F.asc("ord")).limit(top_k)
-        # at most top_k rows are numbered
-        from pyspark.sql import Window
-
-        return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hybrid"), F.asc("ord"))))
+            return docs.join(hits, "chunk_id")
+        best = hits.orderBy(F.desc("hybrid"), F.asc("ord")).limit(top_k).collect()
+        ranked = [(*r, i) for i, r in enumerate(best, 1)]
+        scores = spark.createDataFrame(ranked, T.StructType([*hits.schema.fields, T.StructField("rank", T.IntegerType())]))
+        return docs.where(F.col("chunk_id").isin([r["chunk_id"] for r in best])).join(F.broadcast(scores), "chunk_id").coalesce(1).sortWithinPartitions("rank")
 
 
 def query_terms(query: str) -> dict[str, int]:
@@ -177,68 +270,47 @@ def _literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataF
     return spark.createDataFrame(rows, T.StructType.fromDDL(schema))
 
 
-def bm25_scores(postings: DataFrame, terms: DataFrame, statistics: DataFrame, spark: SparkSession, query: str) -> DataFrame:
-    """``chunk_id, bm25`` of the chunks that have a term of the query; a term repeated in the query counts as often."""
+def bm25_scores(postings: DataFrame, terms: DataFrame, statistics: DataFrame, spark: SparkSession, query: str, *carried: str) -> DataFrame:
+    """``chunk_id, bm25`` of the chunks that have a term of the query; a term repeated in the query counts as often.
+
+    ``carried``: further columns of the postings that belong to the chunk.
+    """
     counts = query_terms(query)
     wanted = list(counts)
     q = _literal_table(spark, list(counts.items()), "term string, qn bigint")
-    known = terms.where(F.col("term").isin(wanted)).join(q, "term")
+    known = terms.where(F.col("term").isin(wanted)).join(F.broadcast(q), "term")
     # the query's terms and the one row of statistics are a few dozen rows at most
     parts = postings.where(F.col("term").isin(wanted)).join(F.broadcast(known.crossJoin(statistics)), "term")
     avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / avgdl))
-    return parts.groupBy("chunk_id").agg(F.sum(F.col("qn") * idf * gain).alias("bm25"))
+    return parts.groupBy("chunk_id", *carried).agg(F.sum(F.col("qn") * idf * gain).alias("bm25"))
 
 
-def vector_scores(counts: DataFrame, norms: DataFrame, statistics: DataFrame, spark: SparkSession, query: str) -> DataFrame:
-    """``chunk_id, vector``: the cosine of the query's and the chunk's gram weights; grams outside the corpus don't count.
+def vector_products(counts: DataFrame, statistics: DataFrame, spark: SparkSession, query: str, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """(``chunk_id, dot``: the product of the query's and the chunk's gram weights, ``qnorm``: one row, the query's length).
 
-    The frequencies of the query's grams follow from the rows read for them. A corpus or query without grams gives no rows.
+    Grams outside the corpus don't count. The frequencies of the query's grams follow from the rows read for them. A corpus
+    or query without grams gives no rows.
     """
     asked = query_grams(query)
     q = _literal_table(spark, list(asked.items()), "gram string, qn bigint")
     hits = counts.where(F.col("gram").isin(list(asked)))
-    weighed = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(q, "gram").crossJoin(statistics).select("gram", "qn", smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    weighed = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(q), "gram").crossJoin(statistics).select("gram", "qn", smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"))
     # at most one row per gram of the query
     norm = weighed.agg(F.sqrt(F.sum((F.col("qn") * F.col("idf")) * (F.col("qn") * F.col("idf")))).alias("qnorm"))
-    sums = hits.join(F.broadcast(weighed), "gram").groupBy("chunk_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qn") * F.col("idf")).alias("dot"))
-    return sums.join(norms, "chunk_id").crossJoin(F.broadcast(norm)).select("chunk_id", (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("vector"))
-
+    return hits.join(F.broadcast(weighed), "gram").groupBy("chunk_id", *carried).agg(F.sum(F.col("tf") * F.col("idf") * F.col("qn") * F.col("idf")).alias("dot")), norm
 
-def clause_boost(clauses: Column, query: str) -> Column:
-    """What a chunk's clauses add: shared tokens, and their topic or action standing in the query (as any part of it)."""
-    tokens = sorted(query_terms(query))
-    if not tokens:
-        return F.lit(0.0)
-    q, low = F.lit(tokens), F.lit(query.lower())
 
-    def plain(value: Column) -> Column:
-        return F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), "_", " "))
-
-    def part(clause: Column) -> Column:
-        shared = F.size(F.array_intersect(q, search_tokens(clause["clause_text"])))
-        overlap = F.when(shared > 0, F.least(F.lit(OVERLAP_MOST), OVERLAP_STEP * shared)).otherwise(0.0)
-        topic, action = plain(clause["policy_topic"]), plain(clause["action"])
-        return overlap + F.when((topic != "") & low.contains(topic), TOPIC_BONUS).otherwise(0.0) + F.when((action != "") & low.contains(action), ACTION_BONUS).otherwise(0.0)
-
-    return F.aggregate(clauses, F.lit(0.0), lambda total, c: total + part(c))
-
-
-def _clause_equals(key: str, value: str):
-    return lambda clause: F.coalesce(F.lower(clause[key]) == value, F.lit(False))
-
-
-def matches_filters(filters: dict[str, str]) -> Column:
-    """Every filter equals, without case, the chunk's metadata or a value of any of its clauses."""
-    unknown = set(filters) - set(FILTER_KEYS)
-    if unknown:
-        raise ValueError(f"unknown filters: {sorted(unknown)}")
-    tests = []
-    for key, value in filters.items():
-        if value:
-            tests.append(F.coalesce(F.lower(F.col(f"meta_{key}")) == value.lower(), F.lit(False)) | F.exists("clauses", _clause_equals(key, value.lower())))
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+def boost_scores(postings: DataFrame, kinds: DataFrame, query: str) -> DataFrame:
+    """``chunk_id, ord, clause_boost``: what a chunk's clauses add: the query's words that each clause has, and topics or
+    actions that stand in the query, as any part of it, once for each clause. A query without search words adds nothing."""
+    asked, low = list(query_terms(query)), F.lit(query.lower())
+    each = postings.where(F.col("term").isin(asked)).groupBy("chunk_id", "ord", "clause_no").agg(F.count(F.lit(1)).alias("shared"))
+    overlap = each.select("chunk_id", "ord", F.least(F.lit(OVERLAP_MOST), OVERLAP_STEP * F.col("shared")).alias("part"))
+    standing = kinds.where(low.contains(F.col("kind")) if asked else F.lit(False))
+    bonus = standing.select("chunk_id", "ord", (F.col("clauses") * F.when(F.col("role") == "topic", TOPIC_BONUS).otherwise(ACTION_BONUS)).alias("part"))
+    return overlap.unionAll(bonus).groupBy("chunk_id", "ord").agg(F.sum("part").alias("clause_boost"))
 
 
 class KeywordIndex:
@@ -263,25 +335,29 @@ class KeywordIndex:
         seq = (self._log().agg(F.max("seq")).first()[0] or 0) + 1
         documents.select(F.col("id").cast("string"), "text", F.coalesce("metadata", F.lit("{}")).alias("metadata"), F.lit(seq).cast("bigint").alias("seq")).write.mode("append").parquet(f"{self.path}/documents")
 
-    def documents(self) -> DataFrame:
-        last = self._log().where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("text", "metadata"), "seq").alias("d"))
+    def documents(self, ids: list[str] | None = None) -> DataFrame:
+        """The current documents, or those of some ids."""
+        log = self._log().where("id IS NOT NULL")
+        last = (log if ids is None else log.where(F.col("id").isin(ids))).groupBy("id").agg(F.max_by(F.struct("text", "metadata"), "seq").alias("d"))
         return last.select("id", "d.text", "d.metadata")
 
     def search(self, query: str, size: int = 10) -> DataFrame:
-        """The best documents: ``id, score, text, metadata``; ties by id."""
+        """The best documents: ``id, score, text, metadata``; ties by id. The ranking is done at once; of the texts those
+        ``size`` are read."""
         mark = input_fingerprint(self.spark, f"{self.path}/documents")
         index = HybridIndex(f"{self.path}/terms")
         if not index.is_current(self.spark, mark):
-            docs = self.documents()
-            lengths = document_lengths(docs, "id", "text")
-            postings = term_counts(docs, "id", "text").join(lengths, "id").withColumnRenamed("id", "chunk_id")
-            postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{index.path}/postings")
+            docs = self.documents().withColumn("ord", F.lit(0).cast("bigint")).withColumnRenamed("id", "chunk_id")
+            words = token_counts(docs, "chunk_id", "text").where(F.col("kind") == WORD)
+            _write_sorted(words, f"{index.path}/counts", "kind", "token", partition="kind")
             document_frequencies(index.table(self.spark, "postings")).write.mode("overwrite").parquet(f"{index.path}/terms")
-            corpus_statistics(lengths).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/statistics")
+            corpus_statistics(document_lengths(docs, "chunk_id", "text")).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/statistics")
             _write_fingerprint(self.spark, index.path, mark)
         scores = bm25_scores(index.table(self.spark, "postings"), index.table(self.spark, "terms"), index.table(self.spark, "statistics"), self.spark, query)
-        best = scores.select(F.col("chunk_id").alias("id"), F.round("bm25", 9).alias("score")).orderBy(F.desc("score"), "id").limit(size)
-        return best.join(self.documents(), "id").orderBy(F.desc("score"), "id")
+        ranked = scores.select(F.col("chunk_id").alias("id"), F.round("bm25", 9).alias("score"))
+        best = ranked.orderBy(F.desc("score"), "id").limit(size).collect()
+        found = self.spark.createDataFrame(best, ranked.schema)
+        return self.documents([r["id"] for r in best]).join(F.broadcast(found), "id").select("id", "score", "text", "metadata").orderBy(F.desc("score"), "id")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -300,7 +376,7 @@ def _write_fingerprint(spark: SparkSession, path: str, fingerprint: str) -> None
 
 
 def input_fingerprint(spark: SparkSession, *paths: str) -> str:
-    """Names, sizes and change times of all files under the paths; unreadable paths count as absent."""
+    """Names, sizes and change times of all files under the paths, and the index format; absent paths count nothing."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found = []
     for path in paths:
@@ -311,13 +387,10 @@ def input_fingerprint(spark: SparkSession, *paths: str) -> str:
             while files.hasNext():
                 f = files.next()
                 found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return json.dumps(sorted(found))
+    return json.dumps([FORMAT, *sorted(found)])
 
 
 def cached_index(spark: SparkSession, chunks: DataFrame, clauses: DataFrame, path: str, fingerprint: str) -> HybridIndex:
     """The index at ``path``, rebuilt unless it was built from inputs with the same fingerprint."""
     index = HybridIndex(path)
     return index if index.is_current(spark, fingerprint) else HybridIndex.build(chunks, clauses, path, fingerprint=fingerprint)
-
-
-__all__ = ["HybridIndex", "KeywordIndex", "attach_clauses", "bm25_scores", "cached_index", "clause_boost", "combined_text", "corpus_statistics", "document_frequencies", "document_lengths", "gram_counts", "gram_words", "input_fingerprint", "last_by_id", "matches_filters", "term_counts", "vector_scores"]
