@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from farelode.operators import clauses, evaluation, labels
 from farelode.schema import CHUNK_SCHEMA, CLAUSE_SCHEMA
 from farelode.sources import files
+from farelode.sources.label_stores import JdbcLabels, SqliteLabels
 from farelode.tables import ship
 
 
@@ -74,11 +75,11 @@ def run(spark: SparkSession, arguments: list[str]) -> dict:
     predicted = files.read_label_file(spark, a.pred)
     stores = []
     if a.manual_gold_postgres_dsn:
-        stores.append(("postgres", labels.parse_labels(files.read_postgres_labels(spark, a.manual_gold_postgres_dsn)).select("label.*")))
+        stores.append(("postgres", JdbcLabels(spark, a.manual_gold_postgres_dsn).labels()))
     if a.label_log:
         stores.append(("log", labels.LabelLog(spark, a.label_log).labels()))
     if a.manual_gold_db:
-        stores.append(("sqlite", labels.parse_labels(files.read_sqlite_labels(spark, a.manual_gold_db)).select("label.*")))
+        stores.append(("sqlite", SqliteLabels(spark, a.manual_gold_db).labels()))
     return evaluation.compare(predicted, stores, files.read_label_file(spark, a.manual_gold) if a.manual_gold else None, fields)
 
 

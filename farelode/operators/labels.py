@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farelode.functions.text import distinct_ignoring_case, none_of, or_null
 from farelode.schema import IDENTITY_FIELDS, LABEL_SCHEMA, PAYOUT_FIELDS, PAYOUT_TYPE, SCORED_FIELDS, TIER_FIELDS, TIER_TYPE
+from farelode.tables import stored
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Fixed values.
@@ -79,58 +81,94 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-class LabelLog:
+def label_entries(labels: DataFrame) -> DataFrame:
+    """Labels as rows of a store: ``record_id, payload_json, label_status``; of several labels of one record the last read."""
+    clean = normalize_labels(labels)
+    entries = clean.select("record_id", F.to_json(F.struct(*clean.columns)).alias("payload_json"), "label_status", F.monotonically_increasing_id().alias("_n"))
+    return latest(entries, "record_id", "_n").drop("_n")
+
+
+class LabelStore:
+    """What all label stores can do; a store has ``rows``, ``count`` and ``_merge``."""
+
+    spark: SparkSession
+    backend: str
+
+    def rows(self) -> DataFrame:
+        """The current rows: ``record_id, payload_json, label_status, updated_at``."""
+        raise NotImplementedError
+
+    def count(self) -> int:
+        raise NotImplementedError
+
+    def _merge(self, entries: DataFrame) -> None:
+        raise NotImplementedError
+
+    def labels(self) -> DataFrame:
+        """The current labels, parsed; broken payloads are left out."""
+        return parse_labels(self.rows()).select("label.*")
+
+    def upsert(self, labels: DataFrame) -> DataFrame:
+        """Saves labels; ``record_id, updated``: whether the record was there before. Blank record ids are refused.
+
+        A save replaces the whole record. The answer is a written table, so it does not change with the store.
+        """
+        if labels.where("record_id IS NULL OR trim(record_id) = ''").limit(1).count():
+            raise ValueError("record_id is required")
+        entries = stored(label_entries(labels))
+        before = self.rows().select("record_id").distinct().withColumn("_before", F.lit(True))
+        told = stored(entries.select("record_id").join(before, "record_id", "left").select("record_id", F.coalesce("_before", F.lit(False)).alias("updated")))
+        self._merge(entries)
+        return told
+
+    def export(self, path: str) -> int:
+        """Writes the current labels as a folder of JSON Lines files and returns how many there are."""
+        found = self.labels()
+        found.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        return self.spark.read.schema(found.schema).json(path).count()
+
+    def import_if_empty(self, labels: DataFrame) -> int:
+        """Fills an empty store; rows without a record id are left out. Returns how many records came in."""
+        if self.count():
+            return 0
+        kept = labels.where("record_id IS NOT NULL AND trim(record_id) <> ''")
+        if kept.limit(1).count():
+            self.upsert(kept)
+        return self.count()
+
+
+class LabelLog(LabelStore):
     """The label table as an append-only Parquet log: a save replaces the whole record, the last one counts.
 
     Parquet tables cannot be merged into; appending is atomic per commit, and concurrent saves are ordered by ``seq``, then
     by the save's own id.
     """
 
+    backend = "jsonl"
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
     def log(self) -> DataFrame:
         try:
             return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
-        except Exception:  # nothing was saved yet
+        except AnalysisException:  # nothing was saved yet
             return self.spark.createDataFrame([], LOG_SCHEMA)
 
-    def current(self) -> DataFrame:
+    def rows(self) -> DataFrame:
         return latest(self.log(), "record_id", "seq", "save_id").select("record_id", "payload_json", "label_status", "updated_at")
 
-    def labels(self) -> DataFrame:
-        """The current labels, parsed."""
-        return parse_labels(self.current()).select("label.*")
+    current = rows
 
     def count(self) -> int:
         return self.log().select("record_id").distinct().count()
 
-    def upsert(self, labels: DataFrame) -> DataFrame:
-        """Saves labels; ``record_id, updated``: whether the record was there before. Blank record ids are refused.
-
-        Of several labels of one record in one call the last read counts.
-        """
-        clean = normalize_labels(labels)
-        if clean.where("record_id IS NULL OR trim(record_id) = ''").limit(1).count():
-            raise ValueError("record_id is required")
-        before = self.log().select("record_id").distinct()
+    def _merge(self, entries: DataFrame) -> None:
         seq = (self.log().agg(F.max("seq")).first()[0] or 0) + 1
-        entries = clean.select(
-            "record_id", F.to_json(F.struct(*clean.columns)).alias("payload_json"), F.coalesce("label_status", F.lit("")).alias("label_status"), F.current_timestamp().alias("updated_at"),
-            (F.lit(seq) + F.monotonically_increasing_id()).alias("seq"), F.lit(str(uuid.uuid4())).alias("save_id"),
-        )
-        result = clean.select("record_id").distinct().join(before.withColumn("_before", F.lit(True)), "record_id", "left").select("record_id", F.coalesce("_before", F.lit(False)).alias("updated"))
-        done = self.spark.createDataFrame(result.collect(), result.schema)  # a save is one request; its answer must not change with the log
-        entries.write.mode("append").parquet(self.path)
-        return done
-
-    def import_if_empty(self, labels: DataFrame) -> int:
-        """Fills an empty log from another store; rows without a record id are left out. Returns how many came in."""
-        if self.log().limit(1).count():
-            return 0
-        kept = labels.where("record_id IS NOT NULL AND trim(record_id) <> ''")
-        self.upsert(kept)
-        return self.count()
+        entries.select(
+            "record_id", "payload_json", F.coalesce("label_status", F.lit("")).alias("label_status"), F.current_timestamp().alias("updated_at"),
+            F.lit(seq).cast("bigint").alias("seq"), F.lit(str(uuid.uuid4())).alias("save_id"),
+        ).write.mode("append").parquet(self.path)
 
 
 def is_synthetic(chunks: DataFrame, order: str) -> bool:
@@ -182,3 +220,31 @@ def queue_flags(queue: DataFrame, labels: DataFrame, include_labeled: bool = Tru
 def queue_counts(flagged: DataFrame) -> DataFrame:
     """One row: returned, labeled, skipped and unlabeled records."""
     return flagged.agg(F.count(F.lit(1)).alias("returned_records"), F.count_if("is_labeled").alias("labeled_records"), F.count_if("is_skipped").alias("skipped_records"), F.count_if(~F.col("is_labeled")).alias("unlabeled_records"))
+
+
+def queue_response(queue: DataFrame, store: LabelStore, include_labeled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(header, rows) of a queue shown to labelers.
+
+    Rows are the queue's with ``is_labeled, is_skipped, manual_label``. The header is one row: ``backend``, ``total_records``
+    (all queue rows, also those without an id, or with ``include_labeled`` false the returned ones) and the counts of the
+    returned rows.
+    """
+    labels = parse_labels(store.rows()).select(F.col("record_id").alias("_id"), "label")
+    flagged = queue_flags(queue, labels.select(F.col("_id").alias("record_id"), F.col("label.label_status").alias("label_status")), include_labeled)
+    rows = flagged.join(labels.withColumnRenamed("label", "manual_label"), F.col("record_id") == F.col("_id"), "left").drop("_id")
+    total = queue.agg(F.count(F.lit(1)).alias("_all"))
+    counts = queue_counts(flagged).crossJoin(total)  # one row each
+    header = counts.select(F.lit(store.backend).alias("backend"), (F.col("_all") if include_labeled else F.col("returned_records")).alias("total_records"), "returned_records", "labeled_records", "skipped_records", "unlabeled_records")
+    return header, rows
+
+
+def save_response(store: LabelStore, labels: DataFrame) -> DataFrame:
+    """Saves labels and answers ``record_id, saved, updated, backend, record`` (the label as it is kept)."""
+    told = store.upsert(labels)
+    kept = label_entries(labels).select(F.col("record_id").alias("_id"), F.from_json("payload_json", LABEL_SCHEMA).alias("record"))
+    return told.join(kept, F.col("record_id") == F.col("_id")).select("record_id", F.lit(True).alias("saved"), "updated", F.lit(store.backend).alias("backend"), "record")
+
+
+def health(store: LabelStore) -> DataFrame:
+    """One row: ``status``, ``backend``, ``labels`` (how many there are)."""
+    return store.spark.createDataFrame([("ok", store.backend, store.count())], "status string, backend string, labels bigint")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import sqlite3
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farelode.functions.text import or_null
-from farelode.schema import LABEL_SCHEMA, LABEL_TABLE_SCHEMA, MANIFEST_FIELDS, MANIFEST_SCHEMA, METADATA_FIELDS, OVERLAY_FIELDS, SOURCE_TYPES
+from farelode.schema import LABEL_SCHEMA, MANIFEST_FIELDS, MANIFEST_SCHEMA, METADATA_FIELDS, OVERLAY_FIELDS, SOURCE_TYPES
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Fixed values.
@@ -206,42 +205,6 @@ def ingest_folder(spark: SparkSession, folder: str, manifests: tuple[DataFrame,
     return chunk_documents(documents.select("text", "metadata"), size, overlap)
 
 
-# Other label stores --------------------------------------------------------------------------------------------------
-
-
-def read_sqlite_labels(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a SQLite label store (``LABEL_TABLE_SCHEMA``); the file is local to the driver and a store of manual labels, so small."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        rows = db.execute("SELECT record_id, payload_json, label_status, updated_at FROM manual_labels").fetchall()
-    frame = spark.createDataFrame([tuple(map(lambda v: None if v is None else str(v), r)) for r in rows], "record_id string, payload_json string, label_status string, updated_at string")
-    return frame.withColumn("updated_at", F.col("updated_at").try_cast("timestamp"))
-
-
-def write_sqlite_labels(rows: DataFrame, path: str) -> int:
-    """Upserts label rows (``record_id, payload_json, label_status``) into a SQLite store, which is made if absent."""
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE IF NOT EXISTS manual_labels (record_id TEXT PRIMARY KEY, payload_json TEXT NOT NULL, label_status TEXT NOT NULL DEFAULT '', updated_at TEXT NOT NULL DEFAULT CURRENT_TIMESTAMP)")
-        n = 0
-        for r in rows.select("record_id", "payload_json", F.coalesce("label_status", F.lit("")).alias("label_status")).toLocalIterator():
-            db.execute("INSERT INTO manual_labels (record_id, payload_json, label_status) VALUES (?, ?, ?) ON CONFLICT (record_id) DO UPDATE SET payload_json = excluded.payload_json, label_status = excluded.label_status, updated_at = CURRENT_TIMESTAMP", tuple(r))
-            n += 1
-    return n
-
-
-def read_postgres_labels(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> DataFrame:
-    """The rows of a Postgres label store by JDBC; its driver has to be on the class path."""
-    rows = spark.read.jdbc(url, "(SELECT record_id, CAST(payload_json AS TEXT) AS payload_json, label_status, updated_at FROM manual_labels) AS labels", properties=properties or {})
-    return rows.select(*[F.col(f.name).cast(f.dataType) for f in LABEL_TABLE_SCHEMA])
-
-
 def read_label_file(spark: SparkSession, path: str) -> DataFrame:
     """Labels of a JSON Lines file, leniently."""
     return read_jsonl(spark, path, LABEL_SCHEMA)
-
-
-def label_backend(name: str | None) -> str:
-    """The label store to use; anything unknown means sqlite."""
-    from farelode.schema import LABEL_BACKENDS
-
-    value = (name or "").strip().lower()
-    return value if value in LABEL_BACKENDS else "sqlite"

@@ -1,13 +1,12 @@
 import json
-import sqlite3
 
 import pytest
-from pyspark.sql import functions as F
 
 from farelode import cli
-from farelode.operators.labels import LabelLog
-from farelode.schema import CHUNK_SCHEMA, CLAUSE_SCHEMA
+from farelode.operators.labels import LabelLog, health, queue_response, save_response
+from farelode.schema import CHUNK_SCHEMA, CLAUSE_SCHEMA, LABEL_SCHEMA
 from farelode.sources import files as S
+from farelode.sources.label_stores import JdbcLabels, SqliteLabels, label_backend, open_store
 from farelode.streaming.feeds import stream_clauses, stream_labels
 
 PAGE = "<html><head><title>T</title><style>p{}</style><script>if (a < b) '</p>'</script></head><body><!-- c --><p>Some HTML &amp; content<p>two&nbsp;é</body></html>"
@@ -61,15 +60,52 @@ def test_jsonl(spark, tmp_path):
     assert [json.loads(line) for p in (tmp_path / "out").glob("part-*") for line in p.read_text().splitlines()] == [{"a": "a", "b": None}]
 
 
-def test_sqlite_store(spark, tmp_path):
-    path = str(tmp_path / "labels.db")
-    rows = spark.createDataFrame([("r1", '{"record_id": "r1"}', "done"), ("r2", "{}", None)], "record_id string, payload_json string, label_status string")
-    assert S.write_sqlite_labels(rows, path) == 2
-    S.write_sqlite_labels(rows.where("record_id = 'r1'").withColumn("label_status", F.lit("skip")), path)
-    assert {(r["record_id"], r["label_status"]) for r in S.read_sqlite_labels(spark, path).collect()} == {("r1", "skip"), ("r2", "")}
-    with sqlite3.connect(path) as db:
-        assert db.execute("SELECT count(*) FROM manual_labels").fetchone() == (2,)
-    assert [S.label_backend(x) for x in (None, "Postgres ", "x", "jsonl")] == ["sqlite", "postgres", "sqlite", "jsonl"]
+def saves(spark, *rows):
+    return spark.createDataFrame([tuple({f.name: r.get(f.name) for f in LABEL_SCHEMA}.values()) for r in rows], LABEL_SCHEMA)
+
+
+@pytest.fixture(params=["sqlite", "jdbc", "log"])
+def store(spark, tmp_path, request):
+    if request.param == "sqlite":
+        yield SqliteLabels(spark, str(tmp_path / "labels.db"), batch=2)
+    elif request.param == "log":
+        yield LabelLog(spark, str(tmp_path / "log"))
+    else:  # any database that knows MERGE; the one at hand keeps long texts as CLOB
+        yield JdbcLabels(spark, f"jdbc:derby:memory:l{tmp_path.name.replace('-', '')};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}, "VARCHAR(30000)", text_type="VARCHAR(30000)")
+
+
+def test_label_stores(spark, store, tmp_path):
+    assert store.count() == 0 and store.rows().count() == 0 and store.export(str(tmp_path / "none")) == 0
+    first = store.upsert(saves(spark, {"record_id": "r1", "action": "allowed", "label_status": " DONE"}, {"record_id": "0b", "exceptions": ["x", "X"]}, {"record_id": "zz"}))
+    second = store.upsert(saves(spark, {"record_id": "r1", "label_status": "skip"}, {"record_id": "r9"}))
+    assert {tuple(r) for r in first.collect()} == {("r1", False), ("0b", False), ("zz", False)} and {tuple(r) for r in second.collect()} == {("r1", True), ("r9", False)}
+    rows = {r["record_id"]: r for r in store.labels().collect()}
+    assert set(rows) == {"r1", "0b", "zz", "r9"} and (rows["r1"]["action"], rows["r1"]["label_status"], rows["0b"]["exceptions"]) == (None, "skip", ["x"]) and store.count() == 4
+    assert store.export(str(tmp_path / "out")) == 4 and store.import_if_empty(saves(spark, {"record_id": "more"})) == 0
+    with pytest.raises(ValueError):
+        store.upsert(saves(spark, {"record_id": " "}))
+    header, shown = queue_response(spark.createDataFrame([("r1",), ("zz",), ("new",), (None,)], "record_id string"), store)
+    assert tuple(header.first()) == (store.backend, 4, 3, 2, 1, 1) and {r["record_id"]: r["manual_label"] is not None for r in shown.collect()} == {"r1": True, "zz": True, "new": False}
+    header, shown = queue_response(spark.createDataFrame([("r1",), ("zz",), ("new",), (None,)], "record_id string"), store, include_labeled=False)
+    assert tuple(header.first()) == (store.backend, 1, 1, 0, 0, 1)
+    answer = save_response(store, saves(spark, {"record_id": "r1", "carrier": " AA "})).first()
+    assert (answer["record_id"], answer["saved"], answer["updated"], answer["backend"], answer["record"]["carrier"]) == ("r1", True, True, store.backend, "AA") and health(store).first()["labels"] == 4
+
+
+def test_bootstrap_order(spark, tmp_path):
+    gold, db = tmp_path / "gold.jsonl", str(tmp_path / "l.db")
+    gold.write_text('{"record_id": "g"}\n{broken\n{"record_id": ""}\n')
+    jdbc = lambda n: JdbcLabels(spark, f"jdbc:derby:memory:{n}{tmp_path.name.replace('-', '')};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}, "VARCHAR(30000)", text_type="VARCHAR(30000)")
+    assert [r["record_id"] for r in open_store(spark, "postgres", sqlite=db, jdbc=jdbc("a"), gold_file=str(gold)).rows().collect()] == ["g"]  # the SQLite file is empty
+    SqliteLabels(spark, db).upsert(saves(spark, {"record_id": "s"}))
+    assert [r["record_id"] for r in open_store(spark, " Postgres", sqlite=db, jdbc=jdbc("b"), gold_file=str(gold)).rows().collect()] == ["s"]
+    assert [r["record_id"] for r in open_store(spark, "sqlite", sqlite=db, gold_file=str(gold)).rows().collect()] == ["s"]
+    assert [r["record_id"] for r in open_store(spark, None, sqlite=str(tmp_path / "new.db"), gold_file=str(gold)).rows().collect()] == ["g"]
+    assert [r["record_id"] for r in open_store(spark, "jsonl", log=str(tmp_path / "log"), gold_file=str(gold)).rows().collect()] == ["g"]
+    for wrong in ({"backend": "postgres"}, {"backend": "sqlite"}, {"backend": "jsonl"}):
+        with pytest.raises(ValueError):
+            open_store(spark, **wrong)
+    assert [label_backend(x) for x in (None, "Postgres ", "x", "jsonl")] == ["sqlite", "postgres", "sqlite", "jsonl"]
 
 
 def test_streams(spark, tmp_path):
