@@ -67,7 +67,8 @@ def parse_labels(rows: DataFrame) -> DataFrame:
     ``rows`` keeps its other columns beside ``label``.
     """
     parsed = rows.withColumn("label", F.from_json("payload_json", LABEL_SCHEMA, {"mode": "PERMISSIVE"}))
-    valid = parsed.where(F.get_json_object("payload_json", "$").startswith("{"))
+    # an object, not a text that encodes one
+    valid = parsed.where(F.get_json_object("payload_json", "$").isNotNull() & F.col("payload_json").rlike(r"^\s*\{"))
     key = F.coalesce(F.nullif(F.col("label.record_id"), F.lit("")), F.nullif(F.col("record_id"), F.lit("")))
     return valid.withColumn("record_id", key).where("record_id IS NOT NULL").withColumn("label", F.col("label").withField("record_id", F.col("record_id")))
 

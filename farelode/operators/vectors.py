@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-VECTOR_SCHEMA = "id string, vector array<double>, payload string, seq bigint"
+VECTOR_SCHEMA = "id string, vector array<double>, payload string, save bigint, n bigint"
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -26,57 +29,65 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], top_k
     return rows.select(key, cosine(F.col(vector), query).alias("score")).where("score IS NOT NULL").orderBy(F.desc("score"), F.asc(key)).limit(top_k)
 
 
-def nearest_all(vectors: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int = 10, block: int = 4096) -> DataFrame:
+def nearest_all(vectors: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int = 10, block: int = 4096, part: int = 100_000) -> DataFrame:
     """For every query its ``top_k`` nearest rows: ``query_id, key, score, rank``; exact, ties by key.
 
-    The queries are a stated set. They are sent out in blocks of at most ``block`` vectors; each task scores its rows against
-    a block by one matrix product per Arrow batch and keeps only the best of each query, so what is shuffled is ``top_k`` rows
-    per query and task. Vectors of norm 0, null vectors and those of another length than the queries' are left out.
+    The queries are a stated set. They are spread over blocks of about ``block`` vectors, the rows over parts of about ``part``;
+    each pair of a block and a part meets in one task, which scores it by one matrix product and keeps the best of each query.
+    So the driver gets two counts and what is shuffled back is ``top_k`` rows per query and part. Vectors of norm 0, null
+    vectors and those of another length than a query are left out for it.
     """
-    spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
-    rows = vectors.select(key, vector)
-    numbered = [(r[key], r[vector]) for r in queries.select(key, vector).toLocalIterator() if r[vector]]
-    parts = None
-    for start in range(0, len(numbered), block):
-        found = rows.mapInPandas(_block_search(numbered[start : start + block], key, vector, top_k), f"query_id {kind}, `{key}` {kind}, score double")
-        parts = found if parts is None else parts.unionAll(found)
-    if parts is None:
-        return spark.createDataFrame([], f"query_id {kind}, `{key}` {kind}, score double, rank int")
+    rows = vectors.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_vector")).where(F.size("_vector") > 0)
+    asked = queries.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_vector")).where(F.size("_vector") > 0)
+    blocks = max(1, math.ceil(asked.count() / block))
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / part))
+
+    def one_of(n: int) -> Column:
+        return F.pmod(F.xxhash64("_key"), F.lit(n)).cast("int")
+
+    def each_of(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    q = asked.withColumn("_block", one_of(blocks)).withColumn("_part", each_of(parts))
+    r = rows.withColumn("_part", one_of(parts)).withColumn("_block", each_of(blocks))
+    found = q.groupBy("_block", "_part").cogroup(r.groupBy("_block", "_part")).applyInPandas(_meet(key, top_k), f"query_id {kind}, `{key}` {kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
 
 
-def _block_search(queries: list[tuple], key: str, vector: str, top_k: int):
-    """Scores Arrow batches against one block of queries."""
-    size = len(queries[0][1])
-    ids = [i for i, v in queries if len(v) == size and any(v)]
-    q = np.array([v for _, v in queries if len(v) == size and any(v)], dtype=np.float64).reshape(-1, size)
-    q = q / np.sqrt(np.sum(q * q, axis=1, keepdims=True))
+def _units(frame: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and the vectors, as unit vectors, of the rows of one length whose norm is not 0."""
+    same = frame[frame["_vector"].map(len) == size]
+    keys = same["_key"].to_numpy(dtype=object)
+    x = np.array(same["_vector"].tolist(), dtype=np.float64).reshape(-1, size)
+    norms = np.sqrt(np.sum(x * x, axis=1))
+    return keys[norms > 0], x[norms > 0] / norms[norms > 0, None]
 
-    def search(batches):
-        best: list[list[tuple]] = [[] for _ in ids]
-        for batch in batches:
-            pairs = [(k, v) for k, v in zip(batch[key].tolist(), batch[vector].tolist()) if v is not None and len(v) == size]
-            if not pairs:
+
+def _meet(key: str, top_k: int):
+    """Scores a block of queries against a part of the rows."""
+
+    def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for size in sorted(set(queries["_vector"].map(len)) & set(rows["_vector"].map(len))):
+            ids, q = _units(queries, size)
+            names, x = _units(rows, size)
+            if not len(ids) or not len(names):
                 continue
-            names = np.array([k for k, _ in pairs], dtype=object)
-            x = np.array([v for _, v in pairs], dtype=np.float64)
-            norms = np.sqrt(np.sum(x * x, axis=1))
-            keep = norms > 0
-            names, x = names[keep], x[keep] / norms[keep, None]
-            scores = np.round(q @ x.T, 12)
-            for i in range(len(ids)):
-                row = scores[i]
-                if len(row) > top_k:  # all that equal the last one stay, so ties are settled by key
-                    floor = np.partition(row, len(row) - top_k)[len(row) - top_k]
-                    at = np.flatnonzero(row >= floor)
-                else:
-                    at = np.arange(len(row))
-                best[i] = sorted([*best[i], *((-row[j], names[j]) for j in at)])[:top_k]
-        yield pd.DataFrame([(ids[i], k, -s) for i, found in enumerate(best) for s, k in found], columns=["query_id", key, "score"])
-
-    return search
+            step = max(1, 10_000_000 // len(names))  # some 80 MB of scores at a time
+            for start in range(0, len(ids), step):
+                scores = np.round(q[start : start + step] @ x.T, 12)
+                for i, row in zip(ids[start : start + step], scores):
+                    if len(row) > top_k:  # all that equal the last one stay, so ties are settled by key
+                        floor = np.partition(row, len(row) - top_k)[len(row) - top_k]
+                        at = np.flatnonzero(row >= floor)
+                    else:
+                        at = np.arange(len(row))
+                    out += [(i, k, -s) for s, k in sorted((-row[j], names[j]) for j in at)[:top_k]]
+        return pd.DataFrame(out, columns=["query_id", key, "score"])
+
+    return meet
 
 
 class VectorIndex:
@@ -86,27 +97,33 @@ class VectorIndex:
         self.spark, self.path, self.size = spark, path, size
 
     def upsert(self, ids: list[str], vectors: list[list[float]], payloads: list[str] | None = None) -> int:
-        """Adds or replaces vectors; the lists have to be of equal length. Missing payloads are empty objects."""
+        """Adds or replaces a few vectors; the lists have to be of equal length. Missing payloads are empty objects."""
         if len(ids) != len(vectors) or payloads is not None and len(payloads) != len(ids):
             raise ValueError("ids, vectors and payloads must be of equal length")
-        if any(len(v) != self.size for v in vectors):
+        rows = [(i, [float(x) for x in v], p) for i, v, p in zip(ids, vectors, payloads or [None] * len(ids))]
+        return self.upsert_rows(self.spark.createDataFrame(rows, "id string, vector array<double>, payload string"))
+
+    def upsert_rows(self, rows: DataFrame) -> int:
+        """Adds or replaces the vectors of a table ``id, vector, payload``; of several of one id the last read counts. Returns
+        how many rows came in."""
+        if rows.where(F.col("vector").isNull() | (F.size("vector") != self.size)).limit(1).count():
             raise ValueError(f"vectors must have {self.size} values")
-        seq = self._next()
-        rows = [(i, [float(x) for x in v], p or "{}", seq + n) for n, (i, v, p) in enumerate(zip(ids, vectors, payloads or ["{}"] * len(ids)))]
-        self.spark.createDataFrame(rows, VECTOR_SCHEMA).write.mode("append").parquet(self.path)
-        return len(rows)
+        entries = rows.select(F.col("id").cast("string"), F.col("vector").cast("array<double>").alias("vector"), F.coalesce("payload", F.lit("{}")).alias("payload"), F.lit(self._next()).cast("bigint").alias("save"), F.monotonically_increasing_id().alias("n"))
+        before = self._log().count()
+        entries.write.mode("append").parquet(self.path)
+        return self._log().count() - before
 
     def _log(self) -> DataFrame:
         try:
             return self.spark.read.schema(VECTOR_SCHEMA).parquet(self.path)
-        except Exception:  # nothing was written yet
+        except AnalysisException:  # nothing was written yet
             return self.spark.createDataFrame([], VECTOR_SCHEMA)
 
     def _next(self) -> int:
-        return (self._log().agg(F.max("seq")).first()[0] or 0) + 1
+        return (self._log().agg(F.max("save")).first()[0] or 0) + 1
 
     def current(self) -> DataFrame:
-        latest = Window.partitionBy("id").orderBy(F.desc("seq"))
+        latest = Window.partitionBy("id").orderBy(F.desc("save"), F.desc("n"))
         return self._log().withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
 
     def search(self, query: list[float], top_k: int = 10, payload_filter: Column | None = None) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from farelode.functions import extract as E
-from farelode.functions.text import token_windows
+from farelode.functions.text import lowered, token_windows
 from farelode.operators import answers, clauses, evaluation, index, labels, vectors
 from farelode.plans import policy_sql
+from farelode.schema import CLAUSE_SCHEMA, METADATA_FIELDS
 from farelode.sources import files
 from farelode.tables import durable, shared_folder, spread, table
 
@@ -187,24 +190,81 @@ def queue_flag_counts(spark: SparkSession, folder: str) -> DataFrame:
     return labels.queue_counts(labels.queue_flags(_queue(spark, folder, nothing), latest_labels(spark, folder)))
 
 
+def _label_saves(spark: SparkSession, folder: str) -> DataFrame:
+    return labels.parse_labels(table(spark, folder, "manual_labels")).select("label.*")
+
+
 def label_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All valid payloads as normalized labels, nested parts as JSON."""
-    rows = labels.parse_labels(table(spark, folder, "manual_labels")).select("label.*")
-    clean = labels.normalize_labels(rows)
-    return clean.withColumns({f.name: F.to_json(f.name) for f in clean.schema if f.dataType.typeName() == "array"})
+    """All valid payloads as normalized labels; lists are joined by bars."""
+    clean = labels.normalize_labels(_label_saves(spark, folder))
+    kept = ("record_id", "label_status", "source_id", "document_id", "document_type", "carrier", "supplier", "chunk_id", "policy_topic", "action", "penalty_type", "penalty_currency", "time_window", "before_after_departure", "tax_refund_rule", "clause_text", "notes", "penalty_amount", "penalty_percent")
+    return clean.select(*kept, *[F.array_join(c, " | ").alias(c) for c in ("eligibility_conditions", "exceptions")])
+
+
+def label_upserts(spark: SparkSession, folder: str) -> DataFrame:
+    """Two saves into a new log, the finished labels and then all: which records were there before."""
+    log = labels.LabelLog(spark, shared_folder(spark, f"tables/{uuid.uuid4().hex}"))
+    saves = _label_saves(spark, folder).where("trim(record_id) <> ''")
+    first = log.upsert(saves.where("lower(trim(label_status)) = 'done'"))
+    second = log.upsert(saves)
+    return first.select(F.lit(1).alias("save"), "*").unionAll(second.select(F.lit(2), "*"))
+
+
+def unskipped_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The current labels that evaluation takes: all but skipped ones."""
+    rows = labels.latest(table(spark, folder, "manual_labels"), "record_id", "updated_at", "row_no")
+    return evaluation.drop_skipped(rows).select("record_id", "row_no")
+
+
+def synthetic_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the chunks are made up, by their first 20."""
+    return spark.createDataFrame([(labels.is_synthetic(table(spark, folder, "chunks"), "row_no"),)], "synthetic boolean")
+
+
+def queue_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts shown above the queue of all clauses, with and without labeled ones."""
+    nothing = spark.createDataFrame([], "record_id string")
+    queue, saved = _queue(spark, folder, nothing), latest_labels(spark, folder)
+    total = queue.agg(F.count(F.lit(1)).alias("_all"))
+    shown = []
+    for everything in (True, False):
+        counts = labels.queue_counts(labels.queue_flags(queue, saved, everything)).crossJoin(total)  # one row each
+        shown.append(counts.select(F.lit(everything).alias("include_labeled"), (F.col("_all") if everything else F.col("returned_records")).alias("total_records"), "returned_records", "labeled_records", "skipped_records", "unlabeled_records"))
+    return shown[0].unionAll(shown[1])
+
+
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as chunks, with ids that follow from document, source and window."""
+    meta = F.struct(*[(F.col(c) if c else F.lit(None)).cast("string").alias(n) for n, c in ((n, {"document_id": "document_id", "source_id": "source"}.get(n)) for n in METADATA_FIELDS)])
+    chunks = clauses.chunk_documents(_documents(spark, folder).select("text", meta.alias("metadata")))
+    return chunks.select("chunk_id", "start_token", "end_token", "text", "metadata.document_id", "metadata.section_title")
+
+
+def jsonl_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All clauses written as JSON Lines and read back under their schema."""
+    path = shared_folder(spark, f"tables/{uuid.uuid4().hex}")
+    files.write_jsonl(_clauses(spark, folder).select("row_no", "record_id", "clause_text", "penalty_amount", "exceptions", "needs_review"), path)
+    back = files.read_jsonl(spark, path, T.StructType([T.StructField("row_no", T.LongType()), *[f for f in CLAUSE_SCHEMA if f.name in ("record_id", "clause_text", "penalty_amount", "exceptions", "needs_review")]]), strict=True)
+    return back.select("row_no", "record_id", "clause_text", "penalty_amount", F.array_join("exceptions", " | ").alias("exceptions"), "needs_review")
 
 
 def field_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     """How well extraction from the clause text agrees with the clause table's own columns."""
-    gold = labels.latest(_clauses(spark, folder), "record_id", "row_no")
-    text = F.col("clause_text")
+    gold = labels.latest(_clauses(spark, folder), "record_id", "row_no").withColumn("_low", lowered(F.col("clause_text")))
+    text, low = F.col("clause_text"), F.col("_low")
     found = gold.select(
-        "record_id", E.policy_topic(text).alias("policy_topic"), E.policy_action(text).alias("action"), E.time_window(text).alias("time_window"), E.departure_side(text).alias("before_after_departure"),
-        E.tax_refund_rule(text).alias("tax_refund_rule"), E.eligibility_conditions(text).alias("eligibility_conditions"), E.exceptions(text).alias("exceptions"), E.penalty(text).alias("p"),
+        "record_id", E.policy_topic(text, low).alias("policy_topic"), E.policy_action(text, low).alias("action"), E.time_window(text, low).alias("time_window"), E.departure_side(text, low).alias("before_after_departure"),
+        E.tax_refund_rule(text, low).alias("tax_refund_rule"), E.eligibility_conditions(text).alias("eligibility_conditions"), E.exceptions(text).alias("exceptions"), E.penalty(text, low).alias("p"),
     ).select("*", "p.*")
     return evaluation.field_accuracy(gold, found).withColumn("accuracy", F.round("accuracy", 6))
 
 
+def overall_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of right values over all fields."""
+    totals = field_accuracy(spark, folder).agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+    return totals.withColumn("overall_field_accuracy", F.round(F.try_divide("correct", "total"), 6))
+
+
 def record_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Records that are labeled, extracted, or both."""
     return evaluation.record_overlap(table(spark, folder, "manual_labels").where("record_id IS NOT NULL"), _clauses(spark, folder).where("record_id IS NOT NULL"))
@@ -217,6 +277,15 @@ def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+def knn_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten vectors of one label that are nearest to the first vector of the table."""
+    rows = table(spark, folder, "embeddings")
+    query = rows.orderBy("vec_id").limit(1).collect()  # one row
+    if not query or not query[0]["embedding"]:
+        return spark.createDataFrame([], "vec_id bigint, score double")
+    return vectors.nearest(rows, "vec_id", "embedding", query[0]["embedding"], 10, F.col("label") == 3).select("vec_id", F.round("score", 6).alias("score"))
+
+
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks written as pages, with scripts, styles and entities, and read back as text."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p>")))
@@ -229,8 +298,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         clause_split, clause_kinds, topic_action_counts, penalty_terms, time_signals, tax_rules, snippets, clause_records, stub_records, chunk_windows,
         manifest_overlay, manifest_sources, term_statistics, document_lengths, corpus_statistics, hybrid_scores, hybrid_topk, hybrid_filtered, keyword_topk,
-        citation_list, answer_text, source_summary, source_totals, latest_labels, labeling_queue, queue_flag_counts, label_records, field_accuracy,
-        record_overlap, knn_cosine, html_text,
+        citation_list, answer_text, source_summary, source_totals, latest_labels, labeling_queue, queue_flag_counts, queue_headers, label_records, label_upserts, unskipped_labels,
+        synthetic_guard, document_chunks, jsonl_round_trip, field_accuracy, overall_accuracy, record_overlap, knn_cosine, knn_filtered, html_text,
     )
 }
 

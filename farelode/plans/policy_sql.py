@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
-from farelode.functions import extract as E
-from farelode.schema import OVERLAY_FIELDS, SOURCE_TYPES
+# ---------------------------------------------------------------------------------------------------------------------
+# Fixed values, written out here too, so that a wrong one on the other side shows.
+NOT_ALLOWED = ("not permitted", "not allowed", "no refund", "no refunds", "non-refundable", "non refundable", "cannot", "prohibited", "forfeit", "forfeiture")
+CONDITIONAL = ("subject to", "provided that", "if ", "when ", "unless ", "before departure", "after departure", "with fee", "fee applies", "penalty applies")
+ALLOWED = ("allowed", "permitted", "can be changed", "can be refunded", "may be changed", "may be refunded", "refundable", "changeable")
+TIME_WINDOWS = ("before departure", "after departure", "prior to departure", "within 24 hours", "within 24 hrs", "after no-show", "before no-show")
+CONDITION_OPENERS = ("subject to", "provided that", "only if", "if", "when")
+EXCEPTION_OPENERS = ("except(?: for)?", "excluding", "does not apply to", "not applicable to", "unless")
+CONDITION_CUTS = (
+    " without fee", " with usd ", " with eur ", " with gbp ", " with aed ", " with sar ", " with inr ", " with pkr ", " with cad ", " with aud ",
+    " with fare difference", " and taxes only refundable", " with 20% penalty", " with penalty",
+)
+CURRENCIES = "USD|EUR|GBP|AED|SAR|INR|PKR|BDT|CAD|AUD"
+ONLY_TAXES = ("only taxes", "taxes only", "tax only", "only tax")
+NON_REFUNDABLE = "(?:non[- ]refundable|not refundable)"
+STUB_NOTE = "Stub extractor output; classify topic/action and parse structured penalties in next iteration."
+SOURCE_TYPES = ("fare_rule", "airline_offer", "supplier_offer", "circular", "waiver_notice", "policy_bulletin", "terms_page", "other")
+OVERLAY_FIELDS = (
+    "source_id", "document_id", "document_type", "carrier", "supplier", "offer_or_circular_id", "source_url", "source_filename", "market", "route_scope",
+    "cabin", "fare_family", "effective_from", "effective_to",
+)
+SYNTHETIC_PREFIX = "pilot_chunk_"
+# ---------------------------------------------------------------------------------------------------------------------
 
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _L, _R = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
@@ -40,12 +61,12 @@ def topic(t: str) -> str:
 
 
 def action(t: str) -> str:
-    condition = f"({_any(t, E.CONDITIONAL)} OR regexp_matches({t}, '{_L}fee{_R}'))"
-    return f"CASE WHEN {_any(t, E.NOT_ALLOWED)} THEN 'not_allowed' WHEN {_any(t, E.ALLOWED)} THEN CASE WHEN {condition} THEN 'conditional' ELSE 'allowed' END WHEN {condition} THEN 'conditional' ELSE 'unknown' END"
+    condition = f"({_any(t, CONDITIONAL)} OR regexp_matches({t}, '{_L}fee{_R}'))"
+    return f"CASE WHEN {_any(t, NOT_ALLOWED)} THEN 'not_allowed' WHEN {_any(t, ALLOWED)} THEN CASE WHEN {condition} THEN 'conditional' ELSE 'allowed' END WHEN {condition} THEN 'conditional' ELSE 'unknown' END"
 
 
 def window(t: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains({t}, {_q(p)}) THEN {_q(p)}" for p in E.TIME_WINDOWS) + " END"
+    return "CASE " + " ".join(f"WHEN contains({t}, {_q(p)}) THEN {_q(p)}" for p in TIME_WINDOWS) + " END"
 
 
 def side(t: str) -> str:
@@ -55,14 +76,14 @@ def side(t: str) -> str:
 
 def tax(t: str) -> str:
     near = r"[^.:\n]{0,40}"
-    return f"""CASE WHEN NOT contains({t}, 'tax') THEN NULL WHEN {_any(t, E.ONLY_TAXES)} AND contains({t}, 'refund') THEN 'only taxes refundable'
-      WHEN regexp_matches({t}, 'tax(?:es)?{near}{E.NON_REFUNDABLE}') OR regexp_matches({t}, '{E.NON_REFUNDABLE}{near}tax(?:es)?') THEN 'taxes non-refundable'
+    return f"""CASE WHEN NOT contains({t}, 'tax') THEN NULL WHEN {_any(t, ONLY_TAXES)} AND contains({t}, 'refund') THEN 'only taxes refundable'
+      WHEN regexp_matches({t}, 'tax(?:es)?{near}{NON_REFUNDABLE}') OR regexp_matches({t}, '{NON_REFUNDABLE}{near}tax(?:es)?') THEN 'taxes non-refundable'
       WHEN regexp_matches({t}, 'tax(?:es)?{near}refundable') OR contains({t}, 'refundable taxes') THEN 'taxes refundable' END"""
 
 
 _PERCENT = rf"(\d+(?:\.\d+)?){_SPACE}*%"
 # RE2 knows no look-around: the character before a code and the one behind an amount belong to the match
-_AMOUNT = rf"(?i)(?:(?:^|[^\p{{L}}\p{{N}}_])({E.CURRENCIES}){_SPACE}*([0-9]+\.[0-9]+|[0-9]+)(?:$|[^\p{{L}}\p{{N}}_])|\$([0-9]+(?:\.[0-9]+)?))"
+_AMOUNT = rf"(?i)(?:(?:^|[^\p{{L}}\p{{N}}_])({CURRENCIES}){_SPACE}*([0-9]+\.[0-9]+|[0-9]+)(?:$|[^\p{{L}}\p{{N}}_])|\$([0-9]+(?:\.[0-9]+)?))"
 
 
 def penalty_columns(raw: str, t: str) -> str:
@@ -100,13 +121,13 @@ def _distinct(items: str) -> str:
 
 def conditions_select(source: str, key: str, raw: str) -> str:
     """``key, eligibility_conditions, exceptions`` of a source, joined by bars; in steps, as lists are used twice."""
-    cut = "list_min(list_filter([" + ", ".join(f"instr(lower(b), {_q(m)})" for m in E.CONDITION_CUTS) + "], lambda p: p > 0))"
+    cut = "list_min(list_filter([" + ", ".join(f"instr(lower(b), {_q(m)})" for m in CONDITION_CUTS) + "], lambda p: p > 0))"
     trimmed = f"CASE WHEN {cut} IS NULL THEN b ELSE rtrim(substr(b, 1, {cut} - 1)) END"
     return f"""
       SELECT {key}, array_to_string({_distinct('c2')}, ' | ') AS eligibility_conditions, array_to_string({_distinct('e2')}, ' | ') AS exceptions FROM (
         SELECT {key}, list_filter(list_transform(c1, lambda x: {_bare('x')}), lambda x: x <> '') AS c2, e2 FROM (
-          SELECT {key}, list_transform(list_transform({_found(raw, E.CONDITION_OPENERS)}, lambda x: {_bare('x')}), lambda b: {trimmed}) AS c1,
-                 list_filter(list_transform({_found(raw, E.EXCEPTION_OPENERS)}, lambda x: {_bare('x')}), lambda x: x <> '') AS e2
+          SELECT {key}, list_transform(list_transform({_found(raw, CONDITION_OPENERS)}, lambda x: {_bare('x')}), lambda b: {trimmed}) AS c1,
+                 list_filter(list_transform({_found(raw, EXCEPTION_OPENERS)}, lambda x: {_bare('x')}), lambda x: x <> '') AS e2
           FROM {source}))"""
 
 
@@ -232,7 +253,33 @@ def oracles(question: str, document_type: str) -> dict[str, str]:
       cites AS (SELECT CAST(rank AS INTEGER) AS rank, chunk_id, coalesce(nullif({first('source_id')}, ''), 'unknown') AS source_id, coalesce(nullif({first('document_id')}, ''), nullif({first('source_id')}, ''), 'unknown') AS document_id,
                        {first('document_type')} AS document_type, {first('carrier')} AS carrier, CAST(least(coalesce(total, 0), 5) AS INTEGER) AS clauses, coalesce(preview, text, '') AS preview
                 FROM hits LEFT JOIN own USING (chunk_id))"""
+    text_field = lambda f: or_null(f"json_extract_string(j, '$.{f}')")
+    number_field = lambda f: f"CASE WHEN json_type(j, '$.{f}') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(json_extract_string(j, '$.{f}') AS DOUBLE) END"
+    list_field = lambda f: _distinct(f"list_filter(list_transform(CASE WHEN json_type(j, '$.{f}') = 'ARRAY' THEN json_extract_string(j, '$.{f}[*]') END, lambda x: {or_null('x')}), lambda x: x IS NOT NULL)")
+    objects = rf"""(SELECT row_no, record_id, label_status, CAST(payload_json AS JSON) AS j FROM manual_labels
+                   WHERE json_valid(payload_json) AND payload_json LIKE '{{%' AND NOT regexp_matches(regexp_replace(payload_json, '"(\\.|[^"\\])*"', '""', 'g'), '(?i)nan|inf|,\s*[}}\]]'))"""
+    kept_id = "coalesce(nullif(json_extract_string(j, '$.record_id'), ''), nullif(record_id, ''))"
+    label_texts = ("source_id", "document_id", "document_type", "carrier", "supplier", "chunk_id", "policy_topic", "action", "penalty_type", "penalty_currency", "time_window", "before_after_departure", "tax_refund_rule", "clause_text", "notes")
+    chunk_key = "sha256(concat_ws('|', coalesce(document_id, ''), coalesce(source, ''), k))"
+    counted = f"""SELECT count(*) AS returned, count(l.record_id) AS labeled, count(*) FILTER (lower(l.label_status) = 'skip') AS skipped, count(*) FILTER (l.record_id IS NULL) AS open
+                  FROM ({queue}) q LEFT JOIN {latest_labels} l ON l.record_id = q.record_id WHERE q.record_id <> ''"""
     return {
+        "label_records": f"""SELECT {kept_id} AS record_id, lower({text_field('label_status')}) AS label_status, {', '.join(f'{text_field(f)} AS {f}' for f in label_texts)},
+            {', '.join(f'{number_field(f)} AS {f}' for f in ('penalty_amount', 'penalty_percent'))}, {', '.join(f"nullif(array_to_string({list_field(f)}, ' | '), '') AS {f}" for f in ('eligibility_conditions', 'exceptions'))}
+            FROM {objects} WHERE {kept_id} IS NOT NULL""",
+        "label_upserts": f"""WITH all_saves AS (SELECT {kept_id} AS record_id, lower({text_field('label_status')}) AS status FROM {objects} WHERE trim({kept_id}) <> ''),
+            first AS (SELECT DISTINCT record_id FROM all_saves WHERE status = 'done')
+            SELECT 1 AS save, record_id, false AS updated FROM first UNION ALL SELECT DISTINCT 2, record_id, record_id IN (SELECT record_id FROM first) FROM all_saves""",
+        "unskipped_labels": f"SELECT record_id, row_no FROM {latest_labels} WHERE coalesce(lower(label_status), '') <> 'skip'",
+        "synthetic_guard": f"SELECT count(*) > 0 AND coalesce(bool_and(starts_with(chunk_id, '{SYNTHETIC_PREFIX}')) FILTER (chunk_id <> ''), true) AS synthetic FROM (SELECT chunk_id FROM chunks ORDER BY row_no LIMIT 20)",
+        "overall_accuracy": f"SELECT CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(total) AS BIGINT) AS total, round(sum(correct) / sum(total), 6) AS overall_field_accuracy FROM ({accuracy})",
+        "document_chunks": f"""SELECT {chunk_key} AS chunk_id, CAST(k * 120 AS INTEGER) AS start_token, CAST(least(k * 120 + 150, n) AS INTEGER) AS end_token, array_to_string(w[k * 120 + 1 : k * 120 + 150], ' ') AS text, document_id, '' AS section_title
+            FROM (SELECT document_id, source, w, len(w) AS n, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 150) / 120) AS BIGINT)))) AS k FROM (SELECT document_id, source, {_words('text')} AS w FROM documents) WHERE len(w) > 0)""",
+        "knn_filtered": """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])), 6) AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10""",
+        "jsonl_round_trip": "SELECT row_no, record_id, clause_text, penalty_amount, array_to_string(exceptions, ' | ') AS exceptions, needs_review FROM policy_clauses",
+        "queue_headers": f"""WITH c AS ({counted}), n AS (SELECT count(*) AS n FROM ({queue}))
+            SELECT true AS include_labeled, n AS total_records, returned AS returned_records, labeled AS labeled_records, skipped AS skipped_records, open AS unlabeled_records FROM c, n
+            UNION ALL SELECT false, open, open, 0, 0, open FROM c""",
         "clause_split": split,
         "clause_kinds": f"SELECT row_no, {topic(t)} AS policy_topic, {action(t)} AS action FROM ({kinds})",
         "topic_action_counts": f"SELECT policy_topic, action, count(*) AS clauses FROM (SELECT {topic(t)} AS policy_topic, {action(t)} AS action FROM ({kinds})) GROUP BY ALL",
@@ -242,7 +289,7 @@ def oracles(question: str, document_type: str) -> dict[str, str]:
         "snippets": conditions_select("policy_clauses", "row_no", "clause_text"),
         "clause_records": records,
         "stub_records": f"""SELECT c.chunk_id || ':' || clause_index AS record_id, metadata.source_id AS source_id, metadata.document_type AS document_type, CAST(NULL AS VARCHAR) AS cabin, CAST(NULL AS VARCHAR) AS pax_type,
-            'other' AS policy_topic, 'unknown' AS action, clause_text, CAST(NULL AS DOUBLE) AS confidence, true AS needs_review, {_q(E.STUB_NOTE)} AS notes FROM ({split}) s JOIN chunks c USING (row_no)""",
+            'other' AS policy_topic, 'unknown' AS action, clause_text, CAST(NULL AS DOUBLE) AS confidence, true AS needs_review, {_q(STUB_NOTE)} AS notes FROM ({split}) s JOIN chunks c USING (row_no)""",
         "chunk_windows": f"""SELECT doc_id, CAST(k AS INTEGER) AS window_no, CAST(k * 120 AS INTEGER) AS start_token, CAST(least(k * 120 + 150, n) AS INTEGER) AS end_token, array_to_string(w[k * 120 + 1 : k * 120 + 150], ' ') AS window_text
             FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 150) / 120) AS BIGINT)))) AS k FROM (SELECT doc_id, {_words('text')} AS w FROM documents) WHERE len(w) > 0)""",
         "manifest_overlay": f"SELECT c.row_no, {overlay} FROM chunks c LEFT JOIN {by_file} m ON m.k = lower(c.metadata.source_filename)",
