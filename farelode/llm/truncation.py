@@ -394,6 +394,17 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame
     return judged.select(key, "source", "at_limit", "marked", "ending", cut.alias("truncated"))
 
 
+def length_table(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and the length of every text under each of ``REPRESENTATIONS``; null and blank texts have no row."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.concat([batch[[key]].reset_index(drop=True), pd.DataFrame([stored_lengths(t) for t in batch["_text"]], columns=REPRESENTATIONS, dtype="int64")], axis=1)
+
+    texts = df.select(key, F.col(text).cast("string").alias("_text")).where(F.length(F.trim("_text")) > 0)
+    return texts.mapInPandas(measure, ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", *(f"{r} bigint" for r in REPRESENTATIONS)]))
+
+
 def truncation_rates(found: DataFrame) -> DataFrame:
     """Per source its texts, its truncated texts and their share."""
     return found.groupBy("source").agg(
