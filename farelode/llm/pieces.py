@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelode.llm.sentences import sentences
+from farelode.llm.sentences import Openings, sentences
 
 TOKEN = re.compile(r"[฀-๿぀-ヿ一-鿿]|[^\s฀-๿぀-ヿ一-鿿]+")
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
@@ -83,7 +83,7 @@ def _pack(n: int, levels: list[int], limit: int, overlap: int) -> list[int]:
     return cuts
 
 
-def split_text(text: str | None, lines: bool = False, limit: int = 150, overlap: int = 30, heading: int = 60) -> list[tuple]:
+def split_text(text: str | None, lines: bool = False, limit: int = 150, overlap: int = 30, heading: int = 60, openings: Openings | None = None) -> list[tuple]:
     """The pieces of one text as ``PIECE_COLUMNS``; none where it is null or has at most ``limit`` tokens.
 
     ``cut_level`` names the separator at the end of a piece (``end`` for the last one). ``cut_kind`` is the same for all
@@ -100,7 +100,7 @@ def split_text(text: str | None, lines: bool = False, limit: int = 150, overlap:
     n = len(starts)
     if n <= limit:
         return []
-    units = sentences(text, lines)
+    units = sentences(text, lines, openings)
     kind = "forced" if any(b - a > limit and count_tokens(text[a:b]) > limit for a, b in units) else "natural"
     levels = _separators(text, units, starts, ends, lines, heading)
     pieces, cuts = [], _pack(n, levels, limit, overlap)
@@ -115,7 +115,7 @@ def split_text(text: str | None, lines: bool = False, limit: int = 150, overlap:
     return pieces
 
 
-def split_oversized(df: DataFrame, text: str | Column, lines: str | Column | None = None, keep: tuple[str, ...] = (), limit: int = 150, overlap: int = 30) -> DataFrame:
+def split_oversized(df: DataFrame, text: str | Column, lines: str | Column | None = None, keep: tuple[str, ...] = (), limit: int = 150, overlap: int = 30, openings: Openings | None = None) -> DataFrame:
     """One row per piece of every text with more than ``limit`` tokens: the ``keep`` columns and ``PIECE_COLUMNS``.
 
     Positions count tokens and characters of the whole text from 0; ends are exclusive. Texts within the limit, null and
@@ -133,7 +133,7 @@ def split_oversized(df: DataFrame, text: str | Column, lines: str | Column | Non
         for batch in batches:
             rows, pieces = [], []
             for i, (t, by) in enumerate(zip(batch["_text"].tolist(), batch["_lines"].tolist())):
-                found = split_text(t, by, limit, overlap)
+                found = split_text(t, by, limit, overlap, openings=openings)
                 pieces += found
                 rows += [i] * len(found)
             result = batch[list(keep)].iloc[rows].reset_index(drop=True)

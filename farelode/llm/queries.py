@@ -13,7 +13,7 @@ from farelode.llm.canonical import UNMATCHED, Issuer, NameParser, issuer_candida
 from farelode.llm.mixing import mix_sources, place_rows, reached_shares, source_budgets
 from farelode.llm.packing import container_fill, pack
 from farelode.llm.pieces import split_oversized
-from farelode.llm.sentences import sentence_units
+from farelode.llm.sentences import Openings, learn_openings, sentence_units
 from farelode.llm.truncation import find_truncated, length_table, truncation_rates
 from farelode.tables import clean_id, spread, table
 
@@ -84,18 +84,24 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return both.where(F.col("canonical") == UNMATCHED).groupBy("table_name", "field", "typed").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _openings(spark: SparkSession, folder: str) -> Openings:
+    """What clause texts and the chunks from files show of sentence openings in scripts without terminators."""
+    clauses = table(spark, folder, "policy_clauses").select(F.col("clause_text").alias("text"))
+    return learn_openings(clauses.unionAll(table(spark, folder, "chunks").where(f"NOT ({FROM_WEB})").select("text")), "text")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences of all clause texts and of the chunks that come from files."""
     clauses = table(spark, folder, "policy_clauses").select(F.lit("policy_clauses").alias("table_name"), "row_no", F.col("clause_text").alias("text"))
     chunks = table(spark, folder, "chunks").where(f"NOT ({FROM_WEB})").select(F.lit("chunks").alias("table_name"), "row_no", "text")
-    return sentence_units(spread(clauses.unionAll(chunks)), "text", keep=("table_name", "row_no")).drop("unit_no")
+    return sentence_units(spread(clauses.unionAll(chunks)), "text", keep=("table_name", "row_no"), openings=_openings(spark, folder)).drop("unit_no")
 
 
 def p3_units(spark: SparkSession, folder: str) -> DataFrame:
     """Sentence units, with their number in the text, of all documents and of web chunks (each line by itself)."""
     documents = table(spark, folder, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_no"), "text", F.lit(False).alias("web"))
     chunks = table(spark, folder, "chunks").where(FROM_WEB).select(F.lit("chunks").alias("table_name"), "row_no", "text", F.lit(True).alias("web"))
-    return sentence_units(spread(documents.unionAll(chunks)), "text", "web", keep=("table_name", "row_no"))
+    return sentence_units(spread(documents.unionAll(chunks)), "text", "web", keep=("table_name", "row_no"), openings=_openings(spark, folder))
 
 
 def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +115,7 @@ def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of all chunks with more than 150 tokens, 30 of which are repeated from the piece before."""
-    return split_oversized(spread(table(spark, folder, "chunks")), "text", F.expr(FROM_WEB), keep=("row_no",), limit=150, overlap=30)
+    return split_oversized(spread(table(spark, folder, "chunks")), "text", F.expr(FROM_WEB), keep=("row_no",), limit=150, overlap=30, openings=_openings(spark, folder))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,9 +12,11 @@ sentences:
 * Chinese and Japanese: the same lattice with full-width terminators, which need no space behind them; a quotation is
   followed by its continuation unless a lead-in stood before it. Gaps between terminators are classified through a
   lattice of words that end a sentence before a gap or open one behind it.
-* Thai has no terminator: each run of Thai letters is cut into words by the cheapest path through a lattice of dictionary
-  words, then each gap (white space) is classified through the word before it and the word behind it: opening words
-  start a sentence unless the word before it still demands a complement; final particles end one.
+* Thai and Lao have no terminator: each run of letters is cut into words by the cheapest path through a lattice of
+  dictionary words, then each gap (white space) is classified through the word before it and the word behind it: opening
+  words start a sentence unless the word before it still demands a complement; final particles end one. Besides the listed
+  opening words, those that the corpus shows count: ``learn_openings`` compares how often a beginning stands at the start of
+  a block, where a sentence surely begins, with how often it stands behind a gap inside one.
 
 A quotation or bracket that is not closed reaches to the end of its block, as one that was cut off does; a straight mark
 behind a digit without a partner is an inch mark. Everything is a pure function of one text, so rows are handled in Arrow
@@ -24,6 +26,7 @@ batches without a shuffle; words, tokens and texts may have any length, and a te
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -101,8 +104,8 @@ BLANK = re.compile(r"\n(?:[ \t\r\f\v\u00a0\u3000]*\n)+")
 _VISIBLE = re.compile(r"\S")
 BULLET = re.compile(r"\s*(?:([•‣◦▪●∙·○–—*-])|\(?(?:(\d{1,3})(\)|\.)|([a-zA-Z]|[ivxIVX]{1,4})\)))[ \t ]+(?=\S)")
 BULLET_AT = re.compile(r"(?m)^[ \t]*(?:[•‣◦▪●∙·○–—*-]|\(?(?:\d{1,3}[.)]|(?:[a-zA-Z]|[ivxIVX]{1,4})\)))[ \t ]+(?=\S)")
-THAI = re.compile(r"[฀-๿]")
-THAI_RUN = re.compile(r"[฀-๿]+")
+THAI = re.compile(r"[\u0e00-\u0eff]")  # and Lao
+THAI_RUN = re.compile(r"[\u0e00-\u0eff]+")
 THAI_GAP = re.compile(r"\s+")
 _WIDE = "。！？｡"
 
@@ -324,8 +327,17 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
     straight = False
     marks: int | None = None
     pos = start
-    words, cjk, wide_end = _Words(text, start), _Ahead(_CJK, text, end), _Ahead(_WIDE_END, text, end)
+    words: _Words | None = None
+    cjk = wide_end = None
     find = EVENT.search
+
+    def joined(mark: int, after: int) -> bool:
+        nonlocal words, cjk, wide_end
+        if cjk is None:
+            cjk, wide_end = _Ahead(_CJK, text, end), _Ahead(_WIDE_END, text, end)
+        words = words or _Words(text, start)
+        return _joined(text, begin, mark, after, words, cjk, wide_end)
+
     while True:
         m = find(text, pos, end)
         if m is None:
@@ -393,7 +405,8 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
         elif first in _OWN_STOPS:
             pass
         elif first == ".":
-            if not spaced and not (len(c) == 1 and _joined(text, begin, m.start(), after, words, cjk, wide_end)):
+            words = words or _Words(text, start)
+            if not spaced and not (len(c) == 1 and joined(m.start(), after)):
                 continue
             if len(c) > 1:  # dots that stand for something left out
                 if not nxt.isupper() or text[m.start() - 1 : m.start()].isspace():
@@ -412,7 +425,7 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
         elif first == "…":
             if not spaced or not nxt.isupper():
                 continue
-        elif not (spaced and _starts_unit(text, after)) and not (not spaced and _joined(text, begin, m.start(), after, words, cjk, wide_end)):  # ! or ?
+        elif not (_starts_unit(text, after) if spaced else joined(m.start(), after)):  # ! or ?
             continue
         _part_at_gaps(text, begin, boundary, out)
         begin = after
@@ -445,7 +458,55 @@ def _part_at_gaps(text: str, start: int, end: int, out: list[tuple[int, int]]) -
     out.append((begin, end))
 
 
-def _thai_paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
+Openings = dict[str, bool]  # beginnings of runs, with "$" behind a whole run: whether a sentence opens with them
+SHORTEST, LONGEST_OPENING = 4, 12  # letters of a beginning that is told apart
+
+
+def opens_sentence(run: str, openings: Openings | None) -> bool:
+    """Whether a sentence opens with this run behind a gap: with a listed word, or by the longest beginning that was learned."""
+    if thai_words(run)[0] in THAI_OPENING:
+        return True
+    if not openings:
+        return False
+    marked = f"{run}$"
+    return next((openings[marked[:k]] for k in range(min(len(marked), LONGEST_OPENING), SHORTEST - 1, -1) if marked[:k] in openings), False)
+
+
+def learn_openings(df: DataFrame, text: str | Column, least: int = 5, share: float = 0.3, most: int = 20_000) -> Openings:
+    """What all texts of ``df`` show of the beginnings of runs in scripts without terminators.
+
+    A beginning of 4 to 12 letters opens sentences if at least ``share`` of its places that could open one (behind a gap, or
+    at the start of a block) are starts of blocks; ``least`` such places are needed to tell. Of two beginnings the longer
+    decides, so only those are kept that decide otherwise than the one a letter shorter, at most ``most`` (the size of the
+    model), those of the most places first. Texts without such letters are left out before Python; counts are folded per batch.
+    """
+    column = F.col(text) if isinstance(text, str) else text
+    source = df.select(column.alias("_text")).where(F.col("_text").rlike(r"[\x{0e00}-\x{0eff}]"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            starts: Counter = Counter()
+            gaps: Counter = Counter()
+            for t in batch["_text"].tolist():
+                for block in BLANK.split(t):
+                    for i, m in enumerate(_GAPPED_RUN.finditer(block.strip())):
+                        marked = f"{m[1]}$"
+                        into = starts if i == 0 and m.start() == 0 else gaps
+                        into.update(marked[:k] for k in range(SHORTEST, min(len(marked), LONGEST_OPENING) + 1))
+            keys = list(starts.keys() | gaps.keys())
+            yield pd.DataFrame({"opening": pd.Series(keys, dtype=object), "starts": pd.Series([starts[k] for k in keys], dtype="int64"), "places": pd.Series([starts[k] + gaps[k] for k in keys], dtype="int64")})
+
+    counted = source.mapInPandas(count, "opening string, starts bigint, places bigint").groupBy("opening").agg(F.sum("starts").alias("starts"), F.sum("places").alias("places"))
+    told = counted.where(F.col("places") >= least).select("opening", "places", (F.col("starts") >= share * F.col("places")).alias("opens"))
+    shorter = told.select(F.col("opening").alias("_shorter"), F.col("opens").alias("_opens"))
+    changed = told.join(shorter, F.expr("left(opening, length(opening) - 1)") == F.col("_shorter"), "left").where(F.col("_opens").isNull() & F.col("opens") | (F.col("_opens") != F.col("opens")))
+    return {r["opening"]: r["opens"] for r in changed.orderBy(F.desc("places"), "opening").limit(most).collect()}
+
+
+_GAPPED_RUN = re.compile(r"(?:^|(?<=[\u0e00-\u0eff])\s+)([\u0e00-\u0eff]+)")
+
+
+def _thai_paragraph(text: str, start: int, end: int, out: list[tuple[int, int]], openings: Openings | None) -> None:
     """Running text in Thai: the gaps that a sentence begins behind; stretches of another script go the usual way."""
     begin = start
     for gap in THAI_GAP.finditer(text, start, end):
@@ -463,7 +524,7 @@ def _thai_paragraph(text: str, start: int, end: int, out: list[tuple[int, int]])
             if stretch is None or not _starts_unit(text, after):
                 continue
         else:
-            if thai_words(run[0])[0] not in THAI_OPENING or thai_before and _demands(text, begin, before):
+            if not opens_sentence(run[0], openings) or thai_before and _demands(text, begin, before):
                 continue
         _foreign(text, begin, before, out)
         begin = after
@@ -471,7 +532,7 @@ def _thai_paragraph(text: str, start: int, end: int, out: list[tuple[int, int]])
         _foreign(text, begin, end, out)
 
 
-_FOREIGN = re.compile(r"[A-ZÀ-Þ¿¡][^\u0E00-\u0E7F]*?[a-zß-ÿ]{2,}[^\u0E00-\u0E7F]*?\s[a-zß-ÿ]{2,}[^\u0E00-\u0E7F]*?[.!?](?=\s|$)")
+_FOREIGN = re.compile(r"[A-ZÀ-Þ¿¡][^\u0E00-\u0EFF]*?[a-zß-ÿ]{2,}[^\u0E00-\u0EFF]*?\s[a-zß-ÿ]{2,}[^\u0E00-\u0EFF]*?[.!?](?=\s|$)")
 
 
 def _demands(text: str, begin: int, end: int) -> bool:
@@ -482,7 +543,7 @@ def _demands(text: str, begin: int, end: int) -> bool:
 def _last_thai(text: str, begin: int, end: int) -> str:
     """The Thai word before ``end``, or an empty text."""
     i = end
-    while i > begin and "\u0e00" <= text[i - 1] <= "\u0e7f":
+    while i > begin and "\u0e00" <= text[i - 1] <= "\u0eff":
         i -= 1
     return thai_words(text[i:end])[-1] if i < end else ""
 
@@ -507,7 +568,7 @@ _LABEL = re.compile(r"^\S{0,12}\s?(?:\d{1,3}(?:\.\d+)*|[A-Z])\.$")  # Section 3.
 _END_MARK = ".!?。！？｡…\"”“»」』)）" + _OWN_STOPS
 
 
-def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
+def _block(text: str, start: int, end: int, out: list[tuple[int, int]], openings: Openings | None) -> None:
     start, end = _trim(text, start, end)
     if start >= end:
         return
@@ -524,8 +585,8 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         # a list may follow its paragraph without a blank line
         first = next((m.start() for m in BULLET_AT.finditer(text, start, end) if _opens_list(text, m.start(), end)), None)
         if first is not None and first > start:
-            _block(text, start, first, out)
-            _block(text, first, end, out)
+            _block(text, start, first, out, openings)
+            _block(text, first, end, out, openings)
             return
     elif text[end - 1] not in _END_MARK and not THAI.search(text, start, end):
         # a heading, or running text whose last sentence has no end
@@ -536,7 +597,7 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         out.extend(units)
         return
     if THAI.search(text, start, end):
-        _thai_paragraph(text, start, end, out)
+        _thai_paragraph(text, start, end, out, openings)
     else:
         _paragraph(text, start, end, out)
 
@@ -578,11 +639,11 @@ def _opens_list(text: str, at: int, end: int) -> bool:
     return i == 0 or text[i - 1] in _END_MARK + ":：" or found[0] in "•‣◦▪●"
 
 
-def sentences(text: str | None, lines: bool = False) -> list[tuple[int, int]]:
+def sentences(text: str | None, lines: bool = False, openings: Openings | None = None) -> list[tuple[int, int]]:
     """The (start, end) of every sentence unit, in order, from 0 and exclusive, without surrounding white space.
 
     ``lines``: every line is split by itself, as in web pages; else only blank lines part blocks, and a line break within
-    a block is white space. Null, empty and blank texts have no units. Any text is covered: only white space lies
+    a block is white space. ``openings``: what ``learn_openings`` found. Null, empty and blank texts have no units. Any text is covered: only white space lies
     between units.
     """
     out: list[tuple[int, int]] = []
@@ -593,20 +654,20 @@ def sentences(text: str | None, lines: bool = False) -> list[tuple[int, int]]:
         while pos < n:
             stop = text.find("\n", pos)
             stop = n if stop < 0 else stop
-            _block(text, pos, stop, out)
+            _block(text, pos, stop, out, openings)
             pos = stop + 1
         return out
     if "\n" not in text:
-        _block(text, 0, n, out)
+        _block(text, 0, n, out, openings)
         return out
     for gap in BLANK.finditer(text):
-        _block(text, pos, gap.start(), out)
+        _block(text, pos, gap.start(), out, openings)
         pos = gap.end()
-    _block(text, pos, n, out)
+    _block(text, pos, n, out, openings)
     return out
 
 
-def sentence_units(df: DataFrame, text: str | Column, lines: str | Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def sentence_units(df: DataFrame, text: str | Column, lines: str | Column | None = None, keep: tuple[str, ...] = (), openings: Openings | None = None) -> DataFrame:
     """One row per sentence: the ``keep`` columns, ``unit_no`` from 0, ``start_char``, ``end_char``.
 
     ``text`` and ``lines`` (true where each line is split by itself; null counts as false) are columns or expressions.
@@ -623,7 +684,7 @@ def sentence_units(df: DataFrame, text: str | Column, lines: str | Column | None
         for batch in batches:
             rows, numbers, starts, ends = [], [], [], []
             for i, (t, by) in enumerate(zip(batch["_text"].tolist(), batch["_lines"].tolist())):
-                for k, (a, b) in enumerate(sentences(t, by)):
+                for k, (a, b) in enumerate(sentences(t, by, openings)):
                     rows.append(i)
                     numbers.append(k)
                     starts.append(a)

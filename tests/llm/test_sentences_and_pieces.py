@@ -3,7 +3,7 @@ import random
 import pytest
 
 from farelode.llm.pieces import count_tokens, split_oversized, split_text
-from farelode.llm.sentences import sentence_units, sentences, thai_words
+from farelode.llm.sentences import learn_openings, opens_sentence, sentence_units, sentences, thai_words
 
 TEXTS = [
     ["The waiver covers QAB-QCD (see Sec. 5.66; cf. Annex 50.31) and ends on Jan. 21, 2026.", "Fees may vary."],
@@ -198,3 +198,18 @@ def test_full_stops_of_other_scripts(units):
 def test_inch_marks_are_no_quotations():
     assert pieces('Bags of 12" are fine. Others of 20 in. are not. He said "no. Never."') == ['Bags of 12" are fine.', "Others of 20 in. are not.", 'He said "no. Never."']
     assert pieces('The size is "12" here. "Keep this. Now." is the wording.') == ['The size is "12" here.', '"Keep this. Now." is the wording.']
+
+
+def test_openings_are_learned_from_the_corpus(spark):
+    """Lao, for which nothing is listed, and Thai openers that are not listed; words that only stand inside sentences open none."""
+    openers, middles = ["ຂ້ອຍຢາກ", "ມື້ນີ້ເຮົາ", "สำนักงานจะ", "วันพรุ่งนี้"], ["ແລະຕໍ່ໄປ", "ที่สนามบิน", "ในกรณีนั้น"]
+    draw = random.Random(3)
+    say = lambda: " ".join([draw.choice(openers) + draw.choice(["ໄປ", "มาก", "ດີ"]), *draw.choices(middles, k=draw.randint(0, 3))])
+    told = [[say() for _ in range(draw.randint(1, 4))] for _ in range(400)]
+    df = spark.createDataFrame([(" ".join(u),) for u in told[:300]] + [(None,), ("",), ("no such letters",)], "text string")
+    learned = learn_openings(df, "text")
+    assert all(opens_sentence(f"{o}ດີ", learned) for o in openers) and not any(opens_sentence(m, learned) for m in middles) and not opens_sentence("ที่อื่น", learned)
+    held_out = [(" ".join(u), u) for u in told[300:]]
+    assert all([t[a:b] for a, b in sentences(t, openings=learned)] == u for t, u in held_out)
+    assert learn_openings(df.limit(0), "text") == {} and len(learn_openings(df, "text", most=2)) == 2
+    assert sentence_units(df, "text", openings=learned).count() == sum(map(len, told[:300])) + 1
