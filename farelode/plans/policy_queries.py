@@ -110,7 +110,7 @@ def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return index.corpus_statistics(document_lengths(spark, folder)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _index(spark: SparkSession, folder: str) -> index.HybridIndex:
+def hybrid_index(spark: SparkSession, folder: str) -> index.HybridIndex:
     """The index of a folder's chunks and clauses; it is built once for files of the same names, sizes and times."""
     mark = index.input_fingerprint(spark, f"{folder}/chunks.parquet", f"{folder}/policy_clauses.parquet")
     path = shared_folder(spark, f"index-{hashlib.sha256(mark.encode()).hexdigest()[:16]}")
@@ -123,17 +123,17 @@ def _scores(hits: DataFrame) -> list:
 
 def hybrid_scores(spark: SparkSession, folder: str) -> DataFrame:
     """All chunks that score for one question, with their scores."""
-    hits = _index(spark, folder).search(spark, QUESTION, top_k=None)
+    hits = hybrid_index(spark, folder).search(spark, QUESTION, top_k=None)
     return hits.select("chunk_id", *_scores(hits))
 
 
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
-    hits = _index(spark, folder).search(spark, QUESTION, top_k=5)
+    hits = hybrid_index(spark, folder).search(spark, QUESTION, top_k=5)
     return hits.select("rank", "chunk_id", *_scores(hits))
 
 
 def hybrid_filtered(spark: SparkSession, folder: str) -> DataFrame:
-    hits = _index(spark, folder).search(spark, QUESTION, top_k=20, filters=FILTERS)
+    hits = hybrid_index(spark, folder).search(spark, QUESTION, top_k=20, filters=FILTERS)
     return hits.select("rank", "chunk_id", *_scores(hits))
 
 
@@ -149,12 +149,12 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def citation_list(spark: SparkSession, folder: str) -> DataFrame:
     """The citations of one question's answer."""
-    found = answers.citations(_index(spark, folder).search(spark, QUESTION, top_k=5))
+    found = answers.citations(hybrid_index(spark, folder).search(spark, QUESTION, top_k=5))
     return found.select("rank", "chunk_id", "source_id", "document_id", "document_type", "carrier", F.size("matched_clauses").alias("clauses"), "preview")
 
 
 def answer_text(spark: SparkSession, folder: str) -> DataFrame:
-    return answers.ask(spark, _index(spark, folder), QUESTION, 5).select("query", "answer", "hits", "mode")
+    return answers.ask(spark, hybrid_index(spark, folder), QUESTION, 5).select("query", "answer", "hits", "mode")
 
 
 def source_summary(spark: SparkSession, folder: str) -> DataFrame:
