@@ -4,10 +4,10 @@ A text is cut into blocks (blank lines), blocks into list items, headings and ru
 sentences:
 
 * Spaced scripts: every terminator with its closing marks is a node of a lattice over the text. An edge between two
-  nodes is a possible sentence. Edges are removed that leave a quotation or bracket open, that end in an abbreviation
+  nodes is a possible sentence. Nodes are left out that stand in a quotation or bracket, that end in an abbreviation
   which never ends a sentence, a decimal, an ordinal or a date, or after which the text goes on in lower case or with a
-  continuation of the quotation. The path with the most remaining edges is taken; as a node that can be reached can
-  always be left, one pass from left to right finds it.
+  continuation of the quotation; edges, where the start of a sentence excludes its end. The path of the most weight is
+  taken (``_Lattice``).
 * Scripts with full stops of their own (Khmer, Burmese, Tibetan, Ethiopic, Armenian and others): these end sentences.
 * Chinese and Japanese: the same lattice with full-width terminators, which need no space behind them; a quotation is
   followed by its continuation unless a lead-in stood before it. Gaps between terminators are classified through a
@@ -247,7 +247,8 @@ def _word_before(text: str, start: int, at: int) -> str:
 
 
 def _period_ends(text: str, start: int, dot: int, after: int, words: _Words) -> bool:
-    """Whether the single period at ``dot``, with the next word at ``after``, ends the sentence that began at ``start``."""
+    """Whether the single period at ``dot``, with the next word at ``after``, may end a sentence; no space parts the text from
+    ``start`` on from what is before it."""
     initials = words.single_letters(dot, start)
     word = words.bare(dot, start)
     nxt = text[after]
@@ -281,8 +282,6 @@ def _period_ends(text: str, start: int, dot: int, after: int, words: _Words) ->
         m = re.match(r"[^\W\d_]+", text[after:after + 12])
         if m and m[0].lower() in MONTHS:
             return False
-        if dot - len(word) == start:  # a number that leads the block
-            return False
     return True
 
 
@@ -317,18 +316,55 @@ _DANDA = re.compile(r"[ऀ-෿]")
 _CASELESS = re.compile(r"[֐-ࣿऀ-෿]")
 
 
+class _Lattice:
+    """The boundaries of running text as a lattice: nodes are possible ends of sentences, edges possible sentences.
+
+    A path's score is the sum of its nodes' weights. An edge is missing only where the sentence would start at a place that
+    excludes its end: a number that leads a sentence does not end it, and a quotation that opens a sentence goes on with what
+    follows it. So of the paths to a node only the best two with different starts matter, and the best path is found in one
+    pass. Of equal paths the one with the earlier ends is taken.
+    """
+
+    def __init__(self, start: int) -> None:
+        self.nodes: list[tuple[int, int, int]] = []  # boundary, start of what follows, the node before on the best path to it
+        self.best = self.second = (0.0, start, -1)  # score, start of the open sentence, its last node
+
+    def add(self, boundary: int, after: int, weight: float, not_from: int = -1) -> None:
+        """A node; no sentence that starts at ``not_from`` ends here."""
+        score, begin, last = self.best if self.best[1] != not_from else self.second
+        if begin == not_from:
+            return
+        self.nodes.append((boundary, after, last))
+        path = (score + weight, after, len(self.nodes) - 1)
+        if path[0] > self.best[0]:
+            self.best, self.second = path, self.best
+        elif path[0] > self.second[0]:
+            self.second = path
+
+    def path(self) -> list[tuple[int, int]]:
+        """(boundary, start of what follows) of the nodes on the best path."""
+        found, at = [], self.best[2]
+        while at >= 0:
+            boundary, after, at = self.nodes[at]
+            found.append((boundary, after))
+        return found[::-1]
+
+
+# weights of nodes: a terminator outside quotations; one that a number precedes; a quotation that holds one
+STOP, NUMBERED, QUOTED = 1.0, 0.9, 0.75
+
+
 def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
     """Appends the sentences of running text, without surrounding white space."""
     depth: list[str] = []
-    begin = start
-    lead_in = False  # whether text stood before the quotation that was closed last
     opened = start
     devanagari: bool | None = None
     straight = False
     marks: int | None = None
-    pos = start
+    pos = piece = start  # piece: where text began that no space parts from what is before
     words: _Words | None = None
     cjk = wide_end = None
+    lattice = _Lattice(start)
     find = EVENT.search
 
     def joined(mark: int, after: int) -> bool:
@@ -336,7 +372,7 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
         if cjk is None:
             cjk, wide_end = _Ahead(_CJK, text, end), _Ahead(_WIDE_END, text, end)
         words = words or _Words(text, start)
-        return _joined(text, begin, mark, after, words, cjk, wide_end)
+        return _joined(text, piece, mark, after, words, cjk, wide_end)
 
     while True:
         m = find(text, pos, end)
@@ -367,38 +403,37 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
                 closed = False  # an unmatched closing mark
         else:
             closed = False
+        if depth or straight:
+            continue
+        quoted = closed
         if first in '"“”„«»「」『』()（）[]【】':
-            if not closed or depth or straight:
+            if not closed:
                 continue
             # a closed quotation ends the sentence if a terminator stands in it and the text does not go on
             i = m.start()
-            while i > begin and text[i - 1].isspace() and text[i - 1] != "\n":
+            while i > start and text[i - 1].isspace() and text[i - 1] != "\n":
                 i -= 1
-            inner = text[i - 1] if i > begin else ""
-            if not inner or inner not in ".!?。！？｡…" + _OWN_STOPS:
-                continue
-            boundary, quoted = pos, True
-        else:
-            if depth or straight:
+            if i <= start or text[i - 1] not in ".!?。！？｡…" + _OWN_STOPS:
                 continue
-            boundary, quoted = pos, False
-        # white space behind
-        after = boundary
+        after = pos
         while after < end and text[after].isspace():
             after += 1
         if after >= end:
             continue
-        spaced = after > boundary
+        spaced = after > pos
         nxt = text[after]
+        weight, not_from = STOP, -1
         if quoted:
-            lead_in = _VISIBLE.search(text, begin, max(begin, opened)) is not None
+            weight = QUOTED
             if nxt.isalpha() and (nxt.islower() or nxt.isupper()):
                 if not spaced or not _starts_unit(text, after):
                     continue
             elif nxt in ".,;:!?؟،。，、；：！？…":
                 continue
-            elif nxt.isalpha() and (not lead_in or text.startswith(CONTINUES_AFTER_QUOTE, after)):
-                continue
+            elif nxt.isalpha():
+                if text.startswith(CONTINUES_AFTER_QUOTE, after):
+                    continue
+                not_from = opened
         elif first in _WIDE:
             if nxt in "”」』）)】":
                 continue
@@ -417,16 +452,25 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
                 if devanagari and _DANDA.match(text[m.start() - 1]):
                     continue  # there a period only abbreviates
                 if _CASELESS.match(nxt):
-                    word = words.bare(m.start(), begin)
+                    word = words.bare(m.start(), piece)
                     if len(word) == 1 and word.isalpha() or word in NEVER_FINAL:
                         continue
-                elif not _period_ends(text, begin, m.start(), after, words):
-                    continue
+                else:
+                    if not _period_ends(text, piece, m.start(), after, words):
+                        continue
+                    word = words.bare(m.start(), piece)
+                    if word.isdigit() and len(word) <= 2:
+                        weight, not_from = NUMBERED, m.start() - len(word)
         elif first == "…":
             if not spaced or not nxt.isupper():
                 continue
         elif not (_starts_unit(text, after) if spaced else joined(m.start(), after)):  # ! or ?
             continue
+        lattice.add(pos, after, weight, not_from)
+        if not spaced:
+            piece = after
+    begin = start
+    for boundary, after in lattice.path():
         _part_at_gaps(text, begin, boundary, out)
         begin = after
     if begin < end:
