@@ -187,10 +187,13 @@ class _Words:
 
     def at(self, mark: int, sentence: int) -> int:
         """Where the word before ``mark`` begins, in the sentence that begins at ``sentence``."""
-        for gap in _BLANK_RUN.finditer(self.text, self.seen, mark):
-            self.begin = gap.end()
-        self.seen = max(self.seen, mark)
-        return max(self.begin, sentence)
+        if mark > self.seen:
+            found = max(self.text.rfind(" ", self.seen, mark), self.text.rfind("\n", self.seen, mark)) + 1
+            self.begin = found or self.begin
+            for gap in _BLANK_RUN.finditer(self.text, found or self.seen, mark):  # white space of other kinds
+                self.begin = gap.end()
+            self.seen = mark
+        return self.begin if self.begin > sentence else sentence
 
     def bare(self, mark: int, sentence: int) -> str:
         """The word before ``mark`` in lower case, without opening marks; only its end where it is longer than any abbreviation."""
@@ -201,16 +204,14 @@ class _Words:
                 self.core += 1
         return self.text[max(min(self.core, mark), mark - _LONGEST - 1) : mark].lower()
 
-    def single_letters(self, dot: int, sentence: int) -> bool:
-        """Whether the word is of single letters with periods between them; to be asked at each of its periods."""
-        self.bare(dot, sentence)
-        if self.dotted < self.core:  # the first period of the word
-            self.initials = True
-            last = self.core - 1
-        else:
-            last = self.dotted
-        self.initials &= dot - last == 2 and self.text[dot - 1].isalpha()
-        first, self.dotted = last < self.core, dot
+    def single_letters(self, dot: int) -> bool:
+        """Whether the word that ``bare`` gave last is of single letters with periods between them; asked at each of its periods."""
+        core = self.core
+        if dot - core != 1 and self.text[dot - 2] != ".":
+            return False
+        first = self.dotted < core  # the first period of the word
+        self.initials = (first or self.initials) and dot - (core - 1 if first else self.dotted) == 2 and self.text[dot - 1].isalpha()
+        self.dotted = dot
         return self.initials and not first
 
     def address(self, mark: int, sentence: int) -> bool:
@@ -249,8 +250,8 @@ def _word_before(text: str, start: int, at: int) -> str:
 def _period_ends(text: str, start: int, dot: int, after: int, words: _Words) -> bool:
     """Whether the single period at ``dot``, with the next word at ``after``, may end a sentence; no space parts the text from
     ``start`` on from what is before it."""
-    initials = words.single_letters(dot, start)
     word = words.bare(dot, start)
+    initials = words.single_letters(dot)
     nxt = text[after]
     if nxt.isalpha() and nxt.islower() and not (after + 1 < len(text) and text[after + 1].isupper()):
         return False
@@ -356,6 +357,9 @@ STOP, NUMBERED, QUOTED = 1.0, 0.9, 0.75
 
 def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
     """Appends the sentences of running text, without surrounding white space."""
+    if EVENT.search(text, start, end) is None:
+        _emit(text, start, end, [], out)
+        return
     depth: list[str] = []
     opened = start
     devanagari: bool | None = None
@@ -458,9 +462,10 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
                 else:
                     if not _period_ends(text, piece, m.start(), after, words):
                         continue
-                    word = words.bare(m.start(), piece)
-                    if word.isdigit() and len(word) <= 2:
-                        weight, not_from = NUMBERED, m.start() - len(word)
+                    if text[m.start() - 1].isdigit():
+                        word = words.bare(m.start(), piece)
+                        if len(word) <= 2 and word.isdigit():
+                            weight, not_from = NUMBERED, m.start() - len(word)
         elif first == "…":
             if not spaced or not nxt.isupper():
                 continue
@@ -469,12 +474,19 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
         lattice.add(pos, after, weight, not_from)
         if not spaced:
             piece = after
-    begin = start
-    for boundary, after in lattice.path():
-        _part_at_gaps(text, begin, boundary, out)
-        begin = after
-    if begin < end:
-        _part_at_gaps(text, begin, end, out)
+    _emit(text, start, end, lattice.path(), out)
+
+
+def _emit(text: str, start: int, end: int, path: list[tuple[int, int]], out: list[tuple[int, int]]) -> None:
+    """The units of a path, parted at gaps where the script may have such."""
+    gaps = _CJK_GAP.search(text, start, end) is not None
+    for boundary, after in [*path, (end, end)]:
+        if start < boundary:
+            if gaps:
+                _part_at_gaps(text, start, boundary, out)
+            else:
+                out.append((start, boundary))
+        start = after
 
 
 _CJK_RUN = re.compile(r"[぀-ヿ㐀-鿿]+")
