@@ -111,9 +111,10 @@ def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hybrid_index(spark: SparkSession, folder: str) -> index.HybridIndex:
-    """The index of a folder's chunks and clauses; it is built once for files of the same names, sizes and times."""
+    """The index of a folder's chunks and clauses. It is built once for files of the same names, sizes and times, and in the
+    same place again when these change, so a folder has one index."""
     mark = index.input_fingerprint(spark, f"{folder}/chunks.parquet", f"{folder}/policy_clauses.parquet")
-    path = shared_folder(spark, f"index-{hashlib.sha256(mark.encode()).hexdigest()[:16]}")
+    path = shared_folder(spark, f"index-{hashlib.sha256(folder.rstrip('/').encode()).hexdigest()[:16]}")
     return index.cached_index(spark, _chunks(spark, folder), _clauses(spark, folder), path, mark)
 
 
