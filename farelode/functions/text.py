@@ -39,6 +39,11 @@ def or_null(text: Column) -> Column:
     return F.nullif(F.regexp_replace(text, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+$", ""), F.lit(""))
 
 
+def number_or_zero(value: Column) -> Column:
+    """A number, also one written as text; 0 where there is none."""
+    return F.coalesce(value.cast("string").try_cast("double"), F.lit(0.0))
+
+
 def words(text: Column) -> Column:
     """The parts between white space, without empty ones."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"{SPACE}+"), lambda w: w != "")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from farelode.functions.text import or_null
 from farelode.schema import LABEL_SCHEMA, MANIFEST_FIELDS, MANIFEST_SCHEMA, METADATA_FIELDS, OVERLAY_FIELDS, SOURCE_TYPES
+from farelode.sources.pdf import read_pdf
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Fixed values.
@@ -48,7 +49,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest's 18 columns and ``ord``; columns that a file lacks are null, an absent file is empty.
 
-    ``ord`` numbers the rows as they are read; a manifest is one small file.
+    ``ord`` numbers the rows as they are read: files with multi-line values are not split, so within a file, and over several
+    files in the order in which they are listed.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], T.StructType([*MANIFEST_SCHEMA.fields, T.StructField("ord", T.LongType())]))
@@ -134,14 +136,15 @@ def html_to_text(pages: pd.Series) -> pd.Series:
 
 
 def pdf_text(content: bytes) -> str:
-    """The texts of a file's pages, joined by line feeds. Needs a PDF library; a file that is no PDF is an error."""
+    """The texts of a file's pages, joined by line feeds, read by a PDF library or else by ``sources.pdf``. A file that is no
+    PDF is an error."""
     try:
         from pypdf import PdfReader
     except ImportError:
         try:
             from PyPDF2 import PdfReader
-        except ImportError as e:
-            raise RuntimeError("reading PDF files needs the package pypdf or PyPDF2") from e
+        except ImportError:
+            return "\n".join(read_pdf(content))
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
 
 

@@ -133,3 +133,10 @@ def test_very_long_text(spark):
     text = "Refund is permitted. " * 5000
     assert len(one(spark, X.split_clauses, text)) == 5000
     assert re.match("Refund", one(spark, X.split_clauses, text)[-1])
+
+
+def test_numbers_or_zero(spark):
+    from farelode.functions.text import number_or_zero
+
+    rows = spark.createDataFrame([("1.5",), ("x",), (None,), ("",), ("-2",)], "v string")
+    assert [r[0] for r in rows.select(number_or_zero(rows["v"])).collect()] == [1.5, 0.0, 0.0, 0.0, -2.0]
