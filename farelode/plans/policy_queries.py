@@ -266,6 +266,19 @@ def overall_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return totals.withColumn("overall_field_accuracy", F.round(F.try_divide("correct", "total"), 6))
 
 
+def compare_states(spark: SparkSession, folder: str) -> DataFrame:
+    """What a comparison answers when the first store has labels, has only skipped ones, and when there are none."""
+    saved = labels.latest(labels.parse_labels(table(spark, folder, "manual_labels")), "record_id", "updated_at", "row_no").select("label.*").where("trim(record_id) <> ''")
+    skipped = saved.where("lower(label_status) = 'skip'")
+    found = labels.latest(_clauses(spark, folder).where("trim(record_id) <> ''"), "record_id", "row_no").withColumn("label_status", F.lit(None).cast("string"))
+    cases = {"labels": [("sqlite", saved)], "only skipped": [("postgres", None), ("sqlite", skipped)], "nothing": [("sqlite", saved.limit(0))]}
+    rows = []
+    for name, stores in cases.items():
+        told = evaluation.compare(found, stores, None, ("policy_topic", "action"))
+        rows.append((name, told["status"], told["manual_gold_backend"], told.get("gold_records"), told.get("matched_records")))
+    return spark.createDataFrame(rows, "state string, status string, backend string, gold_records bigint, matched_records bigint")
+
+
 def record_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Records that are labeled, extracted, or both."""
     return evaluation.record_overlap(table(spark, folder, "manual_labels").where("record_id IS NOT NULL"), _clauses(spark, folder).where("record_id IS NOT NULL"))
@@ -300,7 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clause_split, clause_kinds, topic_action_counts, penalty_terms, time_signals, tax_rules, snippets, clause_records, stub_records, chunk_windows,
         manifest_overlay, manifest_sources, term_statistics, document_lengths, corpus_statistics, hybrid_scores, hybrid_topk, hybrid_filtered, keyword_topk,
         citation_list, answer_text, source_summary, source_totals, latest_labels, labeling_queue, queue_flag_counts, queue_headers, label_records, label_upserts, unskipped_labels,
-        synthetic_guard, document_chunks, jsonl_round_trip, field_accuracy, overall_accuracy, record_overlap, knn_cosine, knn_filtered, html_text,
+        synthetic_guard, document_chunks, jsonl_round_trip, field_accuracy, overall_accuracy, compare_states, record_overlap, knn_cosine, knn_filtered, html_text,
     )
 }
 

@@ -256,7 +256,7 @@ def oracles(question: str, document_type: str) -> dict[str, str]:
     text_field = lambda f: or_null(f"json_extract_string(j, '$.{f}')")
     number_field = lambda f: f"CASE WHEN json_type(j, '$.{f}') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(json_extract_string(j, '$.{f}') AS DOUBLE) END"
     list_field = lambda f: _distinct(f"list_filter(list_transform(CASE WHEN json_type(j, '$.{f}') = 'ARRAY' THEN json_extract_string(j, '$.{f}[*]') END, lambda x: {or_null('x')}), lambda x: x IS NOT NULL)")
-    objects = rf"""(SELECT row_no, record_id, label_status, CAST(payload_json AS JSON) AS j FROM manual_labels
+    objects = rf"""(SELECT row_no, record_id, label_status, updated_at, CAST(payload_json AS JSON) AS j FROM manual_labels
                    WHERE json_valid(payload_json) AND payload_json LIKE '{{%' AND NOT regexp_matches(regexp_replace(payload_json, '"(\\.|[^"\\])*"', '""', 'g'), '(?i)nan|inf|,\s*[}}\]]'))"""
     kept_id = "coalesce(nullif(json_extract_string(j, '$.record_id'), ''), nullif(record_id, ''))"
     label_texts = ("source_id", "document_id", "document_type", "carrier", "supplier", "chunk_id", "policy_topic", "action", "penalty_type", "penalty_currency", "time_window", "before_after_departure", "tax_refund_rule", "clause_text", "notes")
@@ -273,6 +273,10 @@ def oracles(question: str, document_type: str) -> dict[str, str]:
         "unskipped_labels": f"SELECT record_id, row_no FROM {latest_labels} WHERE coalesce(lower(label_status), '') <> 'skip'",
         "synthetic_guard": f"SELECT count(*) > 0 AND coalesce(bool_and(starts_with(chunk_id, '{SYNTHETIC_PREFIX}')) FILTER (chunk_id <> ''), true) AS synthetic FROM (SELECT chunk_id FROM chunks ORDER BY row_no LIMIT 20)",
         "overall_accuracy": f"SELECT CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(total) AS BIGINT) AS total, round(sum(correct) / sum(total), 6) AS overall_field_accuracy FROM ({accuracy})",
+        "compare_states": f"""WITH l AS (SELECT record_id, last(status ORDER BY updated_at NULLS FIRST, row_no) AS status FROM (SELECT {kept_id} AS record_id, json_extract_string(j, '$.label_status') AS status, row_no, updated_at FROM {objects}) WHERE trim(record_id) <> '' GROUP BY record_id),
+            g AS (SELECT count(*) AS n, count(*) FILTER (record_id IN (SELECT record_id FROM policy_clauses WHERE trim(record_id) <> '')) AS m FROM l WHERE coalesce(lower(status), '') <> 'skip')
+            SELECT 'labels' AS state, 'ok' AS status, 'sqlite' AS backend, n AS gold_records, m AS matched_records FROM g
+            UNION ALL SELECT 'only skipped', 'blocked', 'sqlite', NULL, NULL UNION ALL SELECT 'nothing', 'blocked', 'jsonl', NULL, NULL""",
         "document_chunks": f"""SELECT {chunk_key} AS chunk_id, CAST(k * 120 AS INTEGER) AS start_token, CAST(least(k * 120 + 150, n) AS INTEGER) AS end_token, array_to_string(w[k * 120 + 1 : k * 120 + 150], ' ') AS text, document_id, '' AS section_title
             FROM (SELECT document_id, source, w, len(w) AS n, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 150) / 120) AS BIGINT)))) AS k FROM (SELECT document_id, source, {_words('text')} AS w FROM documents) WHERE len(w) > 0)""",
         "knn_filtered": """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])), 6) AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10""",
