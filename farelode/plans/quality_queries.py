@@ -112,6 +112,7 @@ WITH refs AS (
 
 ORACLES: dict[str, str] = {
     "p4_found": quality_sql.ITEMS,
+    "p4_graph": quality_sql.GRAPH,
     "p4_rejected": quality_sql.REJECTED,
     "p2_found": _P2 + "SELECT table_name, row_no, orphan_kind, period FROM judged WHERE orphan_kind IS NOT NULL",
     "p2_report": _P2 + "SELECT table_name, period, orphan_kind, CAST(count(*) AS BIGINT) AS orphans FROM judged WHERE orphan_kind IS NOT NULL GROUP BY ALL",

@@ -48,3 +48,23 @@ WITH {_ROOTS}
 SELECT t AS table_name, row_no, CASE WHEN trim(j) = 'null' OR v IS NOT NULL THEN 'no_record' ELSE 'not_json' END AS reason FROM root
 WHERE trim(j) <> '' AND coalesce(json_type(v), '') NOT IN ('OBJECT', 'ARRAY')
 """
+
+GRAPH = f"""
+WITH RECURSIVE {_ROOTS},
+node AS (
+  SELECT t, row_no, 'document' AS element, v, CAST([] AS VARCHAR[]) AS above FROM root WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+  UNION ALL
+  SELECT t, row_no, element, v, above FROM (
+    SELECT t, row_no, {_NAMED} AS element, {_twice("json_extract(v, '$." + '"' + "' || key || '" + '"' + "')")} AS v, CASE WHEN list_contains(above, {_NAMED}) THEN above ELSE list_append(above, {_NAMED}) END AS above
+    FROM (SELECT n.*, unnest(json_keys(n.v)) AS key FROM node n WHERE json_type(n.v) = 'OBJECT')
+    UNION ALL
+    SELECT t, row_no, element, {_twice("json_extract(v, '$[' || i || ']')")}, above FROM (SELECT n.*, unnest(range(CAST(json_array_length(n.v) AS BIGINT))) AS i FROM node n WHERE json_type(n.v) = 'ARRAY'))
+  WHERE json_type(v) IN ('OBJECT', 'ARRAY')),
+member AS (SELECT t, row_no, element AS parent, {_NAMED} AS child, above, {_twice("json_extract(v, '$." + '"' + "' || key || '" + '"' + "')")} AS v FROM (SELECT *, unnest(json_keys(v)) AS key FROM node WHERE json_type(v) = 'OBJECT')),
+edge AS (SELECT parent, child, bool_or(coalesce(json_type(v) = 'ARRAY', false)) AS repeated, bool_or(coalesce(json_type(v) IN ('OBJECT', 'ARRAY'), false) AND list_contains(above, child)) AS recursive, count(DISTINCT (t, row_no)) AS documents FROM member GROUP BY parent, child),
+inner_ AS (SELECT DISTINCT parent AS e FROM edge),
+reach AS (SELECT parent AS a, child AS b FROM edge WHERE child IN (SELECT e FROM inner_) UNION SELECT r.a, e.child FROM reach r JOIN edge e ON e.parent = r.b WHERE e.child IN (SELECT e FROM inner_)),
+told AS (SELECT child AS e FROM edge WHERE repeated OR recursive UNION SELECT child FROM edge WHERE child IN (SELECT e FROM inner_) GROUP BY child HAVING count(*) > 1 UNION SELECT a FROM reach WHERE a = b),
+asked AS (SELECT unnest(['saves', 'penalty_tiers', 'refund_payout_options', 'eligibility_conditions', 'exceptions']) AS e)
+SELECT parent, child, repeated, recursive, CAST(documents AS BIGINT) AS documents, child IN (SELECT e FROM told UNION SELECT e FROM asked) AS own_table, child IN (SELECT e FROM asked) AND child NOT IN (SELECT e FROM told) AS only_requested FROM edge
+"""
