@@ -6,7 +6,7 @@ from farelode.llm import queries
 
 STEPS = {
     "p1_found": ["MapInPandas"], "p3_found": ["MapInPandas"], "p5_found": ["MapInPandas"], "p6_found": ["MapInPandas"], "p7_found": ["MapInPandas", "LogicalRDD"], "p8_found": ["MapInPandas", "LogicalRDD"],
-    "p9_found": ["LogicalRDD"],
+    "p9_found": ["Relation", "goes_on"],  # the written counts of the ending model
 }
 
 
