@@ -73,6 +73,11 @@ def p4_tables(spark: SparkSession, folder: str) -> DataFrame:
     return label_rows(spark, folder).select("source_table", "doc_key", "table_name", "row_key", "parent_table", "parent_key", "ordinal", F.to_json("fields").alias("fields_json"), "is_empty")
 
 
+def p4_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys of all flat rows: table, own key, parent and position."""
+    return label_rows(spark, folder).select("source_table", "doc_key", "table_name", "row_key", "parent_table", "parent_key", "ordinal")
+
+
 def p4_rejected(spark: SparkSession, folder: str) -> DataFrame:
     """The payloads and requests that are no JSON records."""
     labels = rejected_documents(table(spark, folder, "manual_labels"), "row_no", "payload_json")
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_graph": p4_graph,
     "p4_tables": p4_tables,
+    "p4_keys": p4_keys,
     "p4_rejected": p4_rejected,
 }
 
@@ -113,6 +119,7 @@ WITH refs AS (
 ORACLES: dict[str, str] = {
     "p4_found": quality_sql.ITEMS,
     "p4_graph": quality_sql.GRAPH,
+    "p4_keys": quality_sql.KEYS,
     "p4_rejected": quality_sql.REJECTED,
     "p2_found": _P2 + "SELECT table_name, row_no, orphan_kind, period FROM judged WHERE orphan_kind IS NOT NULL",
     "p2_report": _P2 + "SELECT table_name, period, orphan_kind, CAST(count(*) AS BIGINT) AS orphans FROM judged WHERE orphan_kind IS NOT NULL GROUP BY ALL",

@@ -68,3 +68,27 @@ told AS (SELECT child AS e FROM edge WHERE repeated OR recursive UNION SELECT ch
 asked AS (SELECT unnest(['saves', 'penalty_tiers', 'refund_payout_options', 'eligibility_conditions', 'exceptions']) AS e)
 SELECT parent, child, repeated, recursive, CAST(documents AS BIGINT) AS documents, child IN (SELECT e FROM told UNION SELECT e FROM asked) AS own_table, child IN (SELECT e FROM asked) AND child NOT IN (SELECT e FROM told) AS only_requested FROM edge
 """
+
+_MEMBER = _twice("json_extract(v, '$." + '"' + "' || key || '" + '"' + "')")
+# the rows of all tables, with the tables that the graph gives
+KEYS = (
+    GRAPH[: GRAPH.rindex("SELECT parent, child, repeated")].rstrip()
+    + f""",
+tables AS (SELECT e FROM told UNION SELECT e FROM asked),
+line AS (
+  SELECT t, row_no, 'document' AS own, '' AS row_key, CAST(NULL AS VARCHAR) AS parent_table, CAST(NULL AS VARCHAR) AS parent_key, 0 AS ordinal, v, true AS is_row FROM root WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT * FROM (
+  SELECT t, row_no, name, CASE WHEN length(path) > 200 THEN '#' || md5(path) ELSE path END, own, row_key, CAST(i AS INTEGER), v, true FROM (
+    SELECT *, row_key || '/' || name || '.' || i AS path FROM (
+      SELECT t, row_no, own, row_key, name, i, {_twice("CAST(CASE WHEN many THEN json_extract(v, '$[' || i || ']') ELSE v END AS JSON)")} AS v FROM (
+        SELECT *, unnest(range(CAST(CASE WHEN many THEN json_array_length(v) ELSE 1 END AS BIGINT))) AS i FROM (
+          SELECT t, row_no, own, row_key, {_NAMED} AS name, {_MEMBER} AS v, json_type({_MEMBER}) = 'ARRAY' AS many FROM (SELECT *, unnest(json_keys(v)) AS key FROM line WHERE json_type(v) = 'OBJECT')
+          UNION ALL
+          SELECT t, row_no, own, row_key, 'item', v, true FROM line WHERE json_type(v) = 'ARRAY' AND is_row)
+        WHERE (many OR json_type(v) <> 'NULL') AND name IN (SELECT e FROM tables UNION SELECT 'item'))))
+  UNION ALL
+  SELECT t, row_no, own, row_key, parent_table, parent_key, ordinal, v, false FROM (
+    SELECT *  EXCLUDE (v), {_MEMBER} AS v FROM (SELECT *, unnest(json_keys(v)) AS key FROM line WHERE json_type(v) = 'OBJECT')) WHERE {_NAMED} NOT IN (SELECT e FROM tables) AND json_type(v) = 'OBJECT'))
+SELECT t AS source_table, row_no AS doc_key, own AS table_name, row_key, parent_table, parent_key, ordinal FROM line WHERE is_row
+"""
+)
