@@ -63,7 +63,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     That is in the cluster's ``spark.checkpoint.dir``. Where that is unset, a local session uses its warehouse, as in tests; a
     session with executors of its own is refused, as a folder of one machine would not reach them.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = chosen.get() if chosen.isDefined() else None  # set by the caller
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
